@@ -245,4 +245,177 @@ def oracles() -> dict[str, str]:
 {target_sql('raw_a', 'risk_level', 'Data1 raw', 'Risk Level')} UNION ALL
 {target_sql('clean_a', 'risk', 'Data1 clean')} UNION ALL
 {target_sql('clean_b', 'high_risk', 'Data2 clean')}"""
+    out.update(star_oracles())
+    return out
+
+
+# ------------------------------------------------------------------ star + audit
+def with_star() -> str:
+    a, b = with_a(), with_b()
+    n1 = "CAST(NULL AS DOUBLE)"
+    ni = "CAST(NULL AS INTEGER)"
+    return f"""{a}, {b[len('WITH '):]},
+wide AS (
+ SELECT 'Data1' AS source_dataset, 0 AS so, row_pos, CAST(risk AS INTEGER) AS target_risk, CAST(age AS DOUBLE) AS age, {n1} AS pregnancy_weeks,
+  systolic_bp, diastolic_bp, heart_rate, body_temp_f, {n1} AS weight_kg, {n1} AS height_cm, {n1} AS height_m, bmi,
+  CAST(previous_complications AS INTEGER) AS previous_complications, CAST(preexisting_diabetes AS INTEGER) AS preexisting_diabetes,
+  CAST(gestational_diabetes AS INTEGER) AS gestational_diabetes, CAST(mental_health AS INTEGER) AS mental_health,
+  {ni} AS gravida_n, {ni} AS tt_injection_n, blood_sugar, {ni} AS urine_sugar_yes, {ni} AS vdrl_positive, {ni} AS hrsag_positive,
+  {n1} AS fetal_heartbeat_bpm FROM clean_a
+ UNION ALL
+ SELECT 'Data2', 1, row_pos, high_risk, CAST(age AS DOUBLE), pregnancy_weeks,
+  systolic_bp, diastolic_bp, {n1}, {n1}, weight_kg, height_cm, height_m, bmi_calc,
+  {ni}, {ni}, {ni}, {ni}, gravida_n, tt_injection_n, {n1}, urine_sugar_yes, vdrl_positive, hrsag_positive, fetal_heartbeat_bpm FROM clean_b),
+numbered AS (SELECT *, CAST(row_number() OVER (ORDER BY so, row_pos) AS BIGINT) AS pregnancy_id FROM wide),
+t AS (SELECT *, pregnancy_id - min(pregnancy_id) OVER (PARTITION BY source_dataset) AS source_row_id FROM numbered),
+pregnancies AS (SELECT pregnancy_id, source_dataset, source_row_id, target_risk, age, pregnancy_weeks, now() AS created_at FROM t),
+vitals AS (SELECT pregnancy_id AS vitals_id, pregnancy_id, systolic_bp, diastolic_bp, heart_rate, body_temp_f, weight_kg, height_cm, height_m, bmi FROM t),
+medical_history AS (SELECT pregnancy_id AS history_id, pregnancy_id, previous_complications, preexisting_diabetes, gestational_diabetes, mental_health, gravida_n, tt_injection_n FROM t),
+lab_tests AS (SELECT pregnancy_id AS lab_id, pregnancy_id, blood_sugar, urine_sugar_yes, vdrl_positive, hrsag_positive FROM t),
+obstetric_observations AS (SELECT pregnancy_id AS obs_id, pregnancy_id, fetal_heartbeat_bpm FROM t),
+data_sources AS (SELECT source_dataset, 'x' AS cleaned_file, CAST(count(*) AS INTEGER) AS loaded_row_count, now() AS loaded_at, 'x' AS notes FROM t GROUP BY source_dataset),
+vw_data1_modeling AS (SELECT p.pregnancy_id, p.source_row_id, p.age, v.systolic_bp, v.diastolic_bp, l.blood_sugar, v.body_temp_f, v.bmi,
+  h.previous_complications, h.preexisting_diabetes, h.gestational_diabetes, h.mental_health, v.heart_rate, p.target_risk AS risk
+  FROM pregnancies p JOIN vitals v ON v.pregnancy_id = p.pregnancy_id JOIN medical_history h ON h.pregnancy_id = p.pregnancy_id
+  JOIN lab_tests l ON l.pregnancy_id = p.pregnancy_id WHERE p.source_dataset = 'Data1'),
+vw_data2_modeling AS (SELECT p.pregnancy_id, p.source_row_id, p.age, h.gravida_n, h.tt_injection_n, p.pregnancy_weeks, v.weight_kg, v.height_cm,
+  v.height_m, v.systolic_bp, v.diastolic_bp, o.fetal_heartbeat_bpm, l.urine_sugar_yes, l.vdrl_positive, l.hrsag_positive, v.bmi AS bmi_calc,
+  p.target_risk AS high_risk FROM pregnancies p JOIN vitals v ON v.pregnancy_id = p.pregnancy_id JOIN medical_history h ON h.pregnancy_id = p.pregnancy_id
+  JOIN lab_tests l ON l.pregnancy_id = p.pregnancy_id JOIN obstetric_observations o ON o.pregnancy_id = p.pregnancy_id WHERE p.source_dataset = 'Data2')"""
+
+
+STAR_CHECK_SQL = {
+    "data_sources": [
+        ("source_dataset_in_set", "source_dataset IN ('Data1', 'Data2')"),
+        ("loaded_row_count_nonnegative", "loaded_row_count >= 0"),
+    ],
+    "pregnancies": [
+        ("source_row_id_nonnegative", "source_row_id >= 0"),
+        ("target_risk_binary", "target_risk IN (0, 1)"),
+        ("age_range", "age BETWEEN 10 AND 65"),
+        ("pregnancy_weeks_range", "pregnancy_weeks BETWEEN 1 AND 45"),
+    ],
+    "vitals": [
+        ("systolic_bp_range", "systolic_bp BETWEEN 70 AND 220"),
+        ("diastolic_bp_range", "diastolic_bp BETWEEN 40 AND 140"),
+        ("heart_rate_range", "heart_rate BETWEEN 40 AND 200"),
+        ("body_temp_f_range", "body_temp_f BETWEEN 90 AND 110"),
+        ("weight_kg_range", "weight_kg BETWEEN 25 AND 200"),
+        ("height_cm_range", "height_cm BETWEEN 120 AND 220"),
+        ("height_m_range", "height_m BETWEEN 1.2 AND 2.2"),
+        ("bmi_range", "bmi BETWEEN 10 AND 70"),
+    ],
+    "medical_history": [
+        ("previous_complications_binary", "previous_complications IN (0, 1)"),
+        ("preexisting_diabetes_binary", "preexisting_diabetes IN (0, 1)"),
+        ("gestational_diabetes_binary", "gestational_diabetes IN (0, 1)"),
+        ("mental_health_binary", "mental_health IN (0, 1)"),
+        ("gravida_n_ordinal", "gravida_n IN (1, 2, 3)"),
+        ("tt_injection_n_ordinal", "tt_injection_n IN (1, 2, 3)"),
+    ],
+    "lab_tests": [
+        ("blood_sugar_range", "blood_sugar BETWEEN 2 AND 25"),
+        ("urine_sugar_yes_binary", "urine_sugar_yes IN (0, 1)"),
+        ("vdrl_positive_binary", "vdrl_positive IN (0, 1)"),
+        ("hrsag_positive_binary", "hrsag_positive IN (0, 1)"),
+    ],
+    "obstetric_observations": [("fetal_heartbeat_bpm_range", "fetal_heartbeat_bpm BETWEEN 60 AND 220")],
+}
+STAR_NOT_NULL_SQL = {
+    "data_sources": ["source_dataset", "cleaned_file", "loaded_row_count", "loaded_at"],
+    "pregnancies": ["pregnancy_id", "source_dataset", "source_row_id", "target_risk", "created_at"],
+    "vitals": ["vitals_id", "pregnancy_id"],
+    "medical_history": ["history_id", "pregnancy_id"],
+    "lab_tests": ["lab_id", "pregnancy_id"],
+    "obstetric_observations": ["obs_id", "pregnancy_id"],
+}
+SATELLITES = ["vitals", "medical_history", "lab_tests", "obstetric_observations"]
+
+
+def unique_sql(tbl: str, cols: list[str]) -> str:
+    k = ", ".join(cols)
+    return (
+        f"SELECT {lit(tbl)} AS table_name, {lit('unique(' + ','.join(cols) + ')')} AS check_name, "
+        f"CAST(count_if(n > 1) AS BIGINT) AS duplicate_keys, CAST(coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0) AS BIGINT) AS violations "
+        f"FROM (SELECT {k}, count(*) AS n FROM {tbl} GROUP BY {k}) g"
+    )
+
+
+def orphan_sql(name: str, child: str, fk: str, parent: str, pk: str) -> str:
+    return (
+        f"SELECT {lit(name)} AS check_name, CAST(count(*) AS BIGINT) AS issue_count FROM {child} c "
+        f"WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{fk})"
+    )
+
+
+def childless_sql(name: str, parent: str, pk: str, child: str, fk: str) -> str:
+    return (
+        f"SELECT {lit(name)} AS check_name, CAST(count(*) AS BIGINT) AS issue_count FROM {parent} p "
+        f"LEFT JOIN (SELECT DISTINCT {fk} FROM {child}) c ON c.{fk} = p.{pk} WHERE c.{fk} IS NULL"
+    )
+
+
+TPCH_FKS_SQL = [
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+]
+
+
+def star_oracles() -> dict[str, str]:
+    s = with_star()
+    out = {}
+    out["star_view_1"] = f"{s} SELECT * FROM vw_data1_modeling"
+    out["star_view_2"] = f"{s} SELECT * FROM vw_data2_modeling"
+    out["surrogate_ids"] = f"{s} SELECT pregnancy_id, source_dataset, source_row_id, target_risk, age, pregnancy_weeks FROM pregnancies"
+    out["star_count_reconciliation"] = f"""{s} SELECT ds.source_dataset, CAST(ds.loaded_row_count AS BIGINT) AS expected_rows,
+ CAST(count(p.pregnancy_id) AS BIGINT) AS pregnancy_rows, CAST(count(p.pregnancy_id) - ds.loaded_row_count AS BIGINT) AS row_count_difference
+ FROM data_sources ds LEFT JOIN pregnancies p ON p.source_dataset = ds.source_dataset GROUP BY ds.source_dataset, ds.loaded_row_count"""
+    out["star_target_counts"] = f"{s} SELECT source_dataset, target_risk, CAST(count(*) AS BIGINT) AS rows FROM pregnancies GROUP BY source_dataset, target_risk"
+    parts = [f"SELECT '{x}_rows' AS output_name, CAST(count(*) AS BIGINT) AS rows FROM {x}" for x in SATELLITES]
+    parts += [
+        "SELECT 'Data1 modelling_rows', CAST(count(*) AS BIGINT) FROM vw_data1_modeling",
+        "SELECT 'Data2 modelling_rows', CAST(count(*) AS BIGINT) FROM vw_data2_modeling",
+        "SELECT 'missing_target_values', CAST(count(*) AS BIGINT) FROM pregnancies WHERE target_risk IS NULL",
+    ]
+    out["star_table_counts"] = f"{s} " + " UNION ALL ".join(parts)
+    out["parents_without_child"] = f"{s} " + " UNION ALL ".join(
+        childless_sql(f"pregnancies_without_{x}", "pregnancies", "pregnancy_id", x, "pregnancy_id") for x in SATELLITES
+    )
+    out["orphans"] = f"{s} " + " UNION ALL ".join(orphan_sql(f"orphan_{x}", x, "pregnancy_id", "pregnancies", "pregnancy_id") for x in SATELLITES)
+    checks = [
+        f"SELECT {lit(tbl)} AS table_name, {lit(name)} AS check_name, CAST(count_if(NOT ({cond})) AS BIGINT) AS violations FROM {tbl}"
+        for tbl, conds in STAR_CHECK_SQL.items()
+        for name, cond in conds
+    ]
+    checks += [
+        f"SELECT {lit(tbl)}, {lit(c + '_not_null')}, CAST(count_if({c} IS NULL) AS BIGINT) FROM {tbl}"
+        for tbl, cols in STAR_NOT_NULL_SQL.items()
+        for c in cols
+    ]
+    out["check_audit"] = f"{s} " + " UNION ALL ".join(checks)
+    keys = {
+        "data_sources": [["source_dataset"]],
+        "pregnancies": [["pregnancy_id"], ["source_dataset", "source_row_id"]],
+        "vitals": [["vitals_id"], ["pregnancy_id"]],
+        "medical_history": [["history_id"], ["pregnancy_id"]],
+        "lab_tests": [["lab_id"], ["pregnancy_id"]],
+        "obstetric_observations": [["obs_id"], ["pregnancy_id"]],
+    }
+    out["unique_audit"] = f"{s} " + " UNION ALL ".join(unique_sql(t, c) for t, ks in keys.items() for c in ks)
+    fks = [("pregnancies", "source_dataset", "data_sources", "source_dataset")] + [(x, "pregnancy_id", "pregnancies", "pregnancy_id") for x in SATELLITES]
+    out["fk_audit"] = f"{s} " + " UNION ALL ".join(orphan_sql(f"{c}.{fk}->{p}.{pk}", c, fk, p, pk) for c, fk, p, pk in fks)
+    out["tpch_parents_without_child"] = " UNION ALL ".join(
+        [
+            childless_sql("orders_without_lineitem", "orders", "o_orderkey", "lineitem", "l_orderkey"),
+            childless_sql("customers_without_orders", "customer", "c_custkey", "orders", "o_custkey"),
+        ]
+    )
+    out["tpch_fk_audit"] = " UNION ALL ".join(orphan_sql(f"{c}.{fk}->{p}.{pk}", c, fk, p, pk) for c, fk, p, pk in TPCH_FKS_SQL)
+    tk = {"orders": [["o_orderkey"]], "lineitem": [["l_orderkey", "l_linenumber"]], "customer": [["c_custkey"]], "part": [["p_partkey"]], "supplier": [["s_suppkey"]]}
+    out["tpch_unique_audit"] = " UNION ALL ".join(unique_sql(t, c) for t, ks in tk.items() for c in ks)
     return out

@@ -128,3 +128,117 @@ def q_target_distribution(spark, sf_dir):
         .unionByName(profile.target_rows(clean_a_df(spark, sf_dir), "Data1 clean", "risk"))
         .unionByName(profile.target_rows(clean_b_df(spark, sf_dir), "Data2 clean", "high_risk"))
     )
+
+
+# ----------------------------------------------------------------------------- star + audit
+from riskloom.operators import audit, star as star_ops  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def star_tables(spark, sf_dir):
+    return star_ops.load_star(clean_a_df(spark, sf_dir), clean_b_df(spark, sf_dir))
+
+
+@register("star_view_1")
+def q_star_view_1(spark, sf_dir):
+    return star_ops.view_data1(star_tables(spark, sf_dir))
+
+
+@register("star_view_2")
+def q_star_view_2(spark, sf_dir):
+    return star_ops.view_data2(star_tables(spark, sf_dir))
+
+
+@register("surrogate_ids")
+def q_surrogate_ids(spark, sf_dir):
+    return star_tables(spark, sf_dir)["pregnancies"].drop("created_at")
+
+
+@register("star_count_reconciliation")
+def q_star_count_reconciliation(spark, sf_dir):
+    return audit.count_reconciliation(star_tables(spark, sf_dir))
+
+
+@register("star_target_counts")
+def q_star_target_counts(spark, sf_dir):
+    return audit.target_counts(star_tables(spark, sf_dir))
+
+
+@register("star_table_counts")
+def q_star_table_counts(spark, sf_dir):
+    s = star_tables(spark, sf_dir)
+    return audit.table_counts(s, {"Data1": star_ops.view_data1(s), "Data2": star_ops.view_data2(s)})
+
+
+@register("parents_without_child")
+def q_parents_without_child(spark, sf_dir):
+    return audit.parents_without_child(star_tables(spark, sf_dir))
+
+
+@register("orphans")
+def q_orphans(spark, sf_dir):
+    return audit.orphans(star_tables(spark, sf_dir))
+
+
+@register("check_audit")
+def q_check_audit(spark, sf_dir):
+    s = star_tables(spark, sf_dir)
+    return audit.check_audit(s, audit.star_checks()).unionByName(audit.not_null_audit(s, audit.STAR_NOT_NULL))
+
+
+@register("unique_audit")
+def q_unique_audit(spark, sf_dir):
+    return audit.unique_audit(star_tables(spark, sf_dir), audit.STAR_KEYS)
+
+
+@register("fk_audit")
+def q_fk_audit(spark, sf_dir):
+    return audit.fk_audit(star_tables(spark, sf_dir))
+
+
+# TPC-H-like driver tables audited natively with the same operators.
+from riskloom.sources.tables import table  # noqa: E402
+
+TPCH_FKS = [
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+]
+TPCH_KEYS = {
+    "orders": [["o_orderkey"]],
+    "lineitem": [["l_orderkey", "l_linenumber"]],
+    "customer": [["c_custkey"]],
+    "part": [["p_partkey"]],
+    "supplier": [["s_suppkey"]],
+}
+
+
+def tpch(spark, sf_dir, names):
+    return {n: table(spark, sf_dir, n) for n in names}
+
+
+@register("tpch_parents_without_child")
+def q_tpch_parents_without_child(spark, sf_dir):
+    t = tpch(spark, sf_dir, ["orders", "lineitem", "customer"])
+    return audit.childless_count(t["orders"], "o_orderkey", t["lineitem"], "l_orderkey").select(
+        F.lit("orders_without_lineitem").alias("check_name"), "issue_count"
+    ).unionByName(
+        audit.childless_count(t["customer"], "c_custkey", t["orders"], "o_custkey").select(
+            F.lit("customers_without_orders").alias("check_name"), "issue_count"
+        )
+    )
+
+
+@register("tpch_fk_audit")
+def q_tpch_fk_audit(spark, sf_dir):
+    t = tpch(spark, sf_dir, ["lineitem", "orders", "part", "supplier", "customer", "nation", "region"])
+    return audit.fk_audit(t, TPCH_FKS)
+
+
+@register("tpch_unique_audit")
+def q_tpch_unique_audit(spark, sf_dir):
+    return audit.unique_audit(tpch(spark, sf_dir, list(TPCH_KEYS)), TPCH_KEYS)
