@@ -246,6 +246,7 @@ def oracles() -> dict[str, str]:
 {target_sql('clean_a', 'risk', 'Data1 clean')} UNION ALL
 {target_sql('clean_b', 'high_risk', 'Data2 clean')}"""
     out.update(star_oracles())
+    out.update(metric_oracles())
     return out
 
 
@@ -419,3 +420,71 @@ def star_oracles() -> dict[str, str]:
     tk = {"orders": [["o_orderkey"]], "lineitem": [["l_orderkey", "l_linenumber"]], "customer": [["c_custkey"]], "part": [["p_partkey"]], "supplier": [["s_suppkey"]]}
     out["tpch_unique_audit"] = " UNION ALL ".join(unique_sql(t, c) for t, ks in tk.items() for c in ks)
     return out
+
+
+# ------------------------------------------------------------------ metrics on the scored lens
+GRID_SQL = "(SELECT CAST(t AS DOUBLE) / 100 AS threshold FROM unnest(range(10, 91, 5)) AS u(t))"
+
+
+def with_scored() -> str:
+    return f"""WITH scored AS ({lenses.duck(lenses.SCORED_ORACLE_SQL)}),
+ss AS (SELECT *, CASE WHEN fold = 0 THEN 'holdout_test' ELSE 'train_oof' END AS split FROM scored)"""
+
+
+def rates_sql(tn="tn", fp="fp", fn="fn", tp="tp") -> str:
+    def r(n, d):
+        return f"CASE WHEN ({d}) = 0 THEN 0.0 ELSE CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) END"
+
+    return (
+        f"{r(f'{tp}+{tn}', f'{tn}+{fp}+{fn}+{tp}')} AS accuracy, {r(tp, f'{tp}+{fp}')} AS precision, "
+        f"{r(tp, f'{tp}+{fn}')} AS recall, {r(f'2*{tp}', f'2*{tp}+{fp}+{fn}')} AS f1"
+    )
+
+
+def auc_sql(src: str, group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    return f"""(SELECT {g}CASE WHEN sum(np) > 0 AND sum(nn) > 0 THEN CAST(sum(np*below) + sum(np*nn)*0.5 AS DOUBLE)/CAST(sum(np)*sum(nn) AS DOUBLE) END AS roc_auc
+ FROM (SELECT {g}p, np, nn, sum(nn) OVER ({part}ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - nn AS below
+  FROM (SELECT {g}p, sum(CASE WHEN y=1 THEN 1 ELSE 0 END) AS np, sum(CASE WHEN y=1 THEN 0 ELSE 1 END) AS nn FROM {src} GROUP BY {g}p) a) b {gb})"""
+
+
+def sweep_sql(src: str, group: str) -> str:
+    return f"""(SELECT c.*, {rates_sql()}, a.roc_auc FROM (
+ SELECT s.{group}, g.threshold, CAST(count_if(s.p < g.threshold AND s.y <> 1) AS BIGINT) AS tn, CAST(count_if(s.p >= g.threshold AND s.y <> 1) AS BIGINT) AS fp,
+  CAST(count_if(s.p < g.threshold AND s.y = 1) AS BIGINT) AS fn, CAST(count_if(s.p >= g.threshold AND s.y = 1) AS BIGINT) AS tp
+ FROM {src} s CROSS JOIN {GRID_SQL} g GROUP BY s.{group}, g.threshold) c LEFT JOIN {auc_sql(src, group)} a ON a.{group} = c.{group})"""
+
+
+def metric_oracles() -> dict[str, str]:
+    s = with_scored()
+    out = {}
+    out["scored_folds"] = f"{s} SELECT id, y, p, fold FROM scored"
+    out["confusion"] = f"""{s} SELECT fold, 0.5 AS threshold, {rates_sql()}, tn, fp, fn, tp FROM (
+ SELECT fold, CAST(count_if(p < 0.5 AND y <> 1) AS BIGINT) AS tn, CAST(count_if(p >= 0.5 AND y <> 1) AS BIGINT) AS fp,
+  CAST(count_if(p < 0.5 AND y = 1) AS BIGINT) AS fn, CAST(count_if(p >= 0.5 AND y = 1) AS BIGINT) AS tp FROM ss GROUP BY fold) c"""
+    out["threshold_sweep"] = f"{s} SELECT * FROM {sweep_sql('ss', 'split')} x"
+    out["select_threshold"] = f"""{s} SELECT * EXCLUDE (r) FROM (SELECT *, (recall >= 0.95 AND precision >= 0.7) AS meets_floors,
+ row_number() OVER (PARTITION BY split ORDER BY (recall >= 0.95 AND precision >= 0.7) DESC, recall DESC, f1 DESC, precision DESC, threshold DESC) AS r
+ FROM {sweep_sql('ss', 'split')} x) z WHERE r = 1"""
+    out["roc_auc"] = f"{s} SELECT * FROM {auc_sql('scored', None)} x"
+    out["roc_auc_by_fold"] = f"{s} SELECT * FROM {auc_sql('scored', 'fold')} x"
+    pts = """g AS (SELECT p, CAST(sum(y) AS BIGINT) AS tp, count(*) AS c FROM scored GROUP BY p),
+k AS (SELECT p, tp, c, sum(tp) OVER w AS ctp, sum(c) OVER w AS cc FROM g WINDOW w AS (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+tot AS (SELECT CAST(sum(y) AS DOUBLE) AS all_pos, CAST(count(*) - sum(y) AS DOUBLE) AS all_neg FROM scored)"""
+    out["pr_summary"] = f"""{s}, {pts},
+m AS (SELECT p, CAST(ctp AS DOUBLE)/CAST(cc AS DOUBLE) AS prec, CAST(ctp AS DOUBLE)/(SELECT all_pos FROM tot) AS rec FROM k),
+z AS (SELECT prec, rec, coalesce(lag(rec) OVER (ORDER BY p DESC),0) AS prec_rec, coalesce(lag(prec) OVER (ORDER BY p DESC),1) AS pp FROM m)
+SELECT sum((rec-prec_rec)*prec) AS average_precision, sum((rec-prec_rec)*(prec+pp)/2) AS pr_auc FROM z"""
+    out["roc_points"] = f"""{s}, {pts}
+SELECT p AS threshold, CASE WHEN all_neg = 0 THEN 0.0 ELSE (cc - ctp)/all_neg END AS fpr, CASE WHEN all_pos = 0 THEN 0.0 ELSE ctp/all_pos END AS tpr FROM k, tot"""
+    out["pr_points"] = f"""{s}, {pts}
+SELECT p AS threshold, CAST(ctp AS DOUBLE)/CAST(cc AS DOUBLE) AS precision, CASE WHEN all_pos = 0 THEN 0.0 ELSE ctp/all_pos END AS recall FROM k, tot"""
+    ms = ", ".join(
+        f"avg({m}) AS mean_test_{m}, stddev_pop({m}) AS std_test_{m}" for m in ("accuracy", "precision", "recall", "f1", "roc_auc")
+    )
+    out["cv_grid_rank"] = f"""{s}, summ AS (SELECT threshold, {ms}, CAST(count(*) AS BIGINT) AS n_folds FROM {sweep_sql('scored', 'fold')} x GROUP BY threshold)
+SELECT *, rank() OVER (ORDER BY mean_test_recall DESC) AS rank_test_recall,
+ row_number() OVER (ORDER BY mean_test_recall DESC, threshold ASC) = 1 AS is_best FROM summ"""
+    return out

@@ -242,3 +242,67 @@ def q_tpch_fk_audit(spark, sf_dir):
 @register("tpch_unique_audit")
 def q_tpch_unique_audit(spark, sf_dir):
     return audit.unique_audit(tpch(spark, sf_dir, list(TPCH_KEYS)), TPCH_KEYS)
+
+
+# ----------------------------------------------------------------------------- metrics (scored lens)
+from riskloom.operators import metrics  # noqa: E402
+
+
+def scored_split(spark, sf_dir):
+    """Scored lens with a holdout fold: fold 0 -> holdout_test, others -> train_oof."""
+    s = lenses.scored(spark, sf_dir)
+    return s.withColumn("split", F.when(F.col("fold") == 0, "holdout_test").otherwise("train_oof"))
+
+
+@register("scored_folds")
+def q_scored_folds(spark, sf_dir):
+    return lenses.scored(spark, sf_dir)
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    return metrics.confusion(scored_split(spark, sf_dir), "y", "p", 0.5, group_cols=["fold"])
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark, sf_dir):
+    return metrics.threshold_sweep(scored_split(spark, sf_dir), "y", "p", group_cols=["split"])
+
+
+@register("select_threshold")
+def q_select_threshold(spark, sf_dir):
+    sweep = metrics.threshold_sweep(scored_split(spark, sf_dir), "y", "p", group_cols=["split"])
+    return metrics.select_threshold(sweep, group_cols=["split"])
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return metrics.roc_auc(lenses.scored(spark, sf_dir), "y", "p")
+
+
+@register("roc_auc_by_fold")
+def q_roc_auc_by_fold(spark, sf_dir):
+    return metrics.roc_auc(lenses.scored(spark, sf_dir), "y", "p", group_cols=["fold"])
+
+
+@register("pr_summary")
+def q_pr_summary(spark, sf_dir):
+    return metrics.pr_summary(lenses.scored(spark, sf_dir), "y", "p")
+
+
+@register("roc_points")
+def q_roc_points(spark, sf_dir):
+    return metrics.roc_points(lenses.scored(spark, sf_dir), "y", "p")
+
+
+@register("pr_points")
+def q_pr_points(spark, sf_dir):
+    return metrics.pr_points(lenses.scored(spark, sf_dir), "y", "p")
+
+
+@register("cv_grid_rank")
+def q_cv_grid_rank(spark, sf_dir):
+    """A19 + W5: each grid threshold is a candidate, scored per fold, summarised over folds, ranked by recall."""
+    per_fold = metrics.threshold_sweep(lenses.scored(spark, sf_dir), "y", "p", group_cols=["fold"])
+    summary = metrics.cv_summary(per_fold, ["threshold"]).withColumn("candidate_order", F.col("threshold"))
+    return metrics.grid_rank(summary).drop("candidate_order")
