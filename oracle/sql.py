@@ -247,6 +247,7 @@ def oracles() -> dict[str, str]:
 {target_sql('clean_b', 'high_risk', 'Data2 clean')}"""
     out.update(star_oracles())
     out.update(metric_oracles())
+    out.update(split_oracles())
     return out
 
 
@@ -488,3 +489,72 @@ SELECT p AS threshold, CAST(ctp AS DOUBLE)/CAST(cc AS DOUBLE) AS precision, CASE
 SELECT *, rank() OVER (ORDER BY mean_test_recall DESC) AS rank_test_recall,
  row_number() OVER (ORDER BY mean_test_recall DESC, threshold ASC) = 1 AS is_best FROM summ"""
     return out
+
+
+# ------------------------------------------------------------------ split / resample / stats
+def rank_sql(tbl: str, label: str, ident: str, seed) -> str:
+    key = f"md5(concat('{seed}', ':', CAST({ident} AS VARCHAR)))" if seed is not None else f"md5(CAST({ident} AS VARCHAR))"
+    return f"row_number() OVER (PARTITION BY {label} ORDER BY {key}, {ident})"
+
+
+def alloc_sql(tbl: str, label: str) -> str:
+    return f"""cnt AS (SELECT {label} AS lab, count(*) AS n FROM {tbl} GROUP BY {label}),
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS n_all, ceil(CAST(sum(n) AS DOUBLE) * 0.2) AS n_t FROM cnt),
+al AS (SELECT lab, n, floor(n * n_t / n_all) AS fl, n * n_t / n_all - floor(n * n_t / n_all) AS rem, n_t FROM cnt, tot),
+al2 AS (SELECT lab, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, lab) <= n_t - sum(fl) OVER () THEN 1 ELSE 0 END AS n_test FROM al)"""
+
+
+def split_oracles() -> dict[str, str]:
+    out = {}
+    out["stratified_split"] = f"""WITH {alloc_sql('orders', 'o_orderstatus')},
+r AS (SELECT o_orderkey, o_orderstatus, {rank_sql('orders', 'o_orderstatus', 'o_orderkey', 42)} AS rk FROM orders)
+SELECT r.o_orderkey, r.o_orderstatus, r.rk <= al2.n_test AS is_test FROM r JOIN al2 ON al2.lab = r.o_orderstatus"""
+    out["stratified_kfold"] = f"""SELECT o_orderkey, o_orderstatus, CAST(({rank_sql('orders', 'o_orderstatus', 'o_orderkey', 42)} - 1) % 5 AS INTEGER) AS fold FROM orders"""
+    mm = """cnt AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality),
+mm AS (SELECT (SELECT quality FROM cnt ORDER BY n DESC, quality ASC LIMIT 1) AS major,
+              (SELECT quality FROM cnt ORDER BY n ASC, quality DESC LIMIT 1) AS minor,
+              (SELECT max(n) FROM cnt) AS n_major, (SELECT min(n) FROM cnt) AS n_minor)"""
+    out["undersample"] = f"""WITH {mm},
+r AS (SELECT doc_id, quality, {rank_sql('labels', 'quality', 'doc_id', 42)} AS rk FROM labels)
+SELECT doc_id, quality FROM r, mm WHERE quality <> major OR rk <= n_minor OR n_major = n_minor"""
+    out["oversample"] = f"""WITH {mm},
+mi AS (SELECT doc_id, quality, {rank_sql('labels', 'quality', 'doc_id', 42)} - 1 AS idx FROM labels, mm WHERE quality = minor),
+dr AS (SELECT d AS draw, CAST(floor(CAST(('0x' || substr(md5(concat('42', ':', CAST(d AS VARCHAR))), 1, 13))::BIGINT AS DOUBLE) / {float(16**13)} * n_minor) AS BIGINT) AS idx
+       FROM mm, range(0, (SELECT n_major FROM mm)) AS t(d))
+SELECT doc_id, quality, CAST(NULL AS BIGINT) AS draw FROM labels, mm WHERE quality = major
+UNION ALL SELECT mi.doc_id, mi.quality, dr.draw FROM dr JOIN mi ON mi.idx = dr.idx"""
+    out["column_permutation"] = f"""WITH scored AS ({lenses.duck(lenses.SCORED_ORACLE_SQL)}),
+a AS (SELECT id, p, row_number() OVER (ORDER BY id) AS r FROM scored),
+b AS (SELECT p AS pv, row_number() OVER (ORDER BY md5(concat('7', ':', CAST(id AS VARCHAR))), id) AS r FROM scored)
+SELECT id, pv FROM a JOIN b ON a.r = b.r"""
+    a = with_a()
+    out["class_weights"] = f"""{a}, c AS (SELECT risk AS label, CAST(count(*) AS BIGINT) AS n_class FROM clean_a GROUP BY risk)
+SELECT label, n_class, CAST(sum(n_class) OVER () AS DOUBLE) / (count(*) OVER () * n_class) AS balanced_weight,
+ row_number() OVER (ORDER BY n_class DESC, label ASC) = 1 AS is_majority FROM c"""
+    feats = list(specs.DATA1.features)
+    params = " UNION ALL ".join(
+        f"""SELECT {i} AS feature_order, '{f}' AS feature, md AS median, avg(coalesce({f}, md)) AS mean, stddev_pop(coalesce({f}, md)) AS std,
+ CASE WHEN stddev_pop(coalesce({f}, md)) > 1e-12 THEN stddev_pop(coalesce({f}, md)) ELSE 1.0 END AS scale
+ FROM clean_a, (SELECT median({f}) AS md FROM clean_a) m GROUP BY md"""
+        for i, f in enumerate(feats)
+    )
+    out["impute_scale_params"] = f"{a}, params AS ({params}) SELECT * FROM params"
+    scaled = ", ".join(
+        f"(coalesce({f}, (SELECT median FROM params WHERE feature = '{f}')) - (SELECT mean FROM params WHERE feature = '{f}')) / (SELECT scale FROM params WHERE feature = '{f}') AS {f}"
+        for f in feats
+    )
+    out["impute_scale"] = f"{a}, params AS ({params}) SELECT row_pos, risk, {scaled} FROM clean_a"
+
+    def corr_sql(frame, features, target, dataset):
+        return " UNION ALL ".join(
+            f"""SELECT '{dataset}' AS dataset, '{f}' AS feature, r AS target_correlation, abs(r) AS abs_target_correlation,
+ CASE WHEN abs(r) >= 0.75 THEN 'review' ELSE '' END AS flag
+ FROM (SELECT CASE WHEN var_pop({f}) * var_pop({target}) > 0 THEN corr({f}, {target}) END AS r FROM {frame} WHERE {f} IS NOT NULL AND {target} IS NOT NULL) z"""
+            for f in features
+        )
+
+    out["leakage"] = f"{with_star()} {corr_sql('vw_data1_modeling', feats, 'risk', 'Data1')} UNION ALL {corr_sql('vw_data2_modeling', list(specs.DATA2.features), 'high_risk', 'Data2')}"
+    out["leakage_lineitem"] = f"WITH li AS (SELECT *, CAST(l_returnflag = 'R' AS INTEGER) AS returned FROM lineitem) " + corr_sql(
+        "li", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "returned", "lineitem"
+    )
+    return out

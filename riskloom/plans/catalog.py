@@ -306,3 +306,68 @@ def q_cv_grid_rank(spark, sf_dir):
     per_fold = metrics.threshold_sweep(lenses.scored(spark, sf_dir), "y", "p", group_cols=["fold"])
     summary = metrics.cv_summary(per_fold, ["threshold"]).withColumn("candidate_order", F.col("threshold"))
     return metrics.grid_rank(summary).drop("candidate_order")
+
+
+# ----------------------------------------------------------------------------- split, resample, stats
+from riskloom.operators import split, stats  # noqa: E402
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return split.stratified_split(orders, "o_orderstatus", "o_orderkey", seed=specs.RANDOM_STATE)
+
+
+@register("stratified_kfold")
+def q_stratified_kfold(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return split.stratified_kfold(orders, "o_orderstatus", "o_orderkey", k=specs.CV_SPLITS, seed=specs.RANDOM_STATE)
+
+
+@register("undersample")
+def q_undersample(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return split.undersample(labels, "quality", "doc_id", seed=specs.RANDOM_STATE)
+
+
+@register("oversample")
+def q_oversample(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return split.oversample(labels, "quality", "doc_id", seed=specs.RANDOM_STATE)
+
+
+@register("column_permutation")
+def q_column_permutation(spark, sf_dir):
+    return split.column_permutation(lenses.scored(spark, sf_dir), "id", "p", seed=7, out="pv")
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    return stats.class_weights(clean_a_df(spark, sf_dir), "risk")
+
+
+@register("impute_scale_params")
+def q_impute_scale_params(spark, sf_dir):
+    return stats.impute_scale_params(clean_a_df(spark, sf_dir), list(specs.DATA1.features))
+
+
+@register("impute_scale")
+def q_impute_scale(spark, sf_dir):
+    clean1 = clean_a_df(spark, sf_dir)
+    feats = list(specs.DATA1.features)
+    params = stats.impute_scale_params(clean1, feats).collect()  # one row per feature
+    return stats.apply_impute_scale(clean1, params, feats, keep=["row_pos", "risk"])
+
+
+@register("leakage")
+def q_leakage(spark, sf_dir):
+    s = star_tables(spark, sf_dir)
+    return stats.target_correlations(star_ops.view_data1(s), list(specs.DATA1.features), "risk", "Data1").unionByName(
+        stats.target_correlations(star_ops.view_data2(s), list(specs.DATA2.features), "high_risk", "Data2")
+    )
+
+
+@register("leakage_lineitem")
+def q_leakage_lineitem(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("returned", (F.col("l_returnflag") == "R").cast("int"))
+    return stats.target_correlations(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "returned", "lineitem")
