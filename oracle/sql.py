@@ -248,6 +248,7 @@ def oracles() -> dict[str, str]:
     out.update(star_oracles())
     out.update(metric_oracles())
     out.update(split_oracles())
+    out.update(score_oracles())
     return out
 
 
@@ -558,3 +559,113 @@ SELECT label, n_class, CAST(sum(n_class) OVER () AS DOUBLE) / (count(*) OVER ()
         "li", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "returned", "lineitem"
     )
     return out
+
+
+# ------------------------------------------------------------------ scoring
+def with_requests() -> str:
+    from riskloom.operators.score import ALL_FIELDS
+
+    b = with_b()
+    a_fields = lenses.REQUEST_A_FIELDS
+    lens_col = {v: k for k, v in lenses.INTAKE_A_HEADERS.items()}  # header -> lens column
+    a_sel = ", ".join(f"{lens_col[h]} AS {f}" for h, f in a_fields.items())
+    b_sel = ", ".join(f"CAST({c} AS VARCHAR) AS b_{c}" for c in lenses.REQUEST_B_FIELDS)
+    cols = []
+    for f in a_fields.values():
+        cols.append(f"coalesce(ia.{f}, ib.b_{f}) AS {f}" if f in lenses.SHARED_FIELDS else f"ia.{f}")
+    cols += [f"ib.b_{c} AS {c}" for c in lenses.REQUEST_B_FIELDS if c not in lenses.SHARED_FIELDS]
+    present = {f: f"({f} IS NOT NULL AND {strip('CAST(' + f + ' AS VARCHAR)')} <> '')" for f in ALL_FIELDS}
+    typed = []
+    perr = []
+    for f in ALL_FIELDS:
+        if f == "bmi_calc":
+            typed.append("CAST(NULL AS DOUBLE) AS bmi_calc")
+            continue
+        t = strip(f"CAST({f} AS VARCHAR)")
+        typed.append(f"CASE WHEN {present[f]} THEN {to_number(t)} END AS {f}")
+        perr.append(f"CASE WHEN {present[f]} AND {to_number(t)} IS NULL THEN 'invalid value in field: {f}' END")
+    bmi = "CASE WHEN weight_kg IS NOT NULL AND weight_kg <> 0 AND height_cm IS NOT NULL AND height_cm > 0 THEN round_even(weight_kg / ((height_cm/100.0)*(height_cm/100.0)), 2) END"
+    verr = []
+    for f in ALL_FIELDS:
+        if f in specs.REQUEST_RANGES:
+            lo, hi = specs.REQUEST_RANGES[f]
+            verr.append(f"CASE WHEN {f} IS NOT NULL AND NOT ({f} BETWEEN {lo} AND {hi}) THEN '{f}: value must be between {lo:g} and {hi:g}' END")
+        elif f in specs.REQUEST_ORDINAL_123:
+            verr.append(f"CASE WHEN {f} IS NOT NULL AND {f} NOT IN (1, 2, 3) THEN '{f}: choose a valid value' END")
+        elif f in specs.REQUEST_BINARY_01:
+            verr.append(f"CASE WHEN {f} IS NOT NULL AND {f} NOT IN (0, 1) THEN '{f}: choose yes or no' END")
+
+    def miss(features):
+        return "list_filter([" + ", ".join(f"CASE WHEN {f} IS NULL OR isnan({f}) THEN '{f}' END" for f in features) + "], lambda x: x IS NOT NULL)"
+
+    others = ", ".join(f for f in ALL_FIELDS if f not in ("bmi", "bmi_calc"))
+    return f"""{b},
+ra AS (SELECT row_pos, {a_sel} FROM ({lenses.duck(lenses.INTAKE_A_SQL)}) q),
+ia AS (SELECT row_number() OVER (ORDER BY row_pos) AS request_id, * EXCLUDE (row_pos) FROM ra),
+ib AS (SELECT row_number() OVER (ORDER BY row_pos) AS request_id, {b_sel} FROM parsed_b),
+req AS (SELECT coalesce(ia.request_id, ib.request_id) AS request_id, {', '.join(cols)} FROM ia FULL OUTER JOIN ib ON ia.request_id = ib.request_id),
+typed AS (SELECT request_id, {', '.join(typed)}, list_filter([{', '.join(perr)}], lambda x: x IS NOT NULL) AS payload_errors FROM req),
+bmi AS (SELECT request_id, {others}, coalesce(bmi, {bmi}) AS bmi, coalesce(bmi_calc, {bmi}) AS bmi_calc, payload_errors FROM typed),
+prep AS (SELECT request_id, {', '.join(ALL_FIELDS)},
+  list_concat(payload_errors, list_filter([{', '.join(verr)}], lambda x: x IS NOT NULL)) AS errors,
+  {miss(specs.DATA1.features)} AS missing_data1, {miss(specs.DATA2.features)} AS missing_data2 FROM bmi),
+routed AS (SELECT *,
+  CASE WHEN len(errors) > 0 THEN 'rejected' WHEN len(missing_data1) = 0 AND len(missing_data2) = 0 THEN 'combined'
+   WHEN len(missing_data1) = 0 THEN 'data1_only' WHEN len(missing_data2) = 0 THEN 'data2_only' ELSE 'incomplete' END AS prediction_mode FROM prep)"""
+
+
+def sigmoid_sql(card) -> str:
+    z = " + ".join([str(float(card.intercept))] + [f"CAST({f} AS DOUBLE) * {float(card.coefficients.get(f, 0.0))}" for f in card.features])
+    return f"1.0 / (1.0 + exp(-({z})))"
+
+
+def score_oracles() -> dict[str, str]:
+    from riskloom.operators.score import ALL_FIELDS
+    from riskloom.plans import model_cards as mc
+
+    r = with_requests()
+    out = {}
+    out["request_validate"] = f"{r} SELECT request_id, {', '.join(ALL_FIELDS)}, errors, missing_data1, missing_data2 FROM prep"
+    reason = f"""CASE prediction_mode WHEN 'data1_only' THEN '{specs.ROUTE_REASONS['data1_only']}' WHEN 'data2_only' THEN '{specs.ROUTE_REASONS['data2_only']}'
+ WHEN 'rejected' THEN array_to_string(errors, '; ')
+ WHEN 'incomplete' THEN 'No complete feature group was supplied. Missing Data1: ' || array_to_string(missing_data1, ', ') || '; missing Data2: ' || array_to_string(missing_data2, ', ') END"""
+    near = "CASE WHEN prediction_mode = 'incomplete' THEN CASE WHEN len(missing_data2) <= len(missing_data1) THEN 'Data2' ELSE 'Data1' END END"
+    near_m = "CASE WHEN prediction_mode = 'incomplete' THEN CASE WHEN len(missing_data2) <= len(missing_data1) THEN missing_data2 ELSE missing_data1 END END"
+    out["route_mode"] = f"{r} SELECT request_id, prediction_mode, {reason} AS reason, {near} AS nearest_group, {near_m} AS nearest_missing FROM routed"
+    use1 = "prediction_mode IN ('combined', 'data1_only')"
+    use2 = "prediction_mode IN ('combined', 'data2_only')"
+    w1 = w2 = 0.5
+    thr = mc.DUAL.combined_threshold
+    lab = lambda c: f"CASE WHEN {c} = 1 THEN '{specs.RISK_LABELS[1]}' WHEN {c} = 0 THEN '{specs.RISK_LABELS[0]}' END"
+    scored = f"""{r},
+sc AS (SELECT *, CASE WHEN {use1} THEN {sigmoid_sql(mc.DATA1_CARD)} END AS p1, CASE WHEN {use2} THEN {sigmoid_sql(mc.DATA2_CARD)} END AS p2 FROM routed),
+sc2 AS (SELECT *, CASE WHEN prediction_mode = 'combined' THEN {w1} * p1 + {w2} * p2 END AS pc,
+  CASE WHEN {use1} THEN CAST(p1 >= {mc.DATA1_CARD.threshold} AS INTEGER) END AS c1,
+  CASE WHEN {use2} THEN CAST(p2 >= {mc.DATA2_CARD.threshold} AS INTEGER) END AS c2 FROM sc),
+flat AS (SELECT request_id, prediction_mode, {reason} AS reason, '{specs.DISCLAIMER}' AS disclaimer,
+  CASE WHEN {use1} THEN '{mc.DATA1_CARD.model_name}' END AS data1_model_name, p1 AS data1_probability,
+  CASE WHEN {use1} THEN {mc.DATA1_CARD.threshold} END AS data1_threshold, c1 AS data1_predicted_class, {lab('c1')} AS data1_risk_label,
+  CASE WHEN {use2} THEN '{mc.DATA2_CARD.model_name}' END AS data2_model_name, p2 AS data2_probability,
+  CASE WHEN {use2} THEN {mc.DATA2_CARD.threshold} END AS data2_threshold, c2 AS data2_predicted_class, {lab('c2')} AS data2_risk_label,
+  pc AS combined_probability, CASE WHEN prediction_mode = 'combined' THEN {thr} END AS combined_threshold,
+  CASE WHEN prediction_mode = 'combined' THEN CAST(pc >= {thr} AS INTEGER) END AS combined_predicted_class,
+  {lab("CASE WHEN prediction_mode = 'combined' THEN CAST(pc >= " + str(thr) + " AS INTEGER) END")} AS combined_risk_label,
+  CASE WHEN prediction_mode = 'combined' THEN {w1} END AS data1_weight, CASE WHEN prediction_mode = 'combined' THEN {w2} END AS data2_weight,
+  errors, missing_data1, missing_data2, {near} AS nearest_group FROM sc2)"""
+    out["combined_score"] = f"{scored} SELECT * FROM flat"
+    req_both = f"""{r},
+rb AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN len(missing_data1) = 0 AND len(missing_data2) = 0 THEN 'combined' ELSE 'incomplete' END AS mode2 FROM prep),
+rs AS (SELECT request_id, mode2, CASE WHEN mode2 = 'combined' THEN {w1} * ({sigmoid_sql(mc.DATA1_CARD)}) + {w2} * ({sigmoid_sql(mc.DATA2_CARD)}) END AS pc FROM rb)
+SELECT request_id, mode2 AS prediction_mode, pc AS combined_probability,
+ CASE WHEN mode2 = 'combined' THEN CAST(pc >= {thr} AS INTEGER) END AS combined_predicted_class,
+ {lab("CASE WHEN mode2 = 'combined' THEN CAST(pc >= " + str(thr) + " AS INTEGER) END")} AS combined_risk_label FROM rs"""
+    out["combined_required_score"] = req_both
+    out["presentation"] = f"""{scored},
+pres AS (SELECT request_id, prediction_mode,
+  CASE WHEN prediction_mode = 'combined' THEN combined_probability WHEN prediction_mode = 'data1_only' THEN data1_probability ELSE data2_probability END AS p,
+  CASE WHEN prediction_mode = 'combined' THEN combined_threshold WHEN prediction_mode = 'data1_only' THEN data1_threshold ELSE data2_threshold END AS t,
+  CASE WHEN prediction_mode = 'combined' THEN combined_predicted_class WHEN prediction_mode = 'data1_only' THEN data1_predicted_class ELSE data2_predicted_class END AS c
+ FROM flat WHERE prediction_mode IN ('combined', 'data1_only', 'data2_only'))
+SELECT request_id, prediction_mode, CAST(round_even(p * 100, 0) AS BIGINT) AS probability_pct, c AS predicted_class, {lab('c')} AS risk_label,
+ round(t, 3) AS threshold FROM pres"""
+    return out

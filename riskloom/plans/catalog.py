@@ -371,3 +371,41 @@ def q_leakage(spark, sf_dir):
 def q_leakage_lineitem(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("returned", (F.col("l_returnflag") == "R").cast("int"))
     return stats.target_correlations(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "returned", "lineitem")
+
+
+# ----------------------------------------------------------------------------- scoring
+from riskloom.operators import score as score_ops  # noqa: E402
+from riskloom.plans import model_cards  # noqa: E402
+
+
+@register("request_validate")
+def q_request_validate(spark, sf_dir):
+    return score_ops.prepare_requests(lenses.requests(spark, sf_dir))
+
+
+@register("route_mode")
+def q_route_mode(spark, sf_dir):
+    routed = score_ops.route(score_ops.prepare_requests(lenses.requests(spark, sf_dir)))
+    return routed.select("request_id", "prediction_mode", "reason", "nearest_group", "nearest_missing")
+
+
+@register("combined_score")
+def q_combined_score(spark, sf_dir):
+    return score_ops.score_records(
+        lenses.requests(spark, sf_dir), model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, mode="auto"
+    )
+
+
+@register("combined_required_score")
+def q_combined_required_score(spark, sf_dir):
+    return score_ops.score_records(
+        lenses.requests(spark, sf_dir), model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, mode="combined"
+    ).select("request_id", "prediction_mode", "combined_probability", "combined_predicted_class", "combined_risk_label")
+
+
+@register("presentation")
+def q_presentation(spark, sf_dir):
+    flat = score_ops.score_records(
+        lenses.requests(spark, sf_dir), model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, mode="auto"
+    )
+    return score_ops.presentation(flat)
