@@ -409,3 +409,102 @@ def q_presentation(spark, sf_dir):
         lenses.requests(spark, sf_dir), model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, mode="auto"
     )
     return score_ops.presentation(flat)
+
+
+# ----------------------------------------------------------------------------- training (rows-only checks)
+from riskloom.plans import train as train_ops  # noqa: E402
+
+# Small configurations keep the registered queries quick; FULL_GRIDS holds the reference grids.
+QUICK = {
+    "LogisticRegression": {"C": 1.0, "class_weight": None},
+    "HistGradientBoosting": {"learning_rate": 0.1, "max_iter": 10, "max_leaf_nodes": 15, "min_samples_leaf": 20},
+    "RandomForest": {"n_estimators": 20, "max_depth": 6, "min_samples_leaf": 1, "class_weight": None},
+}
+
+
+def lens_c(spark, sf_dir, tag="d1"):
+    return train_ops.TrainFrame(lenses.learnable(spark, sf_dir), list(specs.DATA1.features), "risk", "row_pos", "Data1", tag)
+
+
+def _holdout_eval(spark, sf_dir, family):
+    tf = lens_c(spark, sf_dir)
+    tr, te = train_ops.split_frame(tf)
+    model = train_ops.fit(tf, tr, family, QUICK[family])
+    return train_ops.metric_table(train_ops.predict(model, te, tf.tag), tf.label).withColumn("model", F.lit(family))
+
+
+@register("train_lr")
+def q_train_lr(spark, sf_dir):
+    return _holdout_eval(spark, sf_dir, "LogisticRegression")
+
+
+@register("train_gbt")
+def q_train_gbt(spark, sf_dir):
+    return _holdout_eval(spark, sf_dir, "HistGradientBoosting")
+
+
+@register("train_rf")
+def q_train_rf(spark, sf_dir):
+    return _holdout_eval(spark, sf_dir, "RandomForest")
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    tf = lens_c(spark, sf_dir)
+    tr, _ = train_ops.split_frame(tf)
+    folded = train_ops.with_folds(tf, tr)
+    return train_ops.cv_metrics(tf, folded, "LogisticRegression", train_ops.grid_candidates(train_ops.FULL_GRIDS["LogisticRegression"]))
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    tf = lens_c(spark, sf_dir)
+    return train_ops.comparison_rows(tf, {"MajorityBaseline": None, "LogisticRegression": {"C": [0.1, 1.0], "class_weight": [None]}})
+
+
+@register("oof_threshold")
+def q_oof_threshold(spark, sf_dir):
+    tf = lens_c(spark, sf_dir)
+    tr, _ = train_ops.split_frame(tf)
+    chosen, sweep = train_ops.threshold_from_oof(tf, tr, "LogisticRegression", QUICK["LogisticRegression"])
+    return sweep.withColumn("selected", F.col("threshold") == F.lit(chosen))
+
+
+@register("importance")
+def q_importance(spark, sf_dir):
+    tf = lens_c(spark, sf_dir)
+    tr, te = train_ops.split_frame(tf)
+    model = train_ops.fit(tf, tr, "LogisticRegression", QUICK["LogisticRegression"])
+    return train_ops.permutation_importance(model, tf, te)
+
+
+@register("balance_experiment")
+def q_balance_experiment(spark, sf_dir):
+    return train_ops.balancing_experiment(lens_c(spark, sf_dir), "LogisticRegression", QUICK["LogisticRegression"])
+
+
+@register("holdout_recheck")
+def q_holdout_recheck(spark, sf_dir):
+    from riskloom.session import checkpoint_dir
+    import uuid
+
+    tf = lens_c(spark, sf_dir)
+    tr, te = train_ops.split_frame(tf)
+    model = train_ops.fit(tf, tr, "LogisticRegression", QUICK["LogisticRegression"])
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    train_ops.save_model(model, path)
+    return train_ops.holdout_recheck(path, tf, te.select(tf.id_col), threshold=0.5)
+
+
+@register("score_batch")
+def q_score_batch(spark, sf_dir):
+    """Both groups trained with MLlib (thresholds from OOF), then all requests scored."""
+    tf1 = lens_c(spark, sf_dir, tag="d1")
+    c2 = clean_b_df(spark, sf_dir)
+    tf2 = train_ops.TrainFrame(c2, list(specs.DATA2.features), "high_risk", "row_pos", "Data2", "d2")
+    g1 = train_ops.train_group(tf1, "LogisticRegression", QUICK["LogisticRegression"])
+    g2 = train_ops.train_group(tf2, "LogisticRegression", QUICK["LogisticRegression"])
+    m1 = train_ops.as_spark_model(g1.deploy_model, tf1, "LogisticRegression", g1.threshold)
+    m2 = train_ops.as_spark_model(g2.deploy_model, tf2, "LogisticRegression", g2.threshold)
+    dual = score_ops.DualMetadata(combined_threshold=train_ops.dual_metadata(g1.metadata, g2.metadata)["combined_threshold"])
+    return score_ops.score_records(lenses.requests(spark, sf_dir), m1, m2, dual, mode="auto")

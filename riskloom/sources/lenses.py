@@ -160,3 +160,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols.append(F.coalesce(F.col(f), F.col(f"b_{f}")).alias(f) if f in SHARED_FIELDS else F.col(f))
     cols += [F.col(f"b_{c}").alias(c) for c in REQUEST_B_FIELDS if c not in SHARED_FIELDS]
     return j.select("request_id", *cols)
+
+
+def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lens C: clean intake 1 rows without NULLs and a learnable label
+    ((preexisting_diabetes = 1 AND blood_sugar >= 10) OR systolic_bp >= 150)."""
+    from riskloom.plans.clean import clean_data1
+    from riskloom.sources.ingest import na_tokens_to_null
+
+    c = clean_data1(na_tokens_to_null(intake_a(spark, sf_dir))).dropna()
+    label = ((F.col("preexisting_diabetes") == 1) & (F.col("blood_sugar") >= 10)) | (F.col("systolic_bp") >= 150)
+    return c.withColumn("risk", label.cast("int"))
