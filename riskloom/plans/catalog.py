@@ -508,3 +508,21 @@ def q_score_batch(spark, sf_dir):
     m2 = train_ops.as_spark_model(g2.deploy_model, tf2, "LogisticRegression", g2.threshold)
     dual = score_ops.DualMetadata(combined_threshold=train_ops.dual_metadata(g1.metadata, g2.metadata)["combined_threshold"])
     return score_ops.score_records(lenses.requests(spark, sf_dir), m1, m2, dual, mode="auto")
+
+
+# ----------------------------------------------------------------------------- streaming
+from riskloom.streaming import stream as stream_ops  # noqa: E402
+
+
+@register("stream_scores")
+def q_stream_scores(spark, sf_dir):
+    """Request files -> streaming scoring -> file sinks; the scored sink read back."""
+    import uuid
+
+    from riskloom.session import checkpoint_dir
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    paths = stream_ops.StreamPaths(source=f"{root}/requests", output=f"{root}/out", checkpoint=f"{root}/ckpt")
+    stream_ops.write_request_files(lenses.requests(spark, sf_dir), paths.source)
+    sinks = stream_ops.run_scoring_streams(spark, paths, model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL)
+    return spark.read.parquet(sinks["scored"])
