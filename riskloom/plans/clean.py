@@ -93,6 +93,7 @@ def parse_data2_frame(body: DataFrame, keep: tuple[str, ...] = ("row_pos",)) ->
     them into every later use (height -> height_m -> bmi_calc -> rules).
     """
     texts = body.select(*keep, *[parse.null_tokens_clean(F.col(c)).alias(c) for c in specs.DATA2_REQUIRED])
+    texts = texts.withColumn("height", parse.height_text("height"))
     parsed = texts.select(
         *keep,
         parse.to_number("age").alias("age"),
@@ -100,7 +101,7 @@ def parse_data2_frame(body: DataFrame, keep: tuple[str, ...] = ("row_pos",)) ->
         parse.ordinal("tt_injection").alias("tt_injection_n"),
         parse.num_first("pregnancy_duration").alias("pregnancy_weeks"),
         parse.num_first("weight").alias("weight_kg"),
-        parse.parse_height_cm("height").alias("height_cm"),
+        parse.parse_height_cm("height", normalized=True).alias("height_cm"),
         parse.parse_bp("blood_pressure").alias("_bp"),
         parse.num_first("fetal_heartbeat").alias("fetal_heartbeat_bpm"),
         parse.yes_no("urine_sugar").alias("urine_sugar_yes"),

@@ -26,6 +26,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         # planning-time only: constraint inference is exponential on the wide parse/rule projections
         .config("spark.sql.constraintPropagation.enabled", "false")
+        # HotSpot does not JIT methods above 8000 bytes of bytecode: past that, drop to
+        # per-operator code instead of running one huge fused method interpreted
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", os.environ.get("RISKLOOM_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
