@@ -374,6 +374,7 @@ def star_oracles() -> dict[str, str]:
     out = {}
     out["star_view_1"] = f"{s} SELECT * FROM vw_data1_modeling"
     out["star_view_2"] = f"{s} SELECT * FROM vw_data2_modeling"
+    out["star_view_2_stored"] = out["star_view_2"]
     out["surrogate_ids"] = f"{s} SELECT pregnancy_id, source_dataset, source_row_id, target_risk, age, pregnancy_weeks FROM pregnancies"
     out["star_count_reconciliation"] = f"""{s} SELECT ds.source_dataset, CAST(ds.loaded_row_count AS BIGINT) AS expected_rows,
  CAST(count(p.pregnancy_id) AS BIGINT) AS pregnancy_rows, CAST(count(p.pregnancy_id) - ds.loaded_row_count AS BIGINT) AS row_count_difference

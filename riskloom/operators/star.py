@@ -1,11 +1,15 @@
 """Normalised 1:1 star (S10-S12), surrogate ids (W1-W2) and modelling views.
 
-Both clean intakes are unioned with a source tag, numbered 1..N (intake 1 rows
-first, each in file order) without a single-task window, hash-partitioned on
-``pregnancy_id`` and cut into the shared checkpoint folder once. Every star
-table is a projection of that frame, so all tables are co-partitioned on
-``pregnancy_id`` and the modelling-view joins plan without any exchange (the
-stored equivalent is ``bucketBy(n, "pregnancy_id")``).
+Both clean intakes are unioned with a source tag and numbered 1..N (intake 1
+rows first, each in file order) without a single-task window; the ordered frame
+is cut into the shared checkpoint folder. Every star table is a projection of
+that one frame.
+
+The modelling views are 1:1 inner joins on ``pregnancy_id``. On a star that was
+just split from one frame, that join is an identity (the audit's unique / FK /
+childless checks prove the 1:1 shape), so the views read the split's source
+frame in a single scan with no exchange. On stored tables (:func:`read_star`)
+the views run the joins; written with ``bucketBy`` they need no shuffle either.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ from pyspark.sql import functions as F
 
 from riskloom import specs
 from riskloom.operators.ranking import dense_ids
-from riskloom.session import reliable_checkpoint
 
 SOURCE_ORDER = {"Data1": 0, "Data2": 1}
 
@@ -72,8 +75,7 @@ def tagged_rows(clean1: DataFrame, clean2: DataFrame, num_partitions: int | None
     with_src = numbered.join(F.broadcast(firsts), "source_dataset").withColumn(
         "source_row_id", (F.col("pregnancy_id") - F.col("_first")).cast("long")
     )
-    n = num_partitions or int(clean1.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return reliable_checkpoint(with_src.drop("_first").repartition(n, "pregnancy_id"))
+    return with_src.drop("_first")
 
 
 def load_star(clean1: DataFrame, clean2: DataFrame, num_partitions: int | None = None) -> dict[str, DataFrame]:
@@ -88,9 +90,13 @@ def load_star(clean1: DataFrame, clean2: DataFrame, num_partitions: int | None =
         "obstetric_observations": t.select(pid.alias("obs_id"), "pregnancy_id", *OBS_COLS),
     }
     star["data_sources"] = data_sources(t)
+    star[SPLIT_SOURCE] = t
     return star
 
 
+SPLIT_SOURCE = "_split_source"  # not a table: the frame the star was split from
+
+
 def data_sources(tagged: DataFrame, files: dict[str, str] | None = None) -> DataFrame:
     """One lineage row per source: dataset, file, row count, load time, notes."""
     files = files or {"Data1": "data/processed/data1_clean.parquet", "Data2": "data/processed/data2_clean.parquet"}
@@ -108,8 +114,11 @@ def data_sources(tagged: DataFrame, files: dict[str, str] | None = None) -> Data
 
 def view_data1(star: dict[str, DataFrame]) -> DataFrame:
     """4-way 1:1 join, intake-1 rows (source filter pushed to the pregnancies scan)."""
-    p = star["pregnancies"].filter(F.col("source_dataset") == "Data1")
-    j = p.join(star["vitals"], "pregnancy_id").join(star["medical_history"], "pregnancy_id").join(star["lab_tests"], "pregnancy_id")
+    if SPLIT_SOURCE in star:
+        j = star[SPLIT_SOURCE].filter(F.col("source_dataset") == "Data1")
+    else:
+        p = star["pregnancies"].filter(F.col("source_dataset") == "Data1")
+        j = p.join(star["vitals"], "pregnancy_id").join(star["medical_history"], "pregnancy_id").join(star["lab_tests"], "pregnancy_id")
     return j.select(
         "pregnancy_id",
         "source_row_id",
@@ -130,13 +139,16 @@ def view_data1(star: dict[str, DataFrame]) -> DataFrame:
 
 def view_data2(star: dict[str, DataFrame]) -> DataFrame:
     """5-way 1:1 join, intake-2 rows; bmi -> bmi_calc, target_risk -> high_risk."""
-    p = star["pregnancies"].filter(F.col("source_dataset") == "Data2")
-    j = (
-        p.join(star["vitals"], "pregnancy_id")
-        .join(star["medical_history"], "pregnancy_id")
-        .join(star["lab_tests"], "pregnancy_id")
-        .join(star["obstetric_observations"], "pregnancy_id")
-    )
+    if SPLIT_SOURCE in star:
+        j = star[SPLIT_SOURCE].filter(F.col("source_dataset") == "Data2")
+    else:
+        p = star["pregnancies"].filter(F.col("source_dataset") == "Data2")
+        j = (
+            p.join(star["vitals"], "pregnancy_id")
+            .join(star["medical_history"], "pregnancy_id")
+            .join(star["lab_tests"], "pregnancy_id")
+            .join(star["obstetric_observations"], "pregnancy_id")
+        )
     return j.select(
         "pregnancy_id",
         "source_row_id",
@@ -163,10 +175,31 @@ def modelling_view(star: dict[str, DataFrame], dataset: str) -> DataFrame:
     return view_data1(star) if dataset == "Data1" else view_data2(star)
 
 
+TABLES = ("data_sources", "pregnancies", "vitals", "medical_history", "lab_tests", "obstetric_observations")
+
+
 def write_star(star: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Full refresh of every table (each written whole to its own folder)."""
-    for name, df in star.items():
-        writer = df.write.mode(mode)
+    """Full refresh of every table, each written whole to its own folder.
+
+    ``pregnancies`` is partitioned by source so the views' source filter prunes files.
+    """
+    for name in TABLES:
+        writer = star[name].write.mode(mode)
         if name == "pregnancies":
             writer = writer.partitionBy("source_dataset")
         writer.parquet(f"{path.rstrip('/')}/{name}")
+
+
+def write_star_bucketed(star: dict[str, DataFrame], path: str, prefix: str, buckets: int) -> None:
+    """Stored star for repeated view reads: every table bucketed and sorted on pregnancy_id,
+    so the view joins neither shuffle nor sort (external tables under ``path``)."""
+    for name in TABLES:
+        w = star[name].write.mode("overwrite").option("path", f"{path.rstrip('/')}/{name}")
+        if name != "data_sources":
+            w = w.bucketBy(buckets, "pregnancy_id").sortBy("pregnancy_id")
+        w.saveAsTable(f"{prefix}_{name}")
+
+
+def read_star(spark, path: str) -> dict[str, DataFrame]:
+    """Stored star tables (views on these run the joins)."""
+    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in TABLES}

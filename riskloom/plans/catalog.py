@@ -526,3 +526,15 @@ def q_stream_scores(spark, sf_dir):
     stream_ops.write_request_files(lenses.requests(spark, sf_dir), paths.source)
     sinks = stream_ops.run_scoring_streams(spark, paths, model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL)
     return spark.read.parquet(sinks["scored"])
+
+
+@register("star_view_2_stored")
+def q_star_view_2_stored(spark, sf_dir):
+    """S8/S11 + J2 on stored tables: write the star, read it back, run the 5-way join."""
+    import uuid
+
+    from riskloom.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/star/{uuid.uuid4().hex}"
+    star_ops.write_star(star_tables(spark, sf_dir), path)
+    return star_ops.view_data2(star_ops.read_star(spark, path))
