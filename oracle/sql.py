@@ -655,6 +655,7 @@ flat AS (SELECT request_id, prediction_mode, {reason} AS reason, '{specs.DISCLAI
   errors, missing_data1, missing_data2, {near} AS nearest_group FROM sc2)"""
     out["combined_score"] = f"{scored} SELECT * FROM flat"
     out["stream_scores"] = out["combined_score"]
+    out["requests_json_roundtrip"] = out["combined_score"]
     req_both = f"""{r},
 rb AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN len(missing_data1) = 0 AND len(missing_data2) = 0 THEN 'combined' ELSE 'incomplete' END AS mode2 FROM prep),
 rs AS (SELECT request_id, mode2, CASE WHEN mode2 = 'combined' THEN {w1} * ({sigmoid_sql(mc.DATA1_CARD)}) + {w2} * ({sigmoid_sql(mc.DATA2_CARD)}) END AS pc FROM rb)

@@ -538,3 +538,16 @@ def q_star_view_2_stored(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/star/{uuid.uuid4().hex}"
     star_ops.write_star(star_tables(spark, sf_dir), path)
     return star_ops.view_data2(star_ops.read_star(spark, path))
+
+
+@register("requests_json_roundtrip")
+def q_requests_json_roundtrip(spark, sf_dir):
+    """S5 + C1-C8: requests landed as JSON files, read back with a fixed schema, scored."""
+    import uuid
+
+    from riskloom.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/requests/{uuid.uuid4().hex}"
+    lenses.requests(spark, sf_dir).write.mode("overwrite").json(path)
+    recs = ingest.read_records_json(spark, path, stream_ops.request_schema(), layout="lines").drop("_corrupt_record")
+    return score_ops.score_records(recs, model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, mode="auto")

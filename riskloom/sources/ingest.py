@@ -92,3 +92,25 @@ def promote_header(cells: DataFrame, header_pos: int, named: list[tuple[str, str
     """P2 + P3: rows after the header, named by it; blank-header columns dropped; all-NULL rows dropped."""
     body = cells.filter(F.col("row_pos") > header_pos).select("row_pos", *[F.col(c).alias(n) for c, n in named])
     return body.dropna(how="all", subset=[n for _, n in named])
+
+
+def read_records_json(spark: SparkSession, path: str, schema: T.StructType, layout: str = "document") -> DataFrame:
+    """Request records with a fixed schema; anything unparsable lands in ``_corrupt_record``.
+
+    layout="document": each file is one JSON object or one JSON array of objects;
+    layout="lines": JSON lines (one object per line, splittable).
+    """
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return (
+        spark.read.schema(full)
+        .option("multiLine", layout == "document")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
+        .json(path)
+    )
+
+
+def read_records_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Headered CSV records with a fixed all-string schema (NA tokens become NULL)."""
+    df = spark.read.option("header", True).schema(schema).csv(path)
+    return na_tokens_to_null(df, keep=tuple(f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)))

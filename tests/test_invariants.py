@@ -134,3 +134,28 @@ def test_data_sources_and_reconciliation(spark):
     rows = catalog.QUERIES["star_count_reconciliation"](spark, SF_SMALL).collect()
     assert all(r["row_count_difference"] == 0 for r in rows)
     assert {r["source_dataset"] for r in rows} == set(specs.DATASETS)
+
+
+def test_json_document_layout_object_and_array(spark, tmp_path):
+    from riskloom.sources import ingest
+    from riskloom.streaming.stream import request_schema
+
+    (tmp_path / "a.json").write_text('{"request_id": 1, "age": "30"}')
+    (tmp_path / "b.json").write_text('[{"request_id": 2, "age": 31}, {"request_id": 3, "weight_kg": "x"}]')
+    df = ingest.read_records_json(spark, str(tmp_path), request_schema())
+    got = sorted((r["request_id"], r["age"], r["weight_kg"]) for r in df.collect())
+    assert got == [(1, "30", None), (2, "31", None), (3, None, "x")]
+
+
+def test_validate_counts_raises_on_mismatch(spark):
+    from riskloom.operators import audit, star as star_ops
+
+    c1, c2 = catalog.clean_a_df(spark, SF_SMALL), catalog.clean_b_df(spark, SF_SMALL)
+    s = star_ops.load_star(c1, c2)
+    audit.validate_counts(s, {"Data1": c1.count(), "Data2": c2.count()})
+    try:
+        audit.validate_counts(s, {"Data1": c1.count() + 1, "Data2": c2.count()})
+    except ValueError as e:
+        assert "mismatch" in str(e)
+    else:
+        raise AssertionError("expected a count mismatch")
