@@ -602,8 +602,8 @@ def with_requests() -> str:
     others = ", ".join(f for f in ALL_FIELDS if f not in ("bmi", "bmi_calc"))
     return f"""{b},
 ra AS (SELECT row_pos, {a_sel} FROM ({lenses.duck(lenses.INTAKE_A_SQL)}) q),
-ia AS (SELECT row_number() OVER (ORDER BY row_pos) AS request_id, * EXCLUDE (row_pos) FROM ra),
-ib AS (SELECT row_number() OVER (ORDER BY row_pos) AS request_id, {b_sel} FROM parsed_b),
+ia AS (SELECT row_pos AS request_id, * EXCLUDE (row_pos) FROM ra),
+ib AS (SELECT row_pos - 2 AS request_id, {b_sel} FROM parsed_b),
 req AS (SELECT coalesce(ia.request_id, ib.request_id) AS request_id, {', '.join(cols)} FROM ia FULL OUTER JOIN ib ON ia.request_id = ib.request_id),
 typed AS (SELECT request_id, {', '.join(typed)}, list_filter([{', '.join(perr)}], lambda x: x IS NOT NULL) AS payload_errors FROM req),
 bmi AS (SELECT request_id, {others}, coalesce(bmi, {bmi}) AS bmi, coalesce(bmi_calc, {bmi}) AS bmi_calc, payload_errors FROM typed),

@@ -141,14 +141,20 @@ def unique_audit(tables: dict[str, DataFrame], keys: dict[str, list[list[str]]])
 
 
 def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Child rows whose non-NULL FK has no parent (left-anti join)."""
-    kids = child.select(F.col(fk).alias("_k")).filter(F.col("_k").isNotNull())
-    return kids.join(parent.select(F.col(pk).alias("_k")), "_k", "left_anti").agg(F.count(F.lit(1)).cast("long").alias("issue_count"))
+    """Child rows whose non-NULL FK has no parent.
+
+    Child keys are counted per key first (map-side combined, so a hot key is one
+    row in the shuffle), then anti-joined with the parent keys; the row counts of
+    the unmatched keys are summed.
+    """
+    kids = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    missing = kids.join(parent.select(F.col(pk).alias("_k")), "_k", "left_anti")
+    return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("issue_count"))
 
 
 def childless_count(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
     """Parent rows without any child (left-anti join)."""
-    keys = child.select(F.col(fk).alias("_k"))
+    keys = child.select(F.col(fk).alias("_k")).distinct()  # map-side deduplicated
     return parent.select(F.col(pk).alias("_k")).join(keys, "_k", "left_anti").agg(
         F.count(F.lit(1)).cast("long").alias("issue_count")
     )

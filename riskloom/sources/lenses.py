@@ -110,9 +110,9 @@ def scored(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return stratified_kfold(base, label_col="y", id_col="id", k=k, seed=None, fold_col="fold")
 
 
-# Request records: raw intake-1 strings paired by file position with parsed intake-2
-# values (request k = k-th row of each; the longer side continues alone). Intake-2
-# rows carry no bmi_calc, so serve-time BMI derivation fills it.
+# Request records: raw intake-1 strings paired with parsed intake-2 values on their
+# source ids (order key k <-> event id k, one full outer equi-join; either side may
+# be alone). Intake-2 rows carry no bmi_calc, so serve-time BMI derivation fills it.
 REQUEST_A_FIELDS = {
     "Age": "age",
     "Systolic BP": "systolic_bp",
@@ -145,16 +145,15 @@ SHARED_FIELDS = ("age", "systolic_bp", "diastolic_bp")
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, 20 string fields) — any subset may be absent, blank or non-numeric."""
-    from riskloom.operators.ranking import dense_ids
     from riskloom.plans.clean import parse_data2
 
-    a = intake_a(spark, sf_dir).select("row_pos", *[F.col(k).alias(v) for k, v in REQUEST_A_FIELDS.items()])
+    a = intake_a(spark, sf_dir).select(
+        F.col("row_pos").alias("request_id"), *[F.col(k).alias(v) for k, v in REQUEST_A_FIELDS.items()]
+    )
     b = parse_data2(intake_b(spark, sf_dir)).select(
-        "row_pos", *[F.col(c).cast("string").alias(f"b_{c}") for c in REQUEST_B_FIELDS]
+        (F.col("row_pos") - 2).alias("request_id"), *[F.col(c).cast("string").alias(f"b_{c}") for c in REQUEST_B_FIELDS]
     )
-    ia = dense_ids(a, [F.col("row_pos")], out="request_id").drop("row_pos")
-    ib = dense_ids(b, [F.col("row_pos")], out="request_id").drop("row_pos")
-    j = ia.join(ib, "request_id", "full_outer")
+    j = a.join(b, "request_id", "full_outer")
     cols = []
     for f in REQUEST_A_FIELDS.values():
         cols.append(F.coalesce(F.col(f), F.col(f"b_{f}")).alias(f) if f in SHARED_FIELDS else F.col(f))
