@@ -203,3 +203,14 @@ def write_star_bucketed(star: dict[str, DataFrame], path: str, prefix: str, buck
 def read_star(spark, path: str) -> dict[str, DataFrame]:
     """Stored star tables (views on these run the joins)."""
     return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in TABLES}
+
+
+def load_and_validate(clean1: DataFrame, clean2: DataFrame, path: str) -> dict[str, DataFrame]:
+    """E2 load step: split, write every table (full refresh), read back, check counts."""
+    from riskloom.operators import audit
+
+    expected = {"Data1": clean1.count(), "Data2": clean2.count()}
+    write_star(load_star(clean1, clean2), path)
+    stored = read_star(clean1.sparkSession, path)
+    audit.validate_counts(stored, expected)
+    return stored

@@ -186,3 +186,44 @@ def cleaning_log_data2(cells: DataFrame) -> DataFrame:
         F.count_if(complete).cast("long").alias("final_rows"),
         F.lit(len(DATA2_COLUMNS)).cast("long").alias("final_columns"),
     )
+
+
+def run_clean(raw1: DataFrame, cells2: DataFrame, out_path: str) -> dict:
+    """E1 job: clean both intakes and write the clean tables, the four reports and the
+    cleaning log (S8 + S9). Returns the cleaning-log rows (two small dicts)."""
+    import json
+
+    from riskloom.operators import profile, rules
+
+    out = out_path.rstrip("/")
+    c1, c2 = clean_data1(raw1), clean_data2(cells2)
+    c1.write.mode("overwrite").parquet(f"{out}/data1_clean")
+    c2.write.mode("overwrite").parquet(f"{out}/data2_clean")
+    spark = raw1.sparkSession
+    c1, c2 = spark.read.parquet(f"{out}/data1_clean"), spark.read.parquet(f"{out}/data2_clean")
+    raw_cols = [c for c in raw1.columns if c != "row_pos"]
+    cell_cols = [c for c in cells2.columns if c != "row_pos"]
+    quality = (
+        profile.quality_row(raw1, "Data1 raw", specs.DATA1_TARGET_SOURCE, raw_cols)
+        .unionByName(profile.quality_row(c1, "Data1 clean", "risk", DATA1_COLUMNS))
+        .unionByName(profile.quality_row(cells2, "Data2 raw including metadata", None, cell_cols))
+        .unionByName(profile.quality_row(c2, "Data2 clean", "high_risk", DATA2_COLUMNS))
+    )
+    missing = (
+        profile.missing_rows(raw1, "Data1 raw", raw_cols)
+        .unionByName(profile.missing_rows(c1, "Data1 clean", DATA1_COLUMNS))
+        .unionByName(profile.missing_rows(c2, "Data2 clean", DATA2_COLUMNS))
+    )
+    targets = (
+        profile.target_rows(raw1, "Data1 raw", specs.DATA1_TARGET_SOURCE)
+        .unionByName(profile.target_rows(c1, "Data1 clean", "risk"))
+        .unionByName(profile.target_rows(c2, "Data2 clean", "high_risk"))
+    )
+    plaus = rules.rule_report(parse_data1(raw1).filter("risk IS NOT NULL"), specs.DATA1_RANGE_RULES, "Data1").unionByName(
+        rules.rule_report(parse_data2(cells2).filter("high_risk IS NOT NULL"), specs.DATA2_RANGE_RULES, "Data2")
+    )
+    for name, df in [("data_quality_summary", quality), ("missing_values_summary", missing), ("target_distribution_summary", targets), ("plausibility_summary", plaus)]:
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+    log = {"data1": cleaning_log_data1(raw1).first().asDict(), "data2": cleaning_log_data2(cells2).first().asDict()}
+    spark.createDataFrame([(json.dumps(log, sort_keys=True),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{out}/cleaning_log")
+    return log

@@ -75,9 +75,14 @@ def find_header(cells: DataFrame, markers=specs.DATA2_HEADER_MARKERS) -> tuple[i
     Returns (header row_pos, [(cell column, trimmed header name)] for non-blank headers).
     """
     cell_cols = [c for c in cells.columns if c != "row_pos"]
-    normalized = F.transform(F.array(*[F.col(c) for c in cell_cols]), lambda x: F.lower(parse.strip(x)))
-    need = F.array(*[F.lit(m) for m in markers])
-    hit = cells.filter(F.size(F.array_except(need, normalized)) == 0).orderBy("row_pos").limit(1).collect()
+    # every marker must equal some trimmed, lower-cased cell (plain ORs: stays in codegen)
+    cond = F.lit(True)
+    for m in markers:
+        any_cell = F.lit(False)
+        for c in cell_cols:
+            any_cell = any_cell | F.coalesce(F.lower(parse.strip(F.col(c))) == F.lit(m), F.lit(False))
+        cond = cond & any_cell
+    hit = cells.filter(cond).orderBy("row_pos").limit(1).collect()
     if not hit:
         raise ValueError("Could not find Data2 header row containing Age and high risk pregnancy.")
     header = hit[0]
@@ -111,6 +116,11 @@ def read_records_json(spark: SparkSession, path: str, schema: T.StructType, layo
 
 
 def read_records_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headered CSV records with a fixed all-string schema (NA tokens become NULL)."""
-    df = spark.read.option("header", True).schema(schema).csv(path)
-    return na_tokens_to_null(df, keep=tuple(f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)))
+    """Headered CSV records; columns are matched to ``schema`` by header name (absent
+    ones are NULL), every field read as text first, NA tokens become NULL, then typed."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = na_tokens_to_null(raw, keep=())
+    cols = [
+        (F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+    ]
+    return raw.select(*cols)

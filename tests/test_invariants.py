@@ -159,3 +159,30 @@ def test_validate_counts_raises_on_mismatch(spark):
         assert "mismatch" in str(e)
     else:
         raise AssertionError("expected a count mismatch")
+
+
+def test_csv_records_reader_and_units(spark, tmp_path):
+    from riskloom.functions import parse
+    from riskloom.sources import ingest
+    from riskloom.streaming.stream import request_schema
+
+    (tmp_path / "r.csv").write_text("request_id,age,weight_kg\n1,30,82\n2,n/a,\n")
+    df = ingest.read_records_csv(spark, str(tmp_path / "r.csv"), request_schema())
+    got = sorted((r["request_id"], r["age"], r["weight_kg"]) for r in df.collect())
+    assert got == [(1, "30", "82"), (2, None, None)]
+    c = spark.createDataFrame([(37.0,), (36.6,)], "c DOUBLE").select(parse.celsius_to_fahrenheit("c").alias("f"))
+    assert [r["f"] for r in c.collect()] == [98.6, 97.9]
+
+
+def test_metadata_roundtrip_alias_and_params(spark, tmp_path):
+    from riskloom.plans import train as T
+
+    meta = {"dataset": "Data2", "selected_threshold": 0.15, "limitations": ["a"], "best_params": {"C": 1.0}}
+    T.write_metadata(spark, meta, str(tmp_path / "meta"))
+    back = T.read_metadata(spark, str(tmp_path / "meta"))
+    assert back == meta
+    alias = T.publish_alias(back, "Data2", "models/final_model_data2", "default artifact")
+    assert alias["artifacts"]["deployment_model"] == "models/final_model_data2" and alias["limitations"][-1] == "default artifact"
+    assert T.params_from_json('{"C": 0.1, "class_weight": null}') == {"C": 0.1, "class_weight": None}
+    dual = T.dual_metadata({"selected_threshold": 0.10}, {"selected_threshold": 0.15})
+    assert abs(dual["combined_threshold"] - 0.125) < 1e-12

@@ -48,3 +48,19 @@ def test_stream_equals_batch(spark):
     cols = ["request_id", "prediction_mode", "data1_probability", "data2_probability", "combined_probability"]
     assert s.select(*cols).exceptAll(b.select(*cols)).count() == 0
     assert b.select(*cols).exceptAll(s.select(*cols)).count() == 0
+
+
+def test_run_clean_and_load(spark, tmp_path):
+    from riskloom.operators import star as star_ops
+    from riskloom.plans import clean
+    from riskloom.sources import lenses
+
+    raw1 = catalog.raw_a(spark, SF_SMALL)
+    cells2 = lenses.intake_b(spark, SF_SMALL)
+    log = clean.run_clean(raw1, cells2, str(tmp_path / "clean"))
+    assert log["data1"]["final_rows"] > 0 and log["data2"]["final_rows"] > 0
+    c1 = spark.read.parquet(str(tmp_path / "clean" / "data1_clean"))
+    c2 = spark.read.parquet(str(tmp_path / "clean" / "data2_clean"))
+    stored = star_ops.load_and_validate(c1, c2, str(tmp_path / "star"))
+    assert star_ops.view_data1(stored).count() == log["data1"]["final_rows"]
+    assert star_ops.view_data2(stored).count() == log["data2"]["final_rows"]
