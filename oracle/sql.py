@@ -44,14 +44,14 @@ def num_first(x: str) -> str:
 def yes_no(x: str) -> str:
     t = f"lower({strip(x)})"
     return (
-        f"CASE WHEN {t} IN {in_list(specs.YES_TOKENS)} THEN 1.0 "
-        f"WHEN {t} IN {in_list(specs.NO_TOKENS)} THEN 0.0 END"
+        f"CASE WHEN {t} IN {in_list(specs.YES_TOKENS)} THEN CAST(1 AS DOUBLE) "
+        f"WHEN {t} IN {in_list(specs.NO_TOKENS)} THEN CAST(0 AS DOUBLE) END"
     )
 
 
 def ordinal(x: str) -> str:
     t = f"lower({strip(x)})"
-    return "CASE " + " ".join(f"WHEN {t} = {lit(k)} THEN {float(v)}" for k, v in specs.ORDINAL_TOKENS.items()) + " END"
+    return "CASE " + " ".join(f"WHEN {t} = {lit(k)} THEN CAST({v} AS DOUBLE)" for k, v in specs.ORDINAL_TOKENS.items()) + " END"
 
 
 def label_map(x: str, mapping) -> str:
@@ -464,7 +464,7 @@ def metric_oracles() -> dict[str, str]:
     s = with_scored()
     out = {}
     out["scored_folds"] = f"{s} SELECT id, y, p, fold FROM scored"
-    out["confusion"] = f"""{s} SELECT fold, 0.5 AS threshold, {rates_sql()}, tn, fp, fn, tp FROM (
+    out["confusion"] = f"""{s} SELECT fold, CAST(0.5 AS DOUBLE) AS threshold, {rates_sql()}, tn, fp, fn, tp FROM (
  SELECT fold, CAST(count_if(p < 0.5 AND y <> 1) AS BIGINT) AS tn, CAST(count_if(p >= 0.5 AND y <> 1) AS BIGINT) AS fp,
   CAST(count_if(p < 0.5 AND y = 1) AS BIGINT) AS fn, CAST(count_if(p >= 0.5 AND y = 1) AS BIGINT) AS tp FROM ss GROUP BY fold) c"""
     out["threshold_sweep"] = f"{s} SELECT * FROM {sweep_sql('ss', 'split')} x"
@@ -615,6 +615,10 @@ routed AS (SELECT *,
    WHEN len(missing_data1) = 0 THEN 'data1_only' WHEN len(missing_data2) = 0 THEN 'data2_only' ELSE 'incomplete' END AS prediction_mode FROM prep)"""
 
 
+def txt(col: str) -> str:
+    return f"array_to_string({col}, '; ') AS {col}"
+
+
 def sigmoid_sql(card) -> str:
     z = " + ".join([str(float(card.intercept))] + [f"CAST({f} AS DOUBLE) * {float(card.coefficients.get(f, 0.0))}" for f in card.features])
     return f"1.0 / (1.0 + exp(-({z})))"
@@ -626,33 +630,33 @@ def score_oracles() -> dict[str, str]:
 
     r = with_requests()
     out = {}
-    out["request_validate"] = f"{r} SELECT request_id, {', '.join(ALL_FIELDS)}, errors, missing_data1, missing_data2 FROM prep"
+    out["request_validate"] = f"{r} SELECT request_id, {', '.join(ALL_FIELDS)}, {txt('errors')}, {txt('missing_data1')}, {txt('missing_data2')} FROM prep"
     reason = f"""CASE prediction_mode WHEN 'data1_only' THEN '{specs.ROUTE_REASONS['data1_only']}' WHEN 'data2_only' THEN '{specs.ROUTE_REASONS['data2_only']}'
  WHEN 'rejected' THEN array_to_string(errors, '; ')
  WHEN 'incomplete' THEN 'No complete feature group was supplied. Missing Data1: ' || array_to_string(missing_data1, ', ') || '; missing Data2: ' || array_to_string(missing_data2, ', ') END"""
     near = "CASE WHEN prediction_mode = 'incomplete' THEN CASE WHEN len(missing_data2) <= len(missing_data1) THEN 'Data2' ELSE 'Data1' END END"
     near_m = "CASE WHEN prediction_mode = 'incomplete' THEN CASE WHEN len(missing_data2) <= len(missing_data1) THEN missing_data2 ELSE missing_data1 END END"
-    out["route_mode"] = f"{r} SELECT request_id, prediction_mode, {reason} AS reason, {near} AS nearest_group, {near_m} AS nearest_missing FROM routed"
+    out["route_mode"] = f"{r} SELECT request_id, prediction_mode, {reason} AS reason, {near} AS nearest_group, array_to_string({near_m}, '; ') AS nearest_missing FROM routed"
     use1 = "prediction_mode IN ('combined', 'data1_only')"
     use2 = "prediction_mode IN ('combined', 'data2_only')"
-    w1 = w2 = 0.5
-    thr = mc.DUAL.combined_threshold
+    w1 = w2 = "CAST(0.5 AS DOUBLE)"
+    thr = f"CAST({mc.DUAL.combined_threshold} AS DOUBLE)"
     lab = lambda c: f"CASE WHEN {c} = 1 THEN '{specs.RISK_LABELS[1]}' WHEN {c} = 0 THEN '{specs.RISK_LABELS[0]}' END"
     scored = f"""{r},
 sc AS (SELECT *, CASE WHEN {use1} THEN {sigmoid_sql(mc.DATA1_CARD)} END AS p1, CASE WHEN {use2} THEN {sigmoid_sql(mc.DATA2_CARD)} END AS p2 FROM routed),
 sc2 AS (SELECT *, CASE WHEN prediction_mode = 'combined' THEN {w1} * p1 + {w2} * p2 END AS pc,
-  CASE WHEN {use1} THEN CAST(p1 >= {mc.DATA1_CARD.threshold} AS INTEGER) END AS c1,
-  CASE WHEN {use2} THEN CAST(p2 >= {mc.DATA2_CARD.threshold} AS INTEGER) END AS c2 FROM sc),
+  CASE WHEN {use1} THEN CAST(p1 >= CAST({mc.DATA1_CARD.threshold} AS DOUBLE) AS INTEGER) END AS c1,
+  CASE WHEN {use2} THEN CAST(p2 >= CAST({mc.DATA2_CARD.threshold} AS DOUBLE) AS INTEGER) END AS c2 FROM sc),
 flat AS (SELECT request_id, prediction_mode, {reason} AS reason, '{specs.DISCLAIMER}' AS disclaimer,
   CASE WHEN {use1} THEN '{mc.DATA1_CARD.model_name}' END AS data1_model_name, p1 AS data1_probability,
-  CASE WHEN {use1} THEN {mc.DATA1_CARD.threshold} END AS data1_threshold, c1 AS data1_predicted_class, {lab('c1')} AS data1_risk_label,
+  CASE WHEN {use1} THEN CAST({mc.DATA1_CARD.threshold} AS DOUBLE) END AS data1_threshold, c1 AS data1_predicted_class, {lab('c1')} AS data1_risk_label,
   CASE WHEN {use2} THEN '{mc.DATA2_CARD.model_name}' END AS data2_model_name, p2 AS data2_probability,
-  CASE WHEN {use2} THEN {mc.DATA2_CARD.threshold} END AS data2_threshold, c2 AS data2_predicted_class, {lab('c2')} AS data2_risk_label,
+  CASE WHEN {use2} THEN CAST({mc.DATA2_CARD.threshold} AS DOUBLE) END AS data2_threshold, c2 AS data2_predicted_class, {lab('c2')} AS data2_risk_label,
   pc AS combined_probability, CASE WHEN prediction_mode = 'combined' THEN {thr} END AS combined_threshold,
   CASE WHEN prediction_mode = 'combined' THEN CAST(pc >= {thr} AS INTEGER) END AS combined_predicted_class,
-  {lab("CASE WHEN prediction_mode = 'combined' THEN CAST(pc >= " + str(thr) + " AS INTEGER) END")} AS combined_risk_label,
+  {lab("CASE WHEN prediction_mode = 'combined' THEN CAST(pc >= " + thr + " AS INTEGER) END")} AS combined_risk_label,
   CASE WHEN prediction_mode = 'combined' THEN {w1} END AS data1_weight, CASE WHEN prediction_mode = 'combined' THEN {w2} END AS data2_weight,
-  errors, missing_data1, missing_data2, {near} AS nearest_group FROM sc2)"""
+  {txt('errors')}, {txt('missing_data1')}, {txt('missing_data2')}, {near} AS nearest_group FROM sc2)"""
     out["combined_score"] = f"{scored} SELECT * FROM flat"
     out["stream_scores"] = out["combined_score"]
     out["requests_json_roundtrip"] = out["combined_score"]
@@ -661,7 +665,7 @@ rb AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN len(missing_data
 rs AS (SELECT request_id, mode2, CASE WHEN mode2 = 'combined' THEN {w1} * ({sigmoid_sql(mc.DATA1_CARD)}) + {w2} * ({sigmoid_sql(mc.DATA2_CARD)}) END AS pc FROM rb)
 SELECT request_id, mode2 AS prediction_mode, pc AS combined_probability,
  CASE WHEN mode2 = 'combined' THEN CAST(pc >= {thr} AS INTEGER) END AS combined_predicted_class,
- {lab("CASE WHEN mode2 = 'combined' THEN CAST(pc >= " + str(thr) + " AS INTEGER) END")} AS combined_risk_label FROM rs"""
+ {lab("CASE WHEN mode2 = 'combined' THEN CAST(pc >= " + thr + " AS INTEGER) END")} AS combined_risk_label FROM rs"""
     out["combined_required_score"] = req_both
     out["presentation"] = f"""{scored},
 pres AS (SELECT request_id, prediction_mode,
@@ -670,5 +674,5 @@ pres AS (SELECT request_id, prediction_mode,
   CASE WHEN prediction_mode = 'combined' THEN combined_predicted_class WHEN prediction_mode = 'data1_only' THEN data1_predicted_class ELSE data2_predicted_class END AS c
  FROM flat WHERE prediction_mode IN ('combined', 'data1_only', 'data2_only'))
 SELECT request_id, prediction_mode, CAST(round_even(p * 100, 0) AS BIGINT) AS probability_pct, c AS predicted_class, {lab('c')} AS risk_label,
- round(t, 3) AS threshold FROM pres"""
+ CAST(round(t, 3) AS DOUBLE) AS threshold FROM pres"""
     return out

@@ -21,12 +21,31 @@ QUERIES: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return arrays_as_text(fn(spark, sf_dir))
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
 
     return deco
 
 
+def arrays_as_text(df: DataFrame) -> DataFrame:
+    """Report form: array<string> columns as '; '-joined text (NULL stays NULL)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            cols.append(F.when(F.col(f.name).isNull(), F.lit(None).cast("string")).otherwise(F.concat_ws("; ", f.name)).alias(f.name))
+        else:
+            cols.append(F.col(f"`{f.name}`"))
+    return df.select(*cols)
+
+
 # ----------------------------------------------------------------------------- inputs
 def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw intake 1 as read from CSV: header names, strings, NA tokens -> NULL."""
