@@ -89,15 +89,27 @@ def duck(sql: str) -> str:
     return sql.format(orders="orders", events="events", labels="labels", documents="documents")
 
 
+def spread(df: DataFrame, key: str = "row_pos") -> DataFrame:
+    """Hash-spread a frame over the cluster's cores when its scan has fewer splits.
+
+    The text parsers are CPU-bound; a small single-file table scans as one split.
+    On large inputs the scan already has more splits than cores and nothing happens.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def intake_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lens A as it comes off disk: one string column per raw header, plus row_pos."""
     lens = spark.sql(INTAKE_A_SQL, orders=table(spark, sf_dir, "orders"))
-    return lens.select("row_pos", *[F.col(k).alias(v) for k, v in INTAKE_A_HEADERS.items()])
+    return spread(lens.select("row_pos", *[F.col(k).alias(v) for k, v in INTAKE_A_HEADERS.items()]))
 
 
 def intake_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lens B as a headerless sheet: (row_pos, c0..c12) string cells."""
-    return spark.sql(INTAKE_B_SQL, events=table(spark, sf_dir, "events"))
+    return spread(spark.sql(INTAKE_B_SQL, events=table(spark, sf_dir, "events")))
 
 
 def scored(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
