@@ -92,21 +92,26 @@ def ordered_prefix_sums(
 
     ``df`` must have one row per (group, order value), e.g. scores grouped with
     their counts. Instead of one window per group (one task per group), order
-    values are cut into 2**bucket_bits equal-width value buckets per group
-    (monotone, so order is kept); a window inside (group, bucket) gives local
-    sums and a prefix over the small bucket-total table gives each bucket's offset.
+    values are cut into 2**bucket_bits equal-width buckets of asinh(value) per
+    group: asinh is monotone (order is kept), near-linear on probabilities and
+    logarithmic in the tails, so a few extreme values do not squeeze every other
+    value into one bucket. A window inside (group, bucket) gives local sums and a
+    prefix over the small bucket-total table gives each bucket's offset.
     """
     g = [*group_cols]
     gkey = g or ["_ps_all"]
     base = df if g else df.withColumn("_ps_all", F.lit(0))
-    span = base.groupBy(*gkey).agg(F.min(order_col).alias("_ps_lo"), F.max(order_col).alias("_ps_hi"))
+    base = base.withColumn("_ps_x", F.asinh(F.col(order_col).cast("double")))
+    span = base.groupBy(*gkey).agg(F.min("_ps_x").alias("_ps_lo"), F.max("_ps_x").alias("_ps_hi"))
     top = float(2**bucket_bits - 1)
     scaled = F.when(
         F.col("_ps_hi") > F.col("_ps_lo"),
-        F.floor((F.col(order_col) - F.col("_ps_lo")) / (F.col("_ps_hi") - F.col("_ps_lo")) * F.lit(top)),
+        F.floor((F.col("_ps_x") - F.col("_ps_lo")) / (F.col("_ps_hi") - F.col("_ps_lo")) * F.lit(top)),
     ).otherwise(F.lit(0))
     # one row per group: bounded by the number of groups
-    bucketed = base.join(F.broadcast(span), on=gkey, how="inner").withColumn("_ps_b", scaled.cast("long"))
+    bucketed = base.join(F.broadcast(span), on=gkey, how="inner").withColumn(
+        "_ps_b", F.coalesce(scaled.cast("long"), F.lit(-1))
+    )
     totals = bucketed.groupBy(*gkey, "_ps_b").agg(*[F.sum(v).alias(f"_ps_t_{v}") for v in value_cols])
     before = Window.partitionBy(*gkey).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -115,8 +120,7 @@ def ordered_prefix_sums(
     upto = Window.partitionBy(*gkey, "_ps_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = bucketed.select("*", *[F.sum(v).over(upto).alias(f"_ps_l_{v}") for v in value_cols])
     out = local.join(offsets, on=[*gkey, "_ps_b"], how="inner")
-    out = out.select(
+    return out.select(
         *[c for c in df.columns],
         *[(F.col(f"_ps_o_{v}") + F.col(f"_ps_l_{v}")).alias(f"{v}{suffix}") for v in value_cols],
     )
-    return out

@@ -186,3 +186,15 @@ def test_metadata_roundtrip_alias_and_params(spark, tmp_path):
     assert T.params_from_json('{"C": 0.1, "class_weight": null}') == {"C": 0.1, "class_weight": None}
     dual = T.dual_metadata({"selected_threshold": 0.10}, {"selected_threshold": 0.15})
     assert abs(dual["combined_threshold"] - 0.125) < 1e-12
+
+
+def test_exact_median_with_heavy_tails(spark):
+    import numpy as np
+
+    from riskloom.operators import stats
+
+    rng = np.random.default_rng(1)
+    vals = np.concatenate([rng.normal(50, 5, 5000).round(3), [1e15, -1e15, 3e12], [None] * 3])
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in vals], "x DOUBLE")
+    clean = np.array([v for v in vals if v is not None], dtype=float)
+    assert stats.exact_medians(df, ["x"]).first()["median"] == np.median(clean)
