@@ -78,7 +78,8 @@ def rule_report(df: DataFrame, rules: dict[str, RangeRule], dataset: str, sample
         F.concat_ws(
             "; ",
             F.transform(
-                F.array_sort(F.collect_list(F.struct("value", value_text(F.col("value")).alias("t")))),
+                # carries the pair count too, so both branches read one identical exchange (reused)
+                F.array_sort(F.collect_list(F.struct("value", value_text(F.col("value")).alias("t"), F.col("_n")))),
                 lambda x: x["t"],
             ),
         ).alias("invalid_values")
