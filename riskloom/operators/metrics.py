@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import specs
-from riskloom.operators.ranking import ordered_prefix_sums
+from riskloom.operators.ranking import attach_group_values, ordered_prefix_sums
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -63,11 +63,9 @@ def score_counts(df: DataFrame, label: str, score: str, group_cols=()) -> DataFr
 
 
 def _with_totals(g: DataFrame, group_cols) -> DataFrame:
-    keys = list(group_cols) or ["_all"]
-    base = g if group_cols else g.withColumn("_all", F.lit(0))
-    tot = base.groupBy(*keys).agg(F.sum("_pos").alias("_tpos"), F.sum("_neg").alias("_tneg"))
-    # one row per group: bounded by the number of groups
-    return base.join(F.broadcast(tot), on=keys, how="inner")
+    keys = list(group_cols)
+    tot = g.groupBy(*keys).agg(F.sum("_pos").alias("_tpos"), F.sum("_neg").alias("_tneg"))
+    return attach_group_values(g, tot, keys)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, group_cols=()) -> DataFrame:
@@ -142,10 +140,9 @@ def threshold_sweep(
     thresholds 1..bucket (``explode(sequence(1, b))`` on that tiny table).
     """
     grid = sorted(float(t) for t in thresholds)
-    keys = list(group_cols) or ["_all"]
-    base = df if group_cols else df.withColumn("_all", F.lit(0))
+    keys = list(group_cols)
     bucket = sum((F.col(score) >= F.lit(t)).cast("int") for t in grid)
-    b = base.groupBy(*keys, bucket.alias("_b")).agg(
+    b = df.groupBy(*keys, bucket.alias("_b")).agg(
         F.count_if(F.col(label) == 1).cast("long").alias("_pos"), F.count_if(F.col(label) != 1).cast("long").alias("_neg")
     )
     contrib = (
@@ -154,22 +151,21 @@ def threshold_sweep(
         .groupBy(*keys, "_i")
         .agg(F.sum("_pos").alias("_tp"), F.sum("_neg").alias("_fp"))
     )
-    totals = b.groupBy(*keys).agg(F.sum("_pos").alias("_tpos"), F.sum("_neg").alias("_tneg"))
-    full = totals.select(*keys, "_tpos", "_tneg", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))).alias("_i")).join(
+    totals = b.groupBy(*keys).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    full = totals.select(*keys, "_P", "_N", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))).alias("_i")).join(
         contrib, on=[*keys, "_i"], how="left"
     )
     tp = F.coalesce(F.col("_tp"), F.lit(0)).cast("long")
     fp = F.coalesce(F.col("_fp"), F.lit(0)).cast("long")
-    fn = (F.col("_tpos") - tp).cast("long")
-    tn = (F.col("_tneg") - fp).cast("long")
+    fn = (F.col("_P") - tp).cast("long")
+    tn = (F.col("_N") - fp).cast("long")
     threshold = F.element_at(F.array(*[F.lit(t) for t in grid]), F.col("_i"))
     out = full.select(
         *keys, threshold.alias("threshold"), *rates(tn, fp, fn, tp), tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp")
     )
     if with_auc:
-        auc = roc_auc(base, label, score, keys)
-        out = out.join(auc, on=keys, how="left")
-    return out.drop("_all") if not group_cols else out
+        out = attach_group_values(out, roc_auc(df, label, score, keys), keys)
+    return out
 
 
 def select_threshold(sweep: DataFrame, recall_floor=specs.THRESHOLD_RECALL_FLOOR, precision_floor=specs.THRESHOLD_PRECISION_FLOOR, group_cols=()) -> DataFrame:

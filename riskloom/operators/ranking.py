@@ -20,6 +20,20 @@ from pyspark.sql import functions as F
 
 from riskloom.session import reliable_checkpoint
 
+def attach_group_values(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    """Add per-group values (one row per group) to every row of ``df``.
+
+    With group keys this is a broadcast equi-join (the table is bounded by the
+    number of groups). Without keys the single aggregate row is read and its
+    values attached as literals, so no join without a key (cross join) is planned.
+    """
+    if keys:
+        return df.join(F.broadcast(per_group), on=keys, how="inner")
+    row = per_group.first()  # one row: a global aggregate
+    values = {c: F.lit(None if row is None else row[c]).cast(per_group.schema[c].dataType) for c in per_group.columns}
+    return df.withColumns(values)
+
+
 # 16**5 = 1,048,576 range buckets per group: at 10^12 rows a bucket holds ~10^6 rows.
 DEFAULT_BUCKET_HEX_DIGITS = 5
 
@@ -98,20 +112,15 @@ def ordered_prefix_sums(
     value into one bucket. A window inside (group, bucket) gives local sums and a
     prefix over the small bucket-total table gives each bucket's offset.
     """
-    g = [*group_cols]
-    gkey = g or ["_ps_all"]
-    base = df if g else df.withColumn("_ps_all", F.lit(0))
-    base = base.withColumn("_ps_x", F.asinh(F.col(order_col).cast("double")))
+    gkey = [*group_cols]
+    base = df.withColumn("_ps_x", F.asinh(F.col(order_col).cast("double")))
     span = base.groupBy(*gkey).agg(F.min("_ps_x").alias("_ps_lo"), F.max("_ps_x").alias("_ps_hi"))
     top = float(2**bucket_bits - 1)
     scaled = F.when(
         F.col("_ps_hi") > F.col("_ps_lo"),
         F.floor((F.col("_ps_x") - F.col("_ps_lo")) / (F.col("_ps_hi") - F.col("_ps_lo")) * F.lit(top)),
     ).otherwise(F.lit(0))
-    # one row per group: bounded by the number of groups
-    bucketed = base.join(F.broadcast(span), on=gkey, how="inner").withColumn(
-        "_ps_b", F.coalesce(scaled.cast("long"), F.lit(-1))
-    )
+    bucketed = attach_group_values(base, span, gkey).withColumn("_ps_b", F.coalesce(scaled.cast("long"), F.lit(-1)))
     totals = bucketed.groupBy(*gkey, "_ps_b").agg(*[F.sum(v).alias(f"_ps_t_{v}") for v in value_cols])
     before = Window.partitionBy(*gkey).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
