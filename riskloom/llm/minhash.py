@@ -61,57 +61,70 @@ def _gaps(seed: np.ndarray) -> np.ndarray:
     return -np.log(_uniform(seed))
 
 
-def bag_minhash(elements: np.ndarray, counts: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """Signature of a weighted set: per register the name of its earliest point (uint64)."""
-    out = np.zeros(registers, U64)
-    if not len(elements):
-        return out
-    # processes: (seed, rate, lower weight); level 0 is [0, 1), level l >= 1 is [2**(l-1), 2**l)
-    seeds, rates, lower, weight = [T.mix(elements)], [np.ones(len(elements))], [np.zeros(len(elements))], [counts]
+def _processes(owner: np.ndarray, elements: np.ndarray, counts: np.ndarray):
+    """(owner, seed, rate, lower weight, multiplicity) of the elements' Poisson processes.
+
+    Level 0 covers the weights [0, 1), level l >= 1 covers [2**(l-1), 2**l).
+    """
+    out = [(owner, T.mix(elements), np.ones(len(elements)), np.zeros(len(elements)), counts)]
     level, low = 1, 1
     while (more := counts > low).any():
-        k = int(more.sum())
-        seeds.append(T.mix(elements[more] + U64(level * 0x9E3779B97F4A7C15 % 2**64)))
-        rates.append(np.full(k, float(low)))
-        lower.append(np.full(k, float(low)))
-        weight.append(counts[more])
+        seed = T.mix(elements[more] + U64(level * 0x9E3779B97F4A7C15 % 2**64))
+        side = np.full(len(seed), float(low))
+        out.append((owner[more], seed, side, side, counts[more]))
         level, low = level + 1, low * 2
-    seed, rate, base, limit = map(np.concatenate, (seeds, rates, lower, weight))
-    total = float(counts.sum())
-    stop = registers * (math.log(registers) + 4) / total
-    first = _gaps(seed) / rate
-    while True:
-        go = first < stop
-        s, r, b, top, t = seed[go], rate[go], base[go], limit[go], first[go]
-        times, names = [], []
-
-        def put(t, s, r, b, top, index):
-            early = t < stop
-            s, r, b, top, index = (np.broadcast_to(x, t.shape)[early] for x in (s, r, b, top, index))
-            name = T.mix(s * U64(0xA0761D6478BD642F) + index)
-            fits = b + r * _uniform(T.mix(name + U64(5))) < top
-            times.append(t[early][fits])
-            names.append(name[fits])
-
-        put(t, s, r, b, top, U64(1))
-        k = 1
-        while len(s):  # the next points of the processes that may still have some, a block at a time
-            block = min(256, int(stop * float(np.median(r))) + 2)
-            index = np.arange(k + 1, k + 1 + block, dtype=U64)
-            gaps = _gaps(T.mix(s[:, None] + index[None, :] * U64(0xD1B54A32D192ED03))) / r[:, None]
-            t = t[:, None] + np.cumsum(gaps, axis=1)
-            put(t, s[:, None], r[:, None], b[:, None], top[:, None], index[None, :])
-            more, k = t[:, -1] < stop, k + block
-            s, r, b, top, t = s[more], r[more], b[more], top[more], t[more, -1]
-        time, name = np.concatenate(times), np.concatenate(names)
-        register = (T.mix(name) % U64(registers)).astype(np.int64)
-        late_first = np.argsort(-time, kind="stable")
-        filled = np.zeros(registers, bool)
-        filled[register] = True
-        if filled.all():
-            out[register[late_first]] = name[late_first]  # the earliest point is written last
-            return out
-        stop *= 2
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def bag_minhash_many(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
+    """Signatures of weighted sets: per set and register the name of the earliest point (uint64)."""
+    out = np.zeros((len(sets), registers), U64)
+    todo = [i for i, (e, _) in enumerate(sets) if len(e)]
+    scale = registers * (math.log(registers) + 4)
+    while todo:
+        owner = np.repeat(np.arange(len(todo)), [len(sets[i][0]) for i in todo])
+        elements, counts = (np.concatenate([sets[i][k] for i in todo]) for k in (0, 1))
+        stops = scale / np.bincount(owner, counts)
+        o, s, r, b, top = _processes(owner, elements, counts)
+        plain = not b.any()  # every multiplicity is 1: all points count
+        stop, found, k = stops[o], [], 1
+        t = _gaps(s) / r
+        live = np.flatnonzero(t < stop)
+        t = t[live]
+        while len(live):  # all processes that may have more points take their next ones
+            seed = s[live]
+            name = T.mix(seed * U64(0xA0761D6478BD642F) + U64(k))
+            if plain:
+                found.append((t, o[live], name))
+            else:
+                fits = np.ones(len(live), bool)
+                high = np.flatnonzero(b[live] > 0)
+                at = live[high]
+                fits[high] = b[at] + r[at] * _uniform(T.mix(name[high] + U64(5))) < top[at]
+                found.append((t[fits], o[live[fits]], name[fits]))
+            k += 1
+            step = _gaps(T.mix(seed + U64(k * 0xD1B54A32D192ED03 % 2**64)))
+            t = t + (step if plain else step / r[live])
+            go = t < stop[live]
+            t, live = t[go], live[go]
+        time, o, name = map(np.concatenate, zip(*found, strict=True))
+        cell = o * registers + (name % U64(registers)).astype(np.int64)
+        earliest = np.full(len(todo) * registers, np.inf)
+        np.minimum.at(earliest, cell, time)
+        first = time == earliest[cell]
+        flat = np.zeros(len(todo) * registers, U64)
+        flat[cell[first]] = name[first]
+        filled = np.isfinite(earliest)
+        done = filled.reshape(-1, registers).all(1)
+        for j, i in enumerate(todo):
+            if done[j]:
+                out[i] = flat[j * registers : (j + 1) * registers]
+        todo, scale = [i for j, i in enumerate(todo) if not done[j]], scale * 2
+    return out
+
+
+def bag_minhash(elements: np.ndarray, counts: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    return bag_minhash_many([(elements, counts)], registers)[0]
 
 
 def band_hashes(signature: np.ndarray) -> np.ndarray:
@@ -142,10 +155,18 @@ def signatures(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, held, size = [], [], 0
+
+            def flush(held):
+                signed = bag_minhash_many(held)
+                return [band_hashes(g).view(np.int64) if len(e) else np.empty(0, np.int64) for g, (e, _) in zip(signed, held, strict=True)]
+
             for text in T.byte_rows(batch.column(1)):
-                found = shingles(text)
-                rows.append(band_hashes(bag_minhash(*found)).astype(np.int64) if len(found[0]) else np.empty(0, np.int64))
+                held.append(shingles(text))
+                size += len(held[-1][0])
+                if len(held) >= 1024 or size > 150_000:
+                    rows, held, size = rows + flush(held), [], 0
+            rows = rows + flush(held)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "bands"])
 
     return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>")

@@ -36,11 +36,28 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 VARIANTS = 4
 SEED = 2
-CACHE = 400_000
+CACHE = 500_000
 BLANK = "▁"
 _CHUNK = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
 
 
+UNKNOWN, GONE = -1, -2  # symbols: a character without a piece; merged into an earlier symbol
+NONE = np.iinfo(np.int32).max  # rank of a place without a candidate
+LONG = 120  # characters above which a chunk is segmented by itself
+SALT_STEP = 0x9E3779B97F4A7C15
+PAIR_STEP = 0xC2B2AE3D27D4EB4F
+
+
+def _coin(salt, i, m, e):
+    """32 keyed bits for a candidate merge of [i, m) and [m, e); numbers or arrays."""
+    if isinstance(salt, int):
+        x = (salt ^ (i * 0xD6E8FEB86659FD93 + m * 0xA0761D6478BD642F + e * 0xE7037ED1A0B428DB)) % 2**64
+        return (x * 0x94D049BB133111EB % 2**64) >> 32
+    i, m, e = (x.astype(np.uint64) for x in (i, m, e))
+    x = salt ^ (i * np.uint64(0xD6E8FEB86659FD93) + m * np.uint64(0xA0761D6478BD642F) + e * np.uint64(0xE7037ED1A0B428DB))
+    return x * np.uint64(0x94D049BB133111EB) >> np.uint64(32)
+
+
 class Vocabulary:
     """Pieces and merge order; small (one entry per piece), shipped with the task."""
 
@@ -60,12 +77,58 @@ class Vocabulary:
                 self.surface[i] = piece.encode()
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
+        if missing := {c for p in self.ids for c in p} - set(self.ids):
+            raise ValueError(f"characters of pieces without a piece: {sorted(missing)[:3]}")
+        self._tables()
         crossing = [p for p in self.ids if re.search("[^ ] ", p) or ("\n" in p and len(p) > 1)]
         if crossing:
             raise ValueError(f"pieces across chunks: {crossing[:3]}")
 
+    def _tables(self) -> None:
+        """Arrays for :meth:`segment_many`: characters, merge order of pieces, and pairs with their merged piece."""
+        self.of_char = np.full(0x110000, UNKNOWN, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        scores = sorted(set(self.order.values()))
+        place = {s: k for k, s in enumerate(scores)}  # equal scores stay equal: the leftmost merges first
+        self.rank = np.full(len(self.surface), NONE, np.int32)
+        pairs = {}
+        for piece, i in self.ids.items():
+            self.rank[i] = place[self.order[piece]]
+            for k in range(1, len(piece)):
+                left, right = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                if left is not None and right is not None:
+                    pairs[left * len(self.surface) + right] = i
+        # open addressing: slot of a key is its hash, the next free one if that is taken
+        self.slots = 1 << (2 * len(pairs) - 1).bit_length() + 1
+        self.slot_key = np.full(self.slots, -1, np.int64)
+        self.slot_id = np.full(self.slots, UNKNOWN, np.int32)
+        self.probes = 1
+        for key, i in pairs.items():
+            at, tries = key * PAIR_STEP % 2**64 >> 20 & self.slots - 1, 1
+            while self.slot_key[at] >= 0:
+                at, tries = at + 1 & self.slots - 1, tries + 1
+            self.slot_key[at], self.slot_id[at], self.probes = key, i, max(self.probes, tries)
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Piece of each pair of symbols, or UNKNOWN."""
+        keys = left.astype(np.int64) * len(self.surface) + right
+        keys[(left < 0) | (right < 0)] = -2
+        at = (keys.view(np.uint64) * np.uint64(PAIR_STEP) >> np.uint64(20)).astype(np.int64) & self.slots - 1
+        out = np.where(self.slot_key[at] == keys, self.slot_id[at], np.int32(UNKNOWN))
+        rest = np.flatnonzero((self.slot_key[at] != keys) & (self.slot_key[at] >= 0))
+        for _ in range(self.probes - 1):
+            if not len(rest):
+                break
+            at[rest] = at[rest] + 1 & self.slots - 1
+            hit = self.slot_key[at[rest]] == keys[rest]
+            out[rest[hit]] = self.slot_id[at[rest[hit]]]
+            rest = rest[~hit & (self.slot_key[at[rest]] >= 0)]
+        return out
+
     def segment(self, chunk: str, dropout: float = 0.0, key: int = 0) -> list[int]:
-        """Piece ids of one chunk (blanks as blanks)."""
+        """Piece ids of one chunk (blanks as blanks), by a heap as agenda."""
         n, order = len(chunk), self.order
         if chunk == BLANK:
             return [self.byte_ids[b] for b in chunk.encode()]
@@ -73,13 +136,15 @@ class Vocabulary:
         before = list(range(-1, n - 1))
         agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := order.get(chunk[i : i + 2])) is not None]
         heapify(agenda)
-        salt = xxhash.xxh3_64_intdigest(chunk.encode(), key) if dropout else 0
-        below = int(dropout * 2**32)
+        below, salt = int(dropout * 2**32), key % 2**64
+        if below:
+            for c in chunk:
+                salt = (salt * SALT_STEP + ord(c)) % 2**64
         while agenda:
             _, i, m, e = heappop(agenda)
             if end[i] != m or end[m] != e:
                 continue  # one of its symbols is gone or has grown
-            if below and ((salt ^ (i * 0x9E3779B97F4A7C15 + m * 0xBF58476D1CE4E5B9 + e)) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF) < below:
+            if below and _coin(salt, i, m, e) < below:
                 continue
             end[i], end[m] = e, 0
             if e < n:
@@ -100,6 +165,79 @@ class Vocabulary:
             i = end[i]
         return out
 
+    def segment_many(self, chunks: list[str], dropout: float = 0.0, key: int = 0) -> list[bytes]:
+        """As :meth:`segment`, for many chunks in step: int32 ids of each as bytes.
+
+        Every chunk has its agenda as a row of ranks; each step takes the first least
+        rank of every row, and merges it or, by the keyed hash, strikes it off.
+        """
+        out: list = [b""] * len(chunks)
+        lengths = np.array([len(c) for c in chunks])
+        for low, high in ((0, 6), (6, 9), (9, 13), (13, 20), (20, 40), (40, LONG)):
+            at = np.flatnonzero((lengths > low) & (lengths <= high))
+            for part in np.array_split(at, -(-len(at) // 4096)) if len(at) else ():
+                for i, ids in zip(part.tolist(), self._in_step([chunks[i] for i in part], lengths[part], dropout, key), strict=True):
+                    out[i] = ids
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            out[i] = np.array(self.segment(chunks[i], dropout, key), np.int32).tobytes()
+        return out
+
+    def _in_step(self, chunks: list[str], lengths: np.ndarray, dropout: float, key: int) -> list[bytes]:
+        n, width = len(chunks), int(lengths.max())
+        inside = np.arange(width)[None, :] < lengths[:, None]
+        codes = np.zeros((n, width), np.int64)
+        codes[inside] = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        symbol = np.where(inside, self.of_char[codes], np.int32(GONE))
+        salt = np.full(n, key % 2**64, np.uint64)
+        below = int(dropout * 2**32)
+        if below:
+            for k in range(width):
+                salt = np.where(inside[:, k], salt * np.uint64(SALT_STEP) + codes[:, k].astype(np.uint64), salt)
+        end = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
+        merged = np.full((n, width), UNKNOWN, np.int32)
+        merged[:, :-1] = self._merged(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(n, width - 1)
+        rank = np.where(merged >= 0, self.rank[merged], NONE)
+        rows = np.arange(n)
+        while len(rows):
+            i = rank[rows].argmin(axis=1)
+            some = rank[rows, i] != NONE
+            rows, i = rows[some], i[some]
+            m = end[rows, i]
+            e = end[rows, m]
+            live, r = rows, rows
+            if below:
+                struck = _coin(salt[rows], i, m, e) < below
+                rank[rows[struck], i[struck]] = NONE
+                go = ~struck
+                r, i, m, e = rows[go], i[go], m[go], e[go]
+            piece = merged[r, i]
+            symbol[r, i], symbol[r, m], end[r, i], rank[r, m] = piece, GONE, e, NONE
+            more = e < lengths[r]
+            rank[r, i] = NONE
+            q, qi, qe = r[more], i[more], e[more]
+            before[q, qe] = qi
+            new = self._merged(piece[more], symbol[q, qe])
+            merged[q, qi], rank[q, qi] = new, np.where(new >= 0, self.rank[new], NONE)
+            p = before[r, i]
+            has = p >= 0
+            q, qp = r[has], p[has]
+            new = self._merged(symbol[q, qp], piece[has])
+            merged[q, qp], rank[q, qp] = new, np.where(new >= 0, self.rank[new], NONE)
+            rows = live
+        left = symbol != GONE
+        flat = symbol[left].astype(np.int32).tobytes()
+        stops = 4 * np.cumsum(left.sum(1))
+        starts = np.concatenate([[0], stops[:-1]])
+        out = [flat[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        for row in np.flatnonzero((symbol == UNKNOWN).any(1)).tolist():
+            ids = []
+            for k in np.flatnonzero(left[row]).tolist():
+                known = int(symbol[row, k])
+                ids.extend([known] if known >= 0 else [self.byte_ids[b] for b in chunks[row][k].encode()])
+            out[row] = np.array(ids, np.int32).tobytes()
+        return out
+
     def decode(self, ids) -> bytes:
         """UTF-8 text of piece ids (the leading blank of the first chunk goes)."""
         return b"".join(map(self.surface.__getitem__, ids))[1:]
@@ -115,21 +253,20 @@ class Encoder:
     def variant(self, doc_id) -> int:
         return xxhash.xxh3_64_intdigest(str(doc_id).encode(), self.seed) % self.variants
 
-    def __call__(self, text: str, variant: int) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        known, parts = self.cache[variant], []
-        for chunk in _CHUNK.findall(" " + text):
-            part = known.get(chunk)
-            if part is None:
-                ids = self.vocabulary.segment(chunk, self.dropout, self.seed * 1_000_003 + variant)
-                part = np.array(ids, np.int32).tobytes()
-                if len(chunk) < 64:
-                    if len(known) >= self.room // self.variants:
-                        known.clear()
-                    known[chunk] = part
-            parts.append(part)
-        return np.frombuffer(b"".join(parts), np.int32)
+    def many(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list = [None] * len(texts)
+        for v in set(variants):
+            mine = [i for i, w in enumerate(variants) if w == v]
+            chunks = [_CHUNK.findall(" " + texts[i]) if texts[i] else [] for i in mine]
+            known = self.cache[v]
+            if len(known) > self.room // self.variants:
+                known.clear()
+            new = list({c for own in chunks for c in own if c not in known})
+            known.update(zip(new, self.vocabulary.segment_many(new, self.dropout, self.seed * 1_000_003 + v), strict=True))
+            for i, own in zip(mine, chunks, strict=True):
+                out[i] = np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32)
+        return out
 
 
 _ENCODERS: dict = {}  # one per worker and setting: its cache serves all of the worker's tasks
@@ -179,14 +316,11 @@ def encode(
         encoder = _encoder(vocabulary, *setting)
         for whole in batches:
             for batch in _slices(whole, at):
-                ids, variants, hashes, same = [], [], [], []
-                for doc_id, text in zip(batch.column(ident).to_pylist(), batch.column(at).fill_null("").to_pylist(), strict=True):
-                    v = encoder.variant(doc_id)
-                    found = encoder(text, v)
-                    ids.append(found)
-                    variants.append(v)
-                    hashes.append(hashlib.sha256(found.tobytes()).hexdigest())
-                    same.append(vocabulary.decode(found.tolist()) == text.encode())
+                texts = batch.column(at).fill_null("").to_pylist()
+                variants = [encoder.variant(d) for d in batch.column(ident).to_pylist()]
+                ids = encoder.many(texts, variants)
+                hashes = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
+                same = [vocabulary.decode(x.tolist()) == t.encode() for x, t in zip(ids, texts, strict=True)]
                 lengths = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
