@@ -25,6 +25,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -281,7 +282,7 @@ def _encoder(vocabulary: Vocabulary, *setting) -> Encoder:
 
 def _slices(batch: pa.RecordBatch, at: int, limit: int = 4 << 20):
     """Parts of a batch with about ``limit`` bytes of text."""
-    sizes = pa.compute.binary_length(batch.column(at).fill_null("")).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(at).fill_null("")).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > limit:
