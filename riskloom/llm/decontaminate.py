@@ -12,7 +12,8 @@ An item of fewer words than a window (but at least one) is one window of its own
 length; such windows are compared by the hash of the whole window, then by words.
 
 Defined results: NULL and empty texts have no words, hence no windows and no hits;
-repeated rows get equal results, one each; items that repeat count by distinct id;
+repeated rows get equal results, one each; items that repeat count by distinct id, an
+item without id covers words but is not counted;
 an empty benchmark leaves every document clean; columns other than the ids and the
 texts are not read.
 """
@@ -191,7 +192,7 @@ dw AS (
 hit AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.span = bw.span),
 cover AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
 its AS (
-  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
