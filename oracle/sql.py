@@ -78,15 +78,15 @@ def bp(x: str, part: int) -> str:
     return f"TRY_CAST(regexp_extract({x}, {BP}, {part}) AS DOUBLE)"
 
 
-def bad(x: str, rule: specs.RangeRule) -> str:
-    if rule.allowed_values is not None:
-        cond = f"{x} NOT IN ({', '.join(str(float(v)) for v in rule.allowed_values)})"
+def bad(x: str, rule: specs.Rule) -> str:
+    if isinstance(rule, specs.OneOf):
+        cond = f"{x} NOT IN ({', '.join(str(float(v)) for v in rule.values)})"
     else:
-        cond = f"({x} < {float(rule.min_value)} OR {x} > {float(rule.max_value)})"
+        cond = f"({x} < {float(rule.low)} OR {x} > {float(rule.high)})"
     return f"({x} IS NOT NULL AND coalesce({cond}, false))"
 
 
-def ruled(x: str, rule: specs.RangeRule) -> str:
+def ruled(x: str, rule: specs.Rule) -> str:
     return f"CASE WHEN {bad(x, rule)} THEN NULL ELSE {x} END"
 
 
@@ -160,7 +160,7 @@ def rule_report_sql(frame: str, rules: dict, dataset: str) -> str:
     parts = []
     for i, (name, rule) in enumerate(rules.items()):
         parts.append(
-            f"SELECT {i} AS rule_order, {lit(name)} AS col, {lit(rule.description())} AS rule, {lit(rule.action)} AS rule_action, "
+            f"SELECT {i} AS rule_order, {lit(name)} AS col, {lit(rule.text)} AS rule, {lit(specs.SET_MISSING)} AS rule_action, "
             f"{lit(rule.note)} AS note, CAST({name} AS DOUBLE) AS v, {bad('CAST(' + name + ' AS DOUBLE)', rule)} AS is_bad FROM {frame}"
         )
     cells = " UNION ALL ".join(parts)
@@ -536,7 +536,7 @@ SELECT label, n_class, CAST(sum(n_class) OVER () AS DOUBLE) / (count(*) OVER ()
     feats = list(specs.DATA1.features)
     params = " UNION ALL ".join(
         f"""SELECT {i} AS feature_order, '{f}' AS feature, md AS median, avg(coalesce({f}, md)) AS mean, stddev_pop(coalesce({f}, md)) AS std,
- CASE WHEN stddev_pop(coalesce({f}, md)) > 1e-12 THEN stddev_pop(coalesce({f}, md)) ELSE 1.0 END AS scale
+ CASE WHEN stddev_pop(coalesce({f}, md)) > 1e-12 * abs(avg(coalesce({f}, md))) THEN stddev_pop(coalesce({f}, md)) ELSE 1.0 END AS scale
  FROM clean_a, (SELECT median({f}) AS md FROM clean_a) m GROUP BY md"""
         for i, f in enumerate(feats)
     )

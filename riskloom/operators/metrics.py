@@ -100,7 +100,7 @@ def pr_summary(df: DataFrame, label: str, score: str, group_cols=()) -> DataFram
     prec = F.col("_ctp") / F.col("_cc")
     prev_cc = F.col("_cc") - F.col("_cnt")
     prev_prec = F.when(prev_cc > 0, (F.col("_ctp") - F.col("_pos")) / prev_cc).otherwise(F.lit(1.0))
-    drec = F.col("_pos") / F.col("_tpos")
+    drec = _ratio(F.col("_pos"), F.col("_tpos"))  # 0 without positives
     return p.groupBy(*group_cols).agg(
         F.sum(drec * prec).alias("average_precision"),
         F.sum(drec * (prec + prev_prec) / 2).alias("pr_auc"),

@@ -63,13 +63,13 @@ def target_rows(df: DataFrame, dataset: str, target_col: str) -> DataFrame:
     counts = df.groupBy(F.col(target_col).alias("_v")).agg(F.count(F.lit(1)).alias("count"))
     # the window runs over the distinct target values only
     total = F.sum("count").over(Window.partitionBy())
-    return counts.select(
+    return counts.orderBy(F.asc_nulls_last("_v")).select(
         F.lit(dataset).alias("dataset"),
         F.lit(target_col).alias("target_column"),
         F.col("_v").cast("string").alias("target_value"),
         F.col("count").cast("long").alias("count"),
         F.round(F.col("count") * 100.0 / total, 3).cast("double").alias("percent"),
-    ).orderBy(F.asc_nulls_last("target_value"))
+    )
 
 
 def duplicate_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

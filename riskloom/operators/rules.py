@@ -12,36 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.specs import RangeRule
+from riskloom.specs import SET_MISSING, Rule
 
 
-def invalid_predicate(c: Column, rule: RangeRule) -> Column:
+def invalid_predicate(c: Column, rule: Rule) -> Column:
     """non-null and (outside [min, max] | not in the allowed set); NULL passes."""
-    if rule.allowed_values is not None:
-        bad = ~c.isin(*[float(v) for v in rule.allowed_values])
-    else:
-        if rule.min_value is None or rule.max_value is None:
-            raise ValueError("range rules need both bounds")
-        bad = (c < F.lit(float(rule.min_value))) | (c > F.lit(float(rule.max_value)))
-    return c.isNotNull() & F.coalesce(bad, F.lit(False))
+    return c.isNotNull() & F.coalesce(rule.outside(c), F.lit(False))
 
 
-def active_rules(df: DataFrame, rules: dict[str, RangeRule]) -> list[tuple[int, str, RangeRule]]:
+def active_rules(df: DataFrame, rules: dict[str, Rule]) -> list[tuple[int, str, Rule]]:
     """Rules in declaration order, skipping columns the frame does not have."""
     return [(i, name, rule) for i, (name, rule) in enumerate(rules.items()) if name in df.columns]
 
 
-def apply_rules(df: DataFrame, rules: dict[str, RangeRule]) -> DataFrame:
-    """Out-of-rule cells become NULL (rows are kept); all rules in one projection."""
-    updates = {}
-    for _, name, rule in active_rules(df, rules):
-        if rule.action == "set_missing":
-            c = F.col(name)
-            updates[name] = F.when(invalid_predicate(c, rule), F.lit(None).cast(df.schema[name].dataType)).otherwise(c)
-    return df.withColumns(updates) if updates else df
+def apply_rules(df: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """One projection that sets the values breaking a rule to NULL."""
+    return df.withColumns({name: F.when(~invalid_predicate(F.col(name), rule), F.col(name)) for _, name, rule in active_rules(df, rules)})
 
 
-def rule_report(df: DataFrame, rules: dict[str, RangeRule], dataset: str, sample_size: int = 10) -> DataFrame:
+def rule_report(df: DataFrame, rules: dict[str, Rule], dataset: str, sample_size: int = 10) -> DataFrame:
     """R2: per rule: invalid_count, first ``sample_size`` distinct invalid values ascending, action, note.
 
     Columns: dataset, rule_order, column, rule, invalid_count, invalid_values, action, note.
@@ -86,7 +75,7 @@ def rule_report(df: DataFrame, rules: dict[str, RangeRule], dataset: str, sample
     )
 
     meta = spark.createDataFrame(
-        [(i, dataset, name, rule.description(), rule.action, rule.note) for i, name, rule in active],
+        [(i, dataset, name, rule.text, SET_MISSING, rule.note) for i, name, rule in active],
         "rule_order INT, dataset STRING, column STRING, rule STRING, rule_action STRING, note STRING",
     )
     out = meta.join(counts, "rule_order", "left").join(samples, "rule_order", "left")

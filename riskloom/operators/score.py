@@ -72,6 +72,11 @@ class DualMetadata:
     combined_threshold: float | None = None
     weight_rationale: str = specs.DEFAULT_WEIGHT_RATIONALE
 
+    @classmethod
+    def absent(cls) -> DualMetadata:
+        """What stands for stored metadata that is not there (S15); a document without the threshold has none."""
+        return cls(combined_threshold=specs.FALLBACK_DUAL["combined_threshold"])
+
 
 # ----------------------------------------------------------------------------- request cleaning
 def clean_payload(df: DataFrame, fields=ALL_FIELDS, keep=("request_id",)) -> DataFrame:
@@ -155,7 +160,7 @@ def route(prepared: DataFrame, require_both: bool = False) -> DataFrame:
         .when(
             mode == "incomplete",
             F.concat(
-                F.lit("No complete feature group was supplied. Missing Data1: "),
+                F.lit(f"{specs.INCOMPLETE_REASONS['combined' if require_both else 'auto']} Missing Data1: "),
                 F.concat_ws(", ", "missing_data1"),
                 F.lit("; missing Data2: "),
                 F.concat_ws(", ", "missing_data2"),
@@ -181,7 +186,7 @@ def score_records(
     requests: DataFrame,
     model1,
     model2,
-    dual: DualMetadata = DualMetadata(),
+    dual: DualMetadata | None = None,
     mode: str = "auto",
     keep=("request_id",),
     on_invalid: str = "quarantine",
@@ -190,6 +195,7 @@ def score_records(
 
     mode: 'auto' (either or both groups), 'combined' (both required), 'data1', 'data2'.
     """
+    dual = DualMetadata.absent() if dual is None else dual
     prepared = prepare_requests(requests, keep=keep)
     routed = route(prepared, require_both=(mode == "combined"))
     if mode in ("data1", "data2"):
@@ -198,6 +204,17 @@ def score_records(
             "prediction_mode",
             F.when(F.size("errors") > 0, "rejected").when(F.size(need) == 0, F.lit(mode)).otherwise("incomplete"),
         )
+        # only the group asked for decides, so only it is named
+        group, apart = ("Data1" if mode == "data1" else "Data2"), F.col("prediction_mode") == "incomplete"
+        routed = routed.withColumns(
+            {
+                "reason": F.when(F.col("prediction_mode") == "rejected", F.concat_ws("; ", "errors")).when(
+                    apart, F.concat(F.lit(f"Missing {group}: "), F.concat_ws(", ", need))
+                ),
+                "nearest_group": F.when(apart, F.lit(group)),
+                "nearest_missing": F.when(apart, F.col(need)),
+            }
+        )
     if on_invalid == "raise":
         n_bad = routed.filter(F.col("prediction_mode").isin("rejected", "incomplete")).count()
         if n_bad:

@@ -212,5 +212,5 @@ def load_and_validate(clean1: DataFrame, clean2: DataFrame, path: str) -> dict[s
     expected = {"Data1": clean1.count(), "Data2": clean2.count()}
     write_star(load_star(clean1, clean2), path)
     stored = read_star(clean1.sparkSession, path)
-    audit.validate_counts(stored, expected)
+    audit.require_complete(stored, expected)
     return stored

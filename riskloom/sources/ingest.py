@@ -61,7 +61,7 @@ def require_columns(df: DataFrame, required, what: str) -> None:
     """P5: raise listing every missing required column (plan-build time, no job)."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise KeyError(f"{what} is missing required columns: {missing}")
+        raise KeyError(f"{what}: no column {', '.join(missing)}")
 
 
 def strip_headers(df: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def find_header(cells: DataFrame, markers=specs.DATA2_HEADER_MARKERS) -> tuple[i
         cond = cond & any_cell
     hit = cells.filter(cond).orderBy("row_pos").limit(1).collect()
     if not hit:
-        raise ValueError("Could not find Data2 header row containing Age and high risk pregnancy.")
+        raise ValueError(f"no header row: none holds all of {list(markers)}")
     header = hit[0]
     named = [(c, str(header[c]).strip()) for c in cell_cols if header[c] is not None and str(header[c]).strip()]
     names = [n for _, n in named]

@@ -174,11 +174,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lens C: clean intake 1 rows without NULLs and a learnable label
+    """Lens C: clean intake 1 rows (missing features stay missing) and a learnable label
     ((preexisting_diabetes = 1 AND blood_sugar >= 10) OR systolic_bp >= 150)."""
     from riskloom.plans.clean import clean_data1
     from riskloom.sources.ingest import na_tokens_to_null
 
-    c = clean_data1(na_tokens_to_null(intake_a(spark, sf_dir))).dropna()
+    c = clean_data1(na_tokens_to_null(intake_a(spark, sf_dir)))
     label = ((F.col("preexisting_diabetes") == 1) & (F.col("blood_sugar") >= 10)) | (F.col("systolic_bp") >= 150)
-    return c.withColumn("risk", label.cast("int"))
+    return c.withColumn("risk", F.coalesce(label, F.lit(False)).cast("int"))

@@ -27,9 +27,9 @@ def request_schema(fields=score_ops.ALL_FIELDS) -> T.StructType:
     return T.StructType([T.StructField("request_id", T.LongType())] + [T.StructField(f, T.StringType()) for f in fields])
 
 
-def write_request_files(requests: DataFrame, path: str, files: int = 4) -> None:
+def write_request_files(requests: DataFrame, path: str) -> None:
     """Land request records as JSON-lines files (the stream's source folder)."""
-    requests.repartition(files, "request_id").write.mode("overwrite").json(path)
+    requests.write.mode("overwrite").json(path)
 
 
 @dataclass
@@ -45,12 +45,11 @@ class StreamPaths:
         return f"{self.checkpoint.rstrip('/')}/{name}"
 
 
-def scored_stream(spark: SparkSession, paths: StreamPaths, model1, model2, dual, max_files_per_trigger: int = 1) -> DataFrame:
-    src = (
-        spark.readStream.schema(request_schema())
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .json(paths.source)
-    )
+def scored_stream(spark: SparkSession, paths: StreamPaths, model1, model2, dual, max_files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(request_schema())
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.json(paths.source)
     fields = [c for c in src.columns if c != "request_id"]
     src = src.withColumn("input_json", F.to_json(F.struct(*fields)))
     return score_ops.score_records(src, model1, model2, dual, mode="auto", keep=("request_id", "input_json"))
@@ -83,7 +82,7 @@ def quarantine_rows(flat: DataFrame) -> DataFrame:
     )
 
 
-def run_scoring_streams(spark: SparkSession, paths: StreamPaths, model1, model2, dual, model_run_id=None, max_files_per_trigger: int = 1) -> dict:
+def run_scoring_streams(spark: SparkSession, paths: StreamPaths, model1, model2, dual, model_run_id=None, max_files_per_trigger: int | None = None) -> dict:
     """Start the three sinks with ``trigger(availableNow=True)`` and wait for them to drain."""
     flat = scored_stream(spark, paths, model1, model2, dual, max_files_per_trigger)
     outputs = {

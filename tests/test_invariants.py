@@ -147,16 +147,16 @@ def test_json_document_layout_object_and_array(spark, tmp_path):
     assert got == [(1, "30", None), (2, "31", None), (3, None, "x")]
 
 
-def test_validate_counts_raises_on_mismatch(spark):
+def test_incomplete_star_is_refused(spark):
     from riskloom.operators import audit, star as star_ops
 
     c1, c2 = catalog.clean_a_df(spark, SF_SMALL), catalog.clean_b_df(spark, SF_SMALL)
     s = star_ops.load_star(c1, c2)
-    audit.validate_counts(s, {"Data1": c1.count(), "Data2": c2.count()})
+    audit.require_complete(s, {"Data1": c1.count(), "Data2": c2.count()})
     try:
-        audit.validate_counts(s, {"Data1": c1.count() + 1, "Data2": c2.count()})
+        audit.require_complete(s, {"Data1": c1.count() + 1, "Data2": c2.count()})
     except ValueError as e:
-        assert "mismatch" in str(e)
+        assert "pregnancies of Data1" in str(e)
     else:
         raise AssertionError("expected a count mismatch")
 
@@ -181,9 +181,9 @@ def test_metadata_roundtrip_alias_and_params(spark, tmp_path):
     T.write_metadata(spark, meta, str(tmp_path / "meta"))
     back = T.read_metadata(spark, str(tmp_path / "meta"))
     assert back == meta
-    alias = T.publish_alias(back, "Data2", "models/final_model_data2", "default artifact")
-    assert alias["artifacts"]["deployment_model"] == "models/final_model_data2" and alias["limitations"][-1] == "default artifact"
-    assert T.params_from_json('{"C": 0.1, "class_weight": null}') == {"C": 0.1, "class_weight": None}
+    stored = spark.createDataFrame([("Data2", "models/a", ["a"])], "dataset STRING, deployment_model STRING, limitations ARRAY<STRING>")
+    alias = T.alias_rows(T.alias_rows(stored, "Main", "models/a", "alias of Data2"), "Main", "models/a", "alias of Data2").first()
+    assert alias.deployment_model == "models/a" and alias.dataset == "Main" and alias.limitations == ["a", "alias of Data2"]
     dual = T.dual_metadata({"selected_threshold": 0.10}, {"selected_threshold": 0.15})
     assert abs(dual["combined_threshold"] - 0.125) < 1e-12
 
