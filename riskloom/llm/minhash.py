@@ -12,9 +12,10 @@ point per element plus O(M log M).
 Equal texts are merged first, so everything below works on distinct texts. Bands of
 ROWS registers give buckets. In each bucket every text is compared with one centre,
 by exact multiset overlap; texts that reach THRESHOLD are linked, links are closed
-to components. Then every pair that shares a bucket and is still in different
-components is compared as well, unless it was before: no link between two texts of
-a bucket is lost, and a group of n near copies costs about n comparisons.
+to components. Texts that are then apart from others of a bucket are compared with a
+few more centres, drawn from the bucket; what is still apart is compared with the whole
+bucket, in blocks of such texts: no link between two texts of a bucket is lost, and a
+group of n near copies costs about n comparisons.
 Signatures miss a pair of similarity 0.8 with probability (1 - 0.8**5)**28 < 2e-5.
 
 Defined results: NULL counts as empty text; texts without words are equal only to
@@ -39,7 +40,9 @@ THRESHOLD = 0.8
 ROWS = 5
 BANDS = 28
 REGISTERS = ROWS * BANDS
-SALT_ROWS = 2000  # members compared by one task for one centre
+SALT_ROWS = 2000  # members of one task
+DRAWN = 16  # centres drawn from a bucket for the second comparison
+BLOCK = 64  # centres of one task, where a text is compared with a whole bucket
 U64 = np.uint64
 
 
@@ -172,41 +175,77 @@ def signatures(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The (centre, member) pairs whose multisets reach the threshold.
-
-    Members come to their centre's task (split by SALT_ROWS), the centre first; the
-    task streams over them and holds one multiset at a time.
+class Held:
+    """Multisets of a task's centres, to be compared with one member at a time."""
+
+    def __init__(self):
+        self.nodes, self.labels, self.sets, self.index = [], [], [], None
+
+    def add(self, node, label, multiset) -> None:
+        self.nodes.append(node)
+        self.labels.append(label)
+        self.sets.append(multiset)
+
+    def linked(self, label, multiset, threshold: float):
+        """Centres of another label whose similarity with the member reaches the threshold."""
+        if self.index is None:
+            element, count = (np.concatenate([s[k] for s in self.sets]) for k in (0, 1))
+            order = np.argsort(element, kind="stable")
+            owner = np.repeat(np.arange(len(self.sets)), [len(s[0]) for s in self.sets])
+            self.index = element[order], count[order], owner[order], np.array([s[1].sum() for s in self.sets])
+        element, count, owner, totals = self.index
+        low, high = np.searchsorted(element, multiset[0], "left"), np.searchsorted(element, multiset[0], "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], np.minimum(count[at], np.repeat(multiset[1], n)), len(totals))
+        union = totals + multiset[1].sum() - common
+        near = np.flatnonzero((common >= threshold * union - 1e-9) & (union > 0))
+        return [self.nodes[i] for i in near if self.labels[i] != label]
+
+
+def _verified(centres: DataFrame, members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the centres and the members of each task, by exact multiset overlap.
+
+    Both sides: task, node, label; pairs of one label are not compared. The members
+    of a task are split by SALT_ROWS, its centres go to every part and come first; the
+    part's task holds the centres and streams over the members.
     """
-    sizes = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
+    sizes = members.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     parts = F.floor(F.col("n") / SALT_ROWS).cast("int") + 1
-    members = pairs.join(sizes, "centre").select(
-        F.col("centre"), F.pmod(F.xxhash64("member"), parts).cast("int").alias("part"), F.lit(1).alias("role"), F.col("member").alias("node")
+    right = members.join(sizes, "task").select(
+        "task", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("role"), "node", "label"
     )
-    centres = sizes.select(
-        "centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), F.col("centre").alias("node")
+    left = centres.join(sizes, "task").select(
+        "task", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "node", "label"
     )
-    work = members.union(centres).join(texts, "node")
-    # one text of each name is enough: equal names are equal texts
-    ready = work.repartition("centre", "part").sortWithinPartitions("centre", "part", "role", "node")
+    work = left.union(right).join(texts, "node")
+    ready = work.repartition("task", "part").sortWithinPartitions("task", "part", "role", "node")
 
     def run(batches):
         at, held = None, None
         for batch in batches:
-            group = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            nodes, linked = batch.column(3).to_pylist(), []
-            for key, node, text in zip(group, nodes, T.byte_rows(batch.column(4)), strict=True):
-                if key[2] == 0:
-                    at, held = key[:2], shingles(text)
-                    continue
-                assert key[:2] == at, "a centre comes before its members"
-                if similarity(held, shingles(text)) >= threshold:
-                    linked.append((key[0], node))
+            tasks, parts, roles, nodes, labels = (batch.column(i).to_pylist() for i in range(5))
+            links = []
+            for task, part, role, node, label, text in zip(tasks, parts, roles, nodes, labels, T.byte_rows(batch.column(5)), strict=True):
+                if (task, part) != at:
+                    at, held = (task, part), Held()
+                if role == 0:
+                    held.add(node, label, shingles(text))
+                else:
+                    links.extend((centre, node) for centre in held.linked(label, shingles(text), threshold))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in linked], pa.binary()), pa.array([x[1] for x in linked], pa.binary())], ["a", "b"]
+                [pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"]
             )
 
-    return ready.select("centre", "part", "role", "node", "text").mapInArrow(run, "a binary, b binary")
+    return ready.select("task", "part", "role", "node", "label", "text").mapInArrow(run, "a binary, b binary")
+
+
+def _star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks of one centre each: (centres, members) from rows centre, node with their labels."""
+    centres = pairs.select("centre", "centre_label").distinct().select(
+        F.col("centre").alias("task"), F.col("centre").alias("node"), F.col("centre_label").alias("label")
+    )
+    return centres, pairs.select(F.col("centre").alias("task"), "node", "label")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -231,35 +270,53 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after more links: components of the labels that the links connect, carried to the nodes."""
+    side = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    pairs = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    pairs = pairs.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a <> b").distinct()
+    up = components(pairs).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    new = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(label, "node", "left_anti")
+    every = label.union(new.select("node", F.col("node").alias("label")))
+    return saved(every.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+
+def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (band, value, node, label, main, n) of the buckets whose n texts have several labels; main is the most common."""
+    own = shared.join(label, "node", "left").select("band", "value", "node", F.coalesce("label", "node").alias("label"))
+    parts = own.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = parts.groupBy("band", "value").agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    return own.join(top.filter("k > 1").drop("k"), ["band", "value"])
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, node (its text's name), label (its class's)."""
     texts = _texts(docs, id_column, text_column)
     names = saved(signatures(texts).groupBy("node").agg(F.first("bands").alias("bands")), "signatures")
     entries = names.select("node", F.posexplode("bands").alias("band", "value"))
-    buckets = saved(
-        entries.groupBy("band", "value").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets"
-    )
-    shared = saved(entries.join(buckets.drop("n"), ["band", "value"]), "bucket-rows")
-    pairs = saved(shared.filter("node <> centre").select("centre", F.col("node").alias("member")).distinct(), "pairs")
-    involved = pairs.select(F.col("member").alias("node")).union(pairs.select("centre")).distinct()
-    pool = saved(texts.select("node", "text").join(involved, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
-    links = saved(_verified(pairs, pool, threshold), "links-1")
-    label = components(links)
-    # pairs of a bucket that are still apart
-    own = shared.join(label, "node", "left").select("band", "value", "node", "centre", F.coalesce("label", "node").alias("label"))
-    parts = own.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = parts.groupBy("band", "value").agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    apart = saved(own.join(top.filter("k > 1").drop("k"), ["band", "value"]), "apart")
-    strays = apart.filter("label <> main").select("band", "value", F.col("node").alias("stray"), F.col("label").alias("stray_label"))
-    rest = strays.join(apart, ["band", "value"]).filter(
-        (F.col("stray_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("stray") < F.col("node")))
-    )
-    rest = rest.select(F.col("stray").alias("centre"), F.col("node").alias("member")).distinct()
-    flipped = pairs.union(pairs.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
-    rest = saved(rest.join(flipped, ["centre", "member"], "left_anti"), "pairs-2")
-    late = saved(_verified(rest, pool, threshold), "links-2")
+    buckets = entries.groupBy("band", "value").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = saved(entries.join(buckets, ["band", "value"]), "bucket-rows")
+    pool = saved(texts.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    # 1. every text with the least of its buckets
+    pairs = saved(shared.filter("node <> centre").select("centre", "node").distinct(), "pairs")
+    named = pairs.select("centre", F.col("centre").alias("centre_label"), "node", F.col("node").alias("label"))
+    label = components(saved(_verified(*_star(named), pool, threshold), "links"))
+    # 2. texts that are apart from others of a bucket, with about DRAWN others of it
+    apart = saved(_apart(shared.drop("centre"), label), "apart")
+    task = F.concat_ws(":", "band", "value").cast("binary").alias("task")
+    chance = F.pmod(F.xxhash64("node", "band"), F.greatest(F.lit(1), F.floor(F.col("n") / DRAWN)))
+    again = apart.filter(chance == 0).select(task, "node", "label"), apart.select(task, "node", "label")
+    label = _joined(label, saved(_verified(*again, pool, threshold), "links"))
+    # 3. those that are still apart with all others of the bucket, BLOCK of them at a time
+    apart = saved(_apart(shared.drop("centre"), label), "apart")
+    strays = apart.filter("label <> main")
+    count = strays.groupBy("band", "value").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))
+    task = F.concat_ws(":", "band", "value", "block").cast("binary").alias("task")
+    centres = strays.join(count, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = apart.join(count, ["band", "value"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    late = saved(_verified(centres.select(task, "node", "label"), members.select(task, "node", "label"), pool, threshold), "links")
     if not late.isEmpty():
-        label = components(links.union(late))
+        label = _joined(label, late)
     rows = texts.select("doc_id", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = saved(rows, "near-classes")
     ids = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
