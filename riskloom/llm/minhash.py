@@ -10,13 +10,16 @@ process is cut at the time by which all registers are filled, a text costs one
 point per element plus O(M log M).
 
 Equal texts are merged first, so everything below works on distinct texts. Bands of
-ROWS registers give buckets. In each bucket every text is compared with one centre,
-by exact multiset overlap; texts that reach THRESHOLD are linked, links are closed
-to components. Texts that are then apart from others of a bucket are compared with a
-few more centres, drawn from the bucket; what is still apart is compared with the whole
-bucket, in blocks of such texts: no link between two texts of a bucket is lost, and a
-group of n near copies costs about n comparisons.
-Signatures miss a pair of similarity 0.8 with probability (1 - 0.8**5)**28 < 2e-5.
+ROWS registers give buckets. A text's sketch is one byte of each register. Two texts of
+a bucket are compared by sketch first; only those that agree in enough registers
+(:func:`agreeing`) are compared by exact multiset overlap, however many
+buckets they share. Texts that reach THRESHOLD are linked, links are closed to
+components. Every text of a bucket meets one centre; texts that are then apart from others of the bucket
+meet a few more centres, drawn from it; what is still apart meets the whole bucket, in
+blocks of such texts: no link between two texts of a bucket is lost, and a group of n
+near copies costs about n comparisons.
+Signatures miss a pair of similarity 0.8 with probability (1 - 0.8**5)**28 < 2e-5, and
+sketches one of a bucket with probability below 2e-6 (140 registers, 88 to agree).
 
 Defined results: NULL counts as empty text; texts without words are equal only to
 the same text; repeated rows are in one class; an empty table gives an empty
@@ -42,7 +45,8 @@ BANDS = 28
 REGISTERS = ROWS * BANDS
 SALT_ROWS = 2000  # members of one task
 DRAWN = 16  # centres drawn from a bucket for the second comparison
-BLOCK = 64  # centres of one task, where a text is compared with a whole bucket
+TEXTS = 64  # centres of one task, where texts are compared exactly
+BLOCK = 1024  # sketches of one task's centres, where a text meets a whole bucket
 U64 = np.uint64
 
 
@@ -134,6 +138,11 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return T.windows(signature, ROWS)[::ROWS] ^ T.mix(np.arange(BANDS, dtype=U64))
 
 
+def agreeing(threshold: float) -> int:
+    """Sketch bytes that two texts must share to be compared: five standard deviations below the mean at the threshold."""
+    return int(REGISTERS * threshold - 5 * math.sqrt(REGISTERS * threshold * (1 - threshold)))
+
+
 def similarity(a: tuple, b: tuple) -> float:
     """Weighted Jaccard similarity of two multisets."""
     total = int(a[1].sum() + b[1].sum())
@@ -154,40 +163,43 @@ def name_of(text_column: str = "text"):
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """node, bands per row; texts without words have no bands."""
+    """node, bands, sketch per row; texts without words have no bands."""
 
     def run(batches):
         for batch in batches:
-            rows, held, size = [], [], 0
+            bands, sketches, held, size = [], [], [], 0
 
             def flush(held):
                 signed = bag_minhash_many(held)
-                return [band_hashes(g).view(np.int64) if len(e) else np.empty(0, np.int64) for g, (e, _) in zip(signed, held, strict=True)]
+                bands.extend(band_hashes(g).view(np.int64) if len(e) else np.empty(0, np.int64) for g, (e, _) in zip(signed, held, strict=True))
+                sketches.extend(row.tobytes() for row in (signed >> U64(56)).astype(np.uint8))
 
             for text in T.byte_rows(batch.column(1)):
                 held.append(shingles(text))
                 size += len(held[-1][0])
                 if len(held) >= 1024 or size > 150_000:
-                    rows, held, size = rows + flush(held), [], 0
-            rows = rows + flush(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "bands"])
+                    flush(held)
+                    held, size = [], 0
+            flush(held)
+            columns = [batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "bands", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>, sketch binary")
 
 
-class Held:
+class HeldTexts:
     """Multisets of a task's centres, to be compared with one member at a time."""
 
-    def __init__(self):
-        self.nodes, self.labels, self.sets, self.index = [], [], [], None
+    def __init__(self, threshold: float):
+        self.threshold, self.nodes, self.sets, self.index = threshold, [], [], None
 
-    def add(self, node, label, multiset) -> None:
+    def add(self, node, label, text) -> None:
         self.nodes.append(node)
-        self.labels.append(label)
-        self.sets.append(multiset)
+        self.sets.append(shingles(text))
 
-    def linked(self, label, multiset, threshold: float):
-        """Centres of another label whose similarity with the member reaches the threshold."""
+    def linked(self, label, text):
+        """Centres whose similarity with the member reaches the threshold."""
+        multiset = shingles(text)
         if self.index is None:
             element, count = (np.concatenate([s[k] for s in self.sets]) for k in (0, 1))
             order = np.argsort(element, kind="stable")
@@ -199,16 +211,39 @@ class Held:
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(owner[at], np.minimum(count[at], np.repeat(multiset[1], n)), len(totals))
         union = totals + multiset[1].sum() - common
-        near = np.flatnonzero((common >= threshold * union - 1e-9) & (union > 0))
-        return [self.nodes[i] for i in near if self.labels[i] != label]
+        return [self.nodes[i] for i in np.flatnonzero((common >= self.threshold * union - 1e-9) & (union > 0))]
 
 
-def _verified(centres: DataFrame, members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between the centres and the members of each task, by exact multiset overlap.
+class HeldSketches:
+    """Sketches of a task's centres; a member meets those of another label."""
 
-    Both sides: task, node, label; pairs of one label are not compared. The members
-    of a task are split by SALT_ROWS, its centres go to every part and come first; the
-    part's task holds the centres and streams over the members.
+    def __init__(self, least: int, best: bool):
+        self.least, self.best = least, best
+        self.nodes, self.rows, self.codes, self.code_of, self.matrix = [], [], [], {}, None
+
+    def add(self, node, label, sketch) -> None:
+        self.nodes.append(node)
+        self.rows.append(sketch)
+        self.codes.append(self.code_of.setdefault(label, len(self.code_of)))
+
+    def linked(self, label, sketch):
+        """Centres that agree well enough: all of them, or the best of each label (``best``)."""
+        if self.matrix is None:
+            self.matrix, self.codes = np.stack(self.rows), np.array(self.codes)
+        agree = np.count_nonzero(self.matrix == sketch, axis=1)
+        near = np.flatnonzero((agree >= self.least) & (self.codes != self.code_of.get(label, -1)))
+        if self.best and len(near) > 1:
+            near = near[np.argsort(-agree[near], kind="stable")]
+            near = near[np.unique(self.codes[near], return_index=True)[1]]
+        return [self.nodes[i] for i in near]
+
+
+def _met(centres: DataFrame, members: DataFrame, values: DataFrame, holder) -> DataFrame:
+    """Pairs (centre, node) that a task's holder of centres names for its members.
+
+    Both sides: task, node, label; ``values``: node, value. The members of a task are
+    split by SALT_ROWS, its centres go to every part and come first; the part's task
+    holds the centres and streams over the members.
     """
     sizes = members.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     parts = F.floor(F.col("n") / SALT_ROWS).cast("int") + 1
@@ -218,34 +253,64 @@ def _verified(centres: DataFrame, members: DataFrame, texts: DataFrame, threshol
     left = centres.join(sizes, "task").select(
         "task", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "node", "label"
     )
-    work = left.union(right).join(texts, "node")
+    work = left.union(right).join(values, "node")
     ready = work.repartition("task", "part").sortWithinPartitions("task", "part", "role", "node")
 
     def run(batches):
         at, held = None, None
         for batch in batches:
             tasks, parts, roles, nodes, labels = (batch.column(i).to_pylist() for i in range(5))
-            links = []
-            for task, part, role, node, label, text in zip(tasks, parts, roles, nodes, labels, T.byte_rows(batch.column(5)), strict=True):
+            found = []
+            for task, part, role, node, label, value in zip(tasks, parts, roles, nodes, labels, T.byte_rows(batch.column(5)), strict=True):
                 if (task, part) != at:
-                    at, held = (task, part), Held()
+                    at, held = (task, part), holder()
                 if role == 0:
-                    held.add(node, label, shingles(text))
-                else:
-                    links.extend((centre, node) for centre in held.linked(label, shingles(text), threshold))
+                    held.add(node, label, value)
+                elif held.nodes:
+                    found.extend((centre, node) for centre in held.linked(label, value))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"]
+                [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["centre", "node"]
             )
 
-    return ready.select("task", "part", "role", "node", "label", "text").mapInArrow(run, "a binary, b binary")
+    return ready.select("task", "part", "role", "node", "label", "value").mapInArrow(run, "centre binary, node binary")
 
 
-def _star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tasks of one centre each: (centres, members) from rows centre, node with their labels."""
-    centres = pairs.select("centre", "centre_label").distinct().select(
-        F.col("centre").alias("task"), F.col("centre").alias("node"), F.col("centre_label").alias("label")
-    )
-    return centres, pairs.select(F.col("centre").alias("task"), "node", "label")
+def _homes(centres: DataFrame) -> DataFrame:
+    """node, task for centres (band, value, node, n): blocks of at most about TEXTS centres whose largest bucket is the same."""
+    bucket = F.concat_ws(":", "band", "value")
+    home = centres.groupBy("node").agg(F.max(F.struct("n", bucket.alias("bucket")))["bucket"].alias("home"))
+    blocks = home.groupBy("home").agg((F.floor(F.count(F.lit(1)) / TEXTS) + 1).alias("blocks"))
+    return home.join(blocks, "home").select("node", F.concat_ws(":", "home", F.pmod(F.xxhash64("node"), "blocks")).cast("binary").alias("task"))
+
+
+def _links(pairs: DataFrame, pool: DataFrame, threshold: float, homes: DataFrame | None = None) -> DataFrame:
+    """The pairs (centre, node) that reach the threshold by exact overlap, as links (a, b).
+
+    A task holds the centres of one of ``homes`` (without them one centre), and meets
+    each of their partners once.
+    """
+    if homes is None:
+        dealt = pairs.withColumn("task", F.col("centre"))
+    else:
+        dealt = saved(pairs.join(homes.withColumnRenamed("node", "centre"), "centre"), "dealt")
+    centres = dealt.select("task", F.col("centre").alias("node"), F.col("centre").alias("label")).distinct()
+    members = dealt.select("task", "node", F.col("node").alias("label")).distinct()
+    found = _met(centres, members, pool.select("node", F.col("text").cast("binary").alias("value")), lambda: HeldTexts(threshold))
+    return saved(found.toDF("a", "b").filter("a <> b"), "links")
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The pairs (centre, node) whose sketches agree well enough."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
+            keep = np.count_nonzero(a == b, axis=1) >= least
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("value").alias(f"of_{c}"))
+    both = pairs.join(side("centre"), "centre").join(side("node"), "node").select("centre", "node", "of_centre", "of_node")
+    return both.mapInArrow(run, "centre binary, node binary")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -291,22 +356,26 @@ def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, node (its text's name), label (its class's)."""
-    texts = _texts(docs, id_column, text_column)
-    names = saved(signatures(texts).groupBy("node").agg(F.first("bands").alias("bands")), "signatures")
+    texts, least = _texts(docs, id_column, text_column), agreeing(threshold)
+    signed = signatures(texts).groupBy("node").agg(F.first(F.struct("bands", "sketch")).alias("s"))
+    names = saved(signed.select("node", "s.bands", "s.sketch"), "signatures")
     entries = names.select("node", F.posexplode("bands").alias("band", "value"))
     buckets = entries.groupBy("band", "value").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = saved(entries.join(buckets, ["band", "value"]), "bucket-rows")
-    pool = saved(texts.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    mates = saved(shared.select("node").distinct(), "bucket-nodes")
+    sketches = saved(names.select("node", F.col("sketch").alias("value")).join(mates, "node", "left_semi"), "sketches")
+    pool = saved(texts.select("node", "text").join(mates, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     # 1. every text with the least of its buckets
-    pairs = saved(shared.filter("node <> centre").select("centre", "node").distinct(), "pairs")
-    named = pairs.select("centre", F.col("centre").alias("centre_label"), "node", F.col("node").alias("label"))
-    label = components(saved(_verified(*_star(named), pool, threshold), "links"))
+    pairs = _alike(shared.filter("node <> centre").select("centre", "node").distinct(), sketches, least)
+    label = components(_links(saved(pairs, "pairs"), pool, threshold))
     # 2. texts that are apart from others of a bucket, with about DRAWN others of it
     apart = saved(_apart(shared.drop("centre"), label), "apart")
     task = F.concat_ws(":", "band", "value").cast("binary").alias("task")
-    chance = F.pmod(F.xxhash64("node", "band"), F.greatest(F.lit(1), F.floor(F.col("n") / DRAWN)))
-    again = apart.filter(chance == 0).select(task, "node", "label"), apart.select(task, "node", "label")
-    label = _joined(label, saved(_verified(*again, pool, threshold), "links"))
+    # drawn by the node alone: the buckets of a group of near copies draw the same centres
+    chance = F.pmod(F.xxhash64("node"), F.lit(2**30)) * F.col("n") < DRAWN * 2**30
+    again = apart.filter(chance).select(task, "node", "label"), apart.select(task, "node", "label")
+    pairs = saved(_met(*again, sketches, lambda: HeldSketches(least, True)).distinct(), "pairs")
+    label = _joined(label, _links(pairs, pool, threshold, _homes(apart.filter(chance))))
     # 3. those that are still apart with all others of the bucket, BLOCK of them at a time
     apart = saved(_apart(shared.drop("centre"), label), "apart")
     strays = apart.filter("label <> main")
@@ -314,9 +383,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     task = F.concat_ws(":", "band", "value", "block").cast("binary").alias("task")
     centres = strays.join(count, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     members = apart.join(count, ["band", "value"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    late = saved(_verified(centres.select(task, "node", "label"), members.select(task, "node", "label"), pool, threshold), "links")
-    if not late.isEmpty():
-        label = _joined(label, late)
+    rest = centres.select(task, "node", "label"), members.select(task, "node", "label")
+    pairs = saved(_met(*rest, sketches, lambda: HeldSketches(least, False)).distinct(), "pairs")
+    if not pairs.isEmpty():
+        late = _links(pairs, pool, threshold, _homes(strays))
+        if not late.isEmpty():
+            label = _joined(label, late)
     rows = texts.select("doc_id", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = saved(rows, "near-classes")
     ids = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
