@@ -23,17 +23,24 @@ from riskloom.session import reliable_checkpoint
 def attach_group_values(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     """Add per-group values (one row per group) to every row of ``df``.
 
-    With group keys this is a broadcast equi-join (the table is bounded by the
-    number of groups). Without keys the single aggregate row is read and its
+    With group keys this is an equi-join in which NULL keys match; the planner sees the
+    size of the aggregate and picks the strategy. Without keys the single aggregate row is read and its
     values attached as literals, so no join without a key (cross join) is planned.
     """
     if keys:
-        return df.join(F.broadcast(per_group), on=keys, how="inner")
+        return null_safe_join(df, per_group, keys)
     row = per_group.first()  # one row: a global aggregate
     values = {c: F.lit(None if row is None else row[c]).cast(per_group.schema[c].dataType) for c in per_group.columns}
     return df.withColumns(values)
 
 
+def null_safe_join(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL; the keys come once, from ``df``."""
+    renamed = right.withColumnsRenamed({k: f"_ns_{k}" for k in keys})
+    match = [df[k].eqNullSafe(renamed[f"_ns_{k}"]) for k in keys]
+    return df.join(renamed, match, "inner").drop(*[f"_ns_{k}" for k in keys])
+
+
 # 16**5 = 1,048,576 range buckets per group: at 10^12 rows a bucket holds ~10^6 rows.
 DEFAULT_BUCKET_HEX_DIGITS = 5
 
@@ -67,7 +74,7 @@ def hashed_rank(
     ranked = keyed.withColumn(
         local, F.row_number().over(Window.partitionBy(*group_cols, bucket).orderBy(key, id_col))
     )
-    joined = ranked.join(offsets, on=[*group_cols, bucket], how="inner")
+    joined = null_safe_join(ranked, offsets, [*group_cols, bucket])
     return joined.withColumn(out, (F.col(offset) + F.col(local)).cast("long")).drop(key, bucket, local, offset)
 
 
@@ -99,36 +106,41 @@ def ordered_prefix_sums(
     group_cols: list[str],
     order_col: str,
     value_cols: list[str],
-    bucket_bits: int = 20,
+    bucket_bits: tuple[int, ...] = (10, 10),
     suffix: str = "_cum",
 ) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ascending ``order_col`` within each group.
 
     ``df`` must have one row per (group, order value), e.g. scores grouped with
     their counts. Instead of one window per group (one task per group), order
-    values are cut into 2**bucket_bits equal-width buckets of asinh(value) per
-    group: asinh is monotone (order is kept), near-linear on probabilities and
-    logarithmic in the tails, so a few extreme values do not squeeze every other
-    value into one bucket. A window inside (group, bucket) gives local sums and a
+    values are cut into equal-width buckets of asinh(value) per group, and each bucket
+    again between its own least and greatest value, once per entry of ``bucket_bits``:
+    values that an outlier squeezes into one bucket are spread by the next cut. asinh
+    is monotone (order is kept), near-linear on probabilities and logarithmic in the
+    tails. A window inside (group, bucket) gives local sums and a
     prefix over the small bucket-total table gives each bucket's offset.
     """
     gkey = [*group_cols]
     base = df.withColumn("_ps_x", F.asinh(F.col(order_col).cast("double")))
-    span = base.groupBy(*gkey).agg(F.min("_ps_x").alias("_ps_lo"), F.max("_ps_x").alias("_ps_hi"))
-    top = float(2**bucket_bits - 1)
-    scaled = F.when(
-        F.col("_ps_hi") > F.col("_ps_lo"),
-        F.floor((F.col("_ps_x") - F.col("_ps_lo")) / (F.col("_ps_hi") - F.col("_ps_lo")) * F.lit(top)),
-    ).otherwise(F.lit(0))
-    bucketed = attach_group_values(base, span, gkey).withColumn("_ps_b", F.coalesce(scaled.cast("long"), F.lit(-1)))
-    totals = bucketed.groupBy(*gkey, "_ps_b").agg(*[F.sum(v).alias(f"_ps_t_{v}") for v in value_cols])
-    before = Window.partitionBy(*gkey).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
+    bucketed, cuts = base, []
+    for level, bits in enumerate(bucket_bits):
+        cut = f"_ps_b{level}"
+        span = bucketed.groupBy(*gkey, *cuts).agg(F.min("_ps_x").alias("_ps_lo"), F.max("_ps_x").alias("_ps_hi"))
+        scaled = F.when(
+            F.col("_ps_hi") > F.col("_ps_lo"),
+            F.floor((F.col("_ps_x") - F.col("_ps_lo")) / (F.col("_ps_hi") - F.col("_ps_lo")) * F.lit(float(2**bits - 1))),
+        ).otherwise(F.lit(0))
+        spread = attach_group_values(bucketed, span, [*gkey, *cuts])
+        bucketed = spread.withColumn(cut, F.coalesce(scaled.cast("long"), F.lit(-1))).drop("_ps_lo", "_ps_hi")
+        cuts.append(cut)
+    totals = bucketed.groupBy(*gkey, *cuts).agg(*[F.sum(v).alias(f"_ps_t_{v}") for v in value_cols])
+    before = Window.partitionBy(*gkey).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *gkey, "_ps_b", *[F.coalesce(F.sum(f"_ps_t_{v}").over(before), F.lit(0)).alias(f"_ps_o_{v}") for v in value_cols]
+        *gkey, *cuts, *[F.coalesce(F.sum(f"_ps_t_{v}").over(before), F.lit(0)).alias(f"_ps_o_{v}") for v in value_cols]
     )
-    upto = Window.partitionBy(*gkey, "_ps_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*gkey, *cuts).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = bucketed.select("*", *[F.sum(v).over(upto).alias(f"_ps_l_{v}") for v in value_cols])
-    out = local.join(offsets, on=[*gkey, "_ps_b"], how="inner")
+    out = null_safe_join(local, offsets, [*gkey, *cuts])
     return out.select(
         *[c for c in df.columns],
         *[(F.col(f"_ps_o_{v}") + F.col(f"_ps_l_{v}")).alias(f"{v}{suffix}") for v in value_cols],

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import specs
-from riskloom.operators.ranking import dense_ids, hashed_rank, md5_key
+from riskloom.operators.ranking import dense_ids, hashed_rank, md5_key, null_safe_join
 
 
 def class_counts(df: DataFrame, label_col: str) -> DataFrame:
@@ -52,8 +52,7 @@ def stratified_split(
     """Adds boolean ``is_test``; per-class test counts equal the reference's."""
     ranked = hashed_rank(df, [label_col], id_col, seed=seed, out="_rank_in_class")
     alloc = test_allocation(class_counts(df, label_col), label_col, test_size).select(label_col, "n_test")
-    # one row per class: broadcasting it is bounded by the number of classes
-    joined = ranked.join(F.broadcast(alloc), on=label_col, how="inner")
+    joined = null_safe_join(ranked, alloc, [label_col])
     return joined.withColumn(out, F.col("_rank_in_class") <= F.col("n_test")).drop("_rank_in_class", "n_test")
 
 
@@ -85,7 +84,7 @@ def majority_minority(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def undersample(df: DataFrame, label_col: str, id_col: str, seed: int | str | None = specs.RANDOM_STATE) -> DataFrame:
-    """B1: all minority rows + exactly n_minority majority rows drawn without replacement.
+    """B1: all minority rows + exactly n_minority majority rows drawn without replacement; other classes go.
 
     Equal class sizes are a no-op (both classes kept whole).
     """
@@ -93,7 +92,8 @@ def undersample(df: DataFrame, label_col: str, id_col: str, seed: int | str | No
     if mm is None or mm["n_major"] == mm["n_minor"]:
         return df
     ranked = hashed_rank(df, [label_col], id_col, seed=seed, out="_rank_in_class")
-    keep = (F.col(label_col) != F.lit(mm["major"])) | (F.col("_rank_in_class") <= F.lit(mm["n_minor"]))
+    label = F.col(label_col)
+    keep = label.eqNullSafe(F.lit(mm["minor"])) | (label.eqNullSafe(F.lit(mm["major"])) & (F.col("_rank_in_class") <= F.lit(mm["n_minor"])))
     return ranked.filter(keep).select(*df.columns)
 
 

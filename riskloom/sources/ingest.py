@@ -27,11 +27,14 @@ def na_tokens_to_null(df: DataFrame, keep: tuple[str, ...] = ("row_pos",)) -> Da
 
 
 def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Headered CSV, every field a string, NA tokens -> NULL, plus a file-order ``row_pos``."""
-    reader = spark.read.option("header", True).option("inferSchema", False)
+    """Headered CSV, every field a string, NA tokens -> NULL, plus a file-order ``row_pos``.
+
+    ``columns`` are picked by the header's names, whatever their order in the file.
+    """
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    df = reader.csv(path)
+        require_columns(df, columns, path)
+        df = df.select(*columns)
     df = df.withColumn("row_pos", file_order_position())
     return na_tokens_to_null(df)
 
