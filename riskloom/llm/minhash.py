@@ -10,16 +10,22 @@ process is cut at the time by which all registers are filled, a text costs one
 point per element plus O(M log M).
 
 Equal texts are merged first, so everything below works on distinct texts. Bands of
-ROWS registers give buckets. A text's sketch is one byte of each register. Two texts of
-a bucket are compared by sketch first; only those that agree in enough registers
-(:func:`agreeing`) are compared by exact multiset overlap, however many
-buckets they share. Texts that reach THRESHOLD are linked, links are closed to
-components. Every text of a bucket meets one centre; texts that are then apart from others of the bucket
-meet a few more centres, drawn from it; what is still apart meets the whole bucket, in
-blocks of such texts: no link between two texts of a bucket is lost, and a group of n
-near copies costs about n comparisons.
-Signatures miss a pair of similarity 0.8 with probability (1 - 0.8**5)**28 < 2e-5, and
-sketches one of a bucket with probability below 2e-6 (140 registers, 88 to agree).
+ROWS registers give buckets. Texts that reach THRESHOLD by exact multiset overlap are
+linked, links are closed to components, labelled by their least text.
+
+1. Every text meets the least text of each of its buckets, if their sketches (one byte
+   of each register) agree in enough registers (:func:`agreeing`).
+2. Texts of a bucket that have different labels share a cluster (:func:`_clusters`). The
+   texts of a small cluster that lack its most common label meet all of it; of a
+   large one all meet DRAWN centres drawn from it.
+3. Texts of a large cluster that still lack its most common label meet all of it.
+
+No link between two texts of a bucket is lost: of two labels one is not the most common.
+Tasks hold a block of centres and return a spanning forest of the labels they join,
+never all pairs of a group. A group of n near copies costs n comparisons with a block
+of drawn centres, and n more for each block of texts that are truly apart from it.
+Signatures miss a pair of similarity 0.8 with probability (1 - 0.8**5)**28 < 2e-5; what
+the sketches of the first step miss, the later steps compare exactly.
 
 Defined results: NULL counts as empty text; texts without words are equal only to
 the same text; repeated rows are in one class; an empty table gives an empty
@@ -43,10 +49,9 @@ THRESHOLD = 0.8
 ROWS = 5
 BANDS = 28
 REGISTERS = ROWS * BANDS
-SALT_ROWS = 2000  # members of one task
-DRAWN = 16  # centres drawn from a bucket for the second comparison
-TEXTS = 64  # centres of one task, where texts are compared exactly
-BLOCK = 1024  # sketches of one task's centres, where a text meets a whole bucket
+DRAWN = 256  # centres drawn from a large cluster
+BLOCK_BYTES = 1 << 20  # texts of the centres that a task holds, about
+PART_BYTES = 2 << 20  # texts of the members that a task streams over, about
 U64 = np.uint64
 
 
@@ -188,17 +193,23 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 class HeldTexts:
-    """Multisets of a task's centres, to be compared with one member at a time."""
+    """Multisets of a block's centres with their labels; a member is compared with all of them at once."""
 
     def __init__(self, threshold: float):
-        self.threshold, self.nodes, self.sets, self.index = threshold, [], [], None
+        self.threshold, self.labels, self.sets, self.index, self.root = threshold, [], [], None, {}
 
-    def add(self, node, label, text) -> None:
-        self.nodes.append(node)
+    def add(self, label, text) -> None:
+        self.labels.append(label)
         self.sets.append(shingles(text))
 
-    def linked(self, label, text):
-        """Centres whose similarity with the member reaches the threshold."""
+    def _top(self, label):
+        while (up := self.root.get(label, label)) != label:
+            self.root[label] = self.root.get(up, up)
+            label = up
+        return label
+
+    def near(self, text) -> np.ndarray:
+        """Positions of the centres whose similarity with the text reaches the threshold."""
         multiset = shingles(text)
         if self.index is None:
             element, count = (np.concatenate([s[k] for s in self.sets]) for k in (0, 1))
@@ -211,92 +222,53 @@ class HeldTexts:
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(owner[at], np.minimum(count[at], np.repeat(multiset[1], n)), len(totals))
         union = totals + multiset[1].sum() - common
-        return [self.nodes[i] for i in np.flatnonzero((common >= self.threshold * union - 1e-9) & (union > 0))]
-
-
-class HeldSketches:
-    """Sketches of a task's centres; a member meets those of another label."""
-
-    def __init__(self, least: int, best: bool):
-        self.least, self.best = least, best
-        self.nodes, self.rows, self.codes, self.code_of, self.matrix = [], [], [], {}, None
-
-    def add(self, node, label, sketch) -> None:
-        self.nodes.append(node)
-        self.rows.append(sketch)
-        self.codes.append(self.code_of.setdefault(label, len(self.code_of)))
+        return np.flatnonzero((common >= self.threshold * union - 1e-9) & (union > 0))
 
-    def linked(self, label, sketch):
-        """Centres that agree well enough: all of them, or the best of each label (``best``)."""
-        if self.matrix is None:
-            self.matrix, self.codes = np.stack(self.rows), np.array(self.codes)
-        agree = np.count_nonzero(self.matrix == sketch, axis=1)
-        near = np.flatnonzero((agree >= self.least) & (self.codes != self.code_of.get(label, -1)))
-        if self.best and len(near) > 1:
-            near = near[np.argsort(-agree[near], kind="stable")]
-            near = near[np.unique(self.codes[near], return_index=True)[1]]
-        return [self.nodes[i] for i in near]
-
-
-def _met(centres: DataFrame, members: DataFrame, values: DataFrame, holder) -> DataFrame:
-    """Pairs (centre, node) that a task's holder of centres names for its members.
-
-    Both sides: task, node, label; ``values``: node, value. The members of a task are
-    split by SALT_ROWS, its centres go to every part and come first; the part's task
-    holds the centres and streams over the members.
+    def linked(self, label, text):
+        """Labels to be joined with the member's that this block has not joined with it yet."""
+        out = []
+        for i in self.near(text):
+            ours, its = self._top(label), self._top(self.labels[i])
+            if ours != its:
+                self.root[its] = ours
+                out.append(self.labels[i])
+        return out
+
+
+def _links(centres: DataFrame, members: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between labels: every member against every centre of its cluster, by exact overlap.
+
+    Both sides: cluster, node, label, distinct by cluster and node; ``pool``: node,
+    text, size. A cluster's centres are cut into blocks and its members into parts by
+    the size of their texts; a task holds a block and streams over a part. It returns
+    only links that join what it has not joined yet, fewer than it has labels.
     """
-    sizes = members.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.floor(F.col("n") / SALT_ROWS).cast("int") + 1
-    right = members.join(sizes, "task").select(
-        "task", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("role"), "node", "label"
-    )
-    left = centres.join(sizes, "task").select(
-        "task", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "node", "label"
-    )
-    work = left.union(right).join(values, "node")
-    ready = work.repartition("task", "part").sortWithinPartitions("task", "part", "role", "node")
+    size = pool.select("node", "size")
+    cut = lambda rows, most, name: rows.join(size, "node").groupBy("cluster").agg((F.floor(F.sum("size") / most) + 1).cast("int").alias(name))
+    cuts = saved(cut(centres, BLOCK_BYTES, "blocks").join(cut(members, PART_BYTES, "parts"), "cluster"), "cuts")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    left = centres.join(cuts, "cluster").select("cluster", own("blocks", 1).alias("block"), each("parts").alias("part"), F.lit(0).alias("role"), "node", "label")
+    right = members.join(cuts, "cluster").select("cluster", each("blocks").alias("block"), own("parts", 2).alias("part"), F.lit(1).alias("role"), "node", "label")
+    work = left.union(right).join(pool.select("node", F.col("text").cast("binary").alias("text")), "node")
+    task = ["cluster", "block", "part"]
+    ready = work.repartition(*task).sortWithinPartitions(*task, "role", "node")
 
     def run(batches):
         at, held = None, None
         for batch in batches:
-            tasks, parts, roles, nodes, labels = (batch.column(i).to_pylist() for i in range(5))
+            clusters, blocks, parts, roles, labels = (batch.column(i).to_pylist() for i in range(5))
             found = []
-            for task, part, role, node, label, value in zip(tasks, parts, roles, nodes, labels, T.byte_rows(batch.column(5)), strict=True):
-                if (task, part) != at:
-                    at, held = (task, part), holder()
+            for *task, role, label, text in zip(clusters, blocks, parts, roles, labels, T.byte_rows(batch.column(5)), strict=True):
+                if task != at:
+                    at, held = task, HeldTexts(threshold)
                 if role == 0:
-                    held.add(node, label, value)
-                elif held.nodes:
-                    found.extend((centre, node) for centre in held.linked(label, value))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["centre", "node"]
-            )
+                    held.add(label, text)
+                elif held.labels:
+                    found.extend((other, label) for other in held.linked(label, text))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return ready.select("task", "part", "role", "node", "label", "value").mapInArrow(run, "centre binary, node binary")
-
-
-def _homes(centres: DataFrame) -> DataFrame:
-    """node, task for centres (band, value, node, n): blocks of at most about TEXTS centres whose largest bucket is the same."""
-    bucket = F.concat_ws(":", "band", "value")
-    home = centres.groupBy("node").agg(F.max(F.struct("n", bucket.alias("bucket")))["bucket"].alias("home"))
-    blocks = home.groupBy("home").agg((F.floor(F.count(F.lit(1)) / TEXTS) + 1).alias("blocks"))
-    return home.join(blocks, "home").select("node", F.concat_ws(":", "home", F.pmod(F.xxhash64("node"), "blocks")).cast("binary").alias("task"))
-
-
-def _links(pairs: DataFrame, pool: DataFrame, threshold: float, homes: DataFrame | None = None) -> DataFrame:
-    """The pairs (centre, node) that reach the threshold by exact overlap, as links (a, b).
-
-    A task holds the centres of one of ``homes`` (without them one centre), and meets
-    each of their partners once.
-    """
-    if homes is None:
-        dealt = pairs.withColumn("task", F.col("centre"))
-    else:
-        dealt = saved(pairs.join(homes.withColumnRenamed("node", "centre"), "centre"), "dealt")
-    centres = dealt.select("task", F.col("centre").alias("node"), F.col("centre").alias("label")).distinct()
-    members = dealt.select("task", "node", F.col("node").alias("label")).distinct()
-    found = _met(centres, members, pool.select("node", F.col("text").cast("binary").alias("value")), lambda: HeldTexts(threshold))
-    return saved(found.toDF("a", "b").filter("a <> b"), "links")
+    return saved(ready.select(*task, "role", "label", "text").mapInArrow(run, "a binary, b binary"), "links")
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -336,27 +308,41 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label after more links: components of the labels that the links connect, carried to the nodes."""
-    side = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    pairs = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    pairs = pairs.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a <> b").distinct()
-    up = components(pairs).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    new = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(label, "node", "left_anti")
-    every = label.union(new.select("node", F.col("node").alias("label")))
-    return saved(every.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+    """node, label after links (a, b) between labels; a node without a label is its own."""
+    up = components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = label.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    new = up.join(label.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    return saved(old.union(new), "labels")
 
 
-def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows (band, value, node, label, main, n) of the buckets whose n texts have several labels; main is the most common."""
-    own = shared.join(label, "node", "left").select("band", "value", "node", F.coalesce("label", "node").alias("label"))
-    parts = own.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = parts.groupBy("band", "value").agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
-    return own.join(top.filter("k > 1").drop("k"), ["band", "value"])
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the nodes' labels; a node without a label is its own."""
+    return rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, node, label) of the groups with several labels, with the most common one (main) and the group's size (n)."""
+    parts = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    top = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    return rows.join(top.filter("k > 1").drop("k"), keys)
+
+
+def _clusters(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (cluster, node): every two texts of a bucket with different labels share a cluster.
+
+    A bucket's cluster is the most common label of the largest bucket that one of its
+    texts is in, so that the buckets of a group of near copies mostly have the same
+    cluster, and a text stands in few clusters rather than in all of its buckets.
+    """
+    apart = saved(_mixed(_labelled(shared, label), ["band", "value"]).select("band", "value", "node", "n", "main"), "apart")
+    home = apart.groupBy("node").agg(F.max(F.struct("n", "main")).alias("home"))
+    cluster = apart.join(home, "node").groupBy("band", "value").agg(F.max("home")["main"].alias("cluster"))
+    return saved(apart.join(cluster, ["band", "value"]).select("cluster", "node").distinct(), "clusters")
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, node (its text's name), label (its class's)."""
-    texts, least = _texts(docs, id_column, text_column), agreeing(threshold)
+    texts = _texts(docs, id_column, text_column)
     signed = signatures(texts).groupBy("node").agg(F.first(F.struct("bands", "sketch")).alias("s"))
     names = saved(signed.select("node", "s.bands", "s.sketch"), "signatures")
     entries = names.select("node", F.posexplode("bands").alias("band", "value"))
@@ -364,35 +350,26 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     shared = saved(entries.join(buckets, ["band", "value"]), "bucket-rows")
     mates = saved(shared.select("node").distinct(), "bucket-nodes")
     sketches = saved(names.select("node", F.col("sketch").alias("value")).join(mates, "node", "left_semi"), "sketches")
-    pool = saved(texts.select("node", "text").join(mates, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    pool = texts.select("node", "text", F.octet_length("text").cast("long").alias("size"))
+    pool = saved(pool.join(mates, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     # 1. every text with the least of its buckets
-    pairs = _alike(shared.filter("node <> centre").select("centre", "node").distinct(), sketches, least)
-    label = components(_links(saved(pairs, "pairs"), pool, threshold))
-    # 2. texts that are apart from others of a bucket, with about DRAWN others of it
-    apart = saved(_apart(shared.drop("centre"), label), "apart")
-    task = F.concat_ws(":", "band", "value").cast("binary").alias("task")
-    # drawn by the node alone: the buckets of a group of near copies draw the same centres
-    chance = F.pmod(F.xxhash64("node"), F.lit(2**30)) * F.col("n") < DRAWN * 2**30
-    again = apart.filter(chance).select(task, "node", "label"), apart.select(task, "node", "label")
-    pairs = saved(_met(*again, sketches, lambda: HeldSketches(least, True)).distinct(), "pairs")
-    label = _joined(label, _links(pairs, pool, threshold, _homes(apart.filter(chance))))
-    # 3. those that are still apart with all others of the bucket, BLOCK of them at a time
-    apart = saved(_apart(shared.drop("centre"), label), "apart")
-    strays = apart.filter("label <> main")
-    count = strays.groupBy("band", "value").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))
-    task = F.concat_ws(":", "band", "value", "block").cast("binary").alias("task")
-    centres = strays.join(count, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    members = apart.join(count, ["band", "value"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = centres.select(task, "node", "label"), members.select(task, "node", "label")
-    pairs = saved(_met(*rest, sketches, lambda: HeldSketches(least, False)).distinct(), "pairs")
-    if not pairs.isEmpty():
-        late = _links(pairs, pool, threshold, _homes(strays))
-        if not late.isEmpty():
-            label = _joined(label, late)
-    rows = texts.select("doc_id", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = saved(rows, "near-classes")
-    ids = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(ids, "label").select("doc_id", "class_id", "class_size", "node", "label")
+    pairs = saved(_alike(shared.filter("node <> centre").select("centre", "node").distinct(), sketches, agreeing(threshold)), "pairs")
+    centres = pairs.select(F.col("centre").alias("cluster"), F.col("centre").alias("node"), F.col("centre").alias("label")).distinct()
+    members = pairs.select(F.col("centre").alias("cluster"), "node", F.col("node").alias("label"))
+    label = components(_links(centres, members, pool, threshold))
+    # 2. what is still apart in a bucket: small clusters in full, large ones with centres drawn from them
+    clusters = _clusters(shared.drop("centre"), label)
+    rows = saved(_mixed(_labelled(clusters, label), ["cluster"]), "cluster-rows")
+    drawn = F.pmod(F.xxhash64("node"), F.lit(2**30)) * F.col("n") < DRAWN * 2**30
+    small = F.col("n") <= DRAWN
+    label = _joined(label, _links(rows.filter((small & F.expr("label <> main")) | (~small & drawn)), rows, pool, threshold))
+    # 3. what is still apart from most of a large cluster, with all of it
+    rows = saved(_mixed(_labelled(rows.filter(~small).select("cluster", "node"), label), ["cluster"]), "cluster-rows")
+    label = _joined(label, _links(rows.filter("label <> main"), rows, pool, threshold))
+    named = texts.select("doc_id", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = saved(named, "near-classes")
+    ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return named.join(ids, "label").select("doc_id", "class_id", "class_size", "node", "label")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

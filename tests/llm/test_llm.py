@@ -248,9 +248,13 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
-def test_near_duplicate_classes(make, texts):
+@pytest.mark.parametrize("bounds", [{}, {"DRAWN": 3, "BLOCK_BYTES": 4000, "PART_BYTES": 9000}])
+def test_near_duplicate_classes(make, texts, monkeypatch, bounds):
+    """The second case cuts small clusters as large ones are cut: drawn centres, several blocks and parts."""
     from riskloom.llm import minhash as M
 
+    for name, value in bounds.items():
+        monkeypatch.setattr(M, name, value)
     rng, base = np.random.default_rng(1), [f"w{i}" for i in range(300)]
     family = []
     for k in range(30):
@@ -258,6 +262,11 @@ def test_near_duplicate_classes(make, texts):
         for i in rng.integers(0, 300, k // 3):
             words[i] = f"x{k}_{i}"
         family.append(" ".join(words))
+    for k in range(60):  # about 0.65 to 0.9 alike: some apart from all others
+        words = list(base[:150])
+        for i in rng.integers(0, 150, 2 + k % 5):
+            words[i] = f"y{k}_{i}"
+        family.append(" ".join(words))
     some = ODD + family + list(texts.values())[:60]
     got = {r.doc_id: r.class_id for r in M.classes(make(some)).collect()}
     sets = [M.shingles(np.frombuffer((t or "").encode(), np.uint8)) for t in some]
