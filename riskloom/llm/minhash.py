@@ -192,6 +192,19 @@ def signatures(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>, sketch binary")
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """node, pack (the compressed text), size (its bytes): texts cross the network several times."""
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            rows = list(T.byte_rows(batch.column(1)))
+            packs = pa.array([codec.compress(row, asbytes=True) for row in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packs, pa.array([len(row) for row in rows], pa.int64())], ["node", "pack", "size"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, pack binary, size long")
+
+
 class HeldTexts:
     """Multisets of a block's centres with their labels; a member is compared with all of them at once."""
 
@@ -239,7 +252,7 @@ def _links(centres: DataFrame, members: DataFrame, pool: DataFrame, threshold: f
     """Links (a, b) between labels: every member against every centre of its cluster, by exact overlap.
 
     Both sides: cluster, node, label, distinct by cluster and node; ``pool``: node,
-    text, size. A cluster's centres are cut into blocks and its members into parts by
+    pack, size. A cluster's centres are cut into blocks and its members into parts by
     the size of their texts; a task holds a block and streams over a part. It returns
     only links that join what it has not joined yet, fewer than it has labels.
     """
@@ -250,16 +263,17 @@ def _links(centres: DataFrame, members: DataFrame, pool: DataFrame, threshold: f
     own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     left = centres.join(cuts, "cluster").select("cluster", own("blocks", 1).alias("block"), each("parts").alias("part"), F.lit(0).alias("role"), "node", "label")
     right = members.join(cuts, "cluster").select("cluster", each("blocks").alias("block"), own("parts", 2).alias("part"), F.lit(1).alias("role"), "node", "label")
-    work = left.union(right).join(pool.select("node", F.col("text").cast("binary").alias("text")), "node")
+    work = left.union(right).join(pool, "node")
     task = ["cluster", "block", "part"]
     ready = work.repartition(*task).sortWithinPartitions(*task, "role", "node")
 
     def run(batches):
-        at, held = None, None
+        at, held, codec = None, None, pa.Codec("zstd")
         for batch in batches:
-            clusters, blocks, parts, roles, labels = (batch.column(i).to_pylist() for i in range(5))
+            clusters, blocks, parts, roles, labels, sizes = (batch.column(i).to_pylist() for i in range(6))
             found = []
-            for *task, role, label, text in zip(clusters, blocks, parts, roles, labels, T.byte_rows(batch.column(5)), strict=True):
+            for *task, role, label, size, pack in zip(clusters, blocks, parts, roles, labels, sizes, T.byte_rows(batch.column(6)), strict=True):
+                text = np.frombuffer(codec.decompress(pack, size), np.uint8)
                 if task != at:
                     at, held = task, HeldTexts(threshold)
                 if role == 0:
@@ -268,7 +282,7 @@ def _links(centres: DataFrame, members: DataFrame, pool: DataFrame, threshold: f
                     found.extend((other, label) for other in held.linked(label, text))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return saved(ready.select(*task, "role", "label", "text").mapInArrow(run, "a binary, b binary"), "links")
+    return saved(ready.select(*task, "role", "label", "size", "pack").mapInArrow(run, "a binary, b binary"), "links")
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -334,10 +348,10 @@ def _clusters(shared: DataFrame, label: DataFrame) -> DataFrame:
     texts is in, so that the buckets of a group of near copies mostly have the same
     cluster, and a text stands in few clusters rather than in all of its buckets.
     """
-    apart = saved(_mixed(_labelled(shared, label), ["band", "value"]).select("band", "value", "node", "n", "main"), "apart")
+    apart = saved(_mixed(_labelled(shared, label), ["value"]).select("value", "node", "n", "main"), "apart")
     home = apart.groupBy("node").agg(F.max(F.struct("n", "main")).alias("home"))
-    cluster = apart.join(home, "node").groupBy("band", "value").agg(F.max("home")["main"].alias("cluster"))
-    return saved(apart.join(cluster, ["band", "value"]).select("cluster", "node").distinct(), "clusters")
+    cluster = apart.join(home, "node").groupBy("value").agg(F.max("home")["main"].alias("cluster"))
+    return saved(apart.join(cluster, "value").select("cluster", "node").distinct(), "clusters")
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -345,20 +359,21 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     texts = _texts(docs, id_column, text_column)
     signed = signatures(texts).groupBy("node").agg(F.first(F.struct("bands", "sketch")).alias("s"))
     names = saved(signed.select("node", "s.bands", "s.sketch"), "signatures")
-    entries = names.select("node", F.posexplode("bands").alias("band", "value"))
-    buckets = entries.groupBy("band", "value").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = saved(entries.join(buckets, ["band", "value"]), "bucket-rows")
+    entries = names.select("node", F.explode("bands").alias("value"))  # a value tells its band, too
+    buckets = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value")
+    shared = saved(entries.join(buckets, "value"), "bucket-rows")
     mates = saved(shared.select("node").distinct(), "bucket-nodes")
     sketches = saved(names.select("node", F.col("sketch").alias("value")).join(mates, "node", "left_semi"), "sketches")
-    pool = texts.select("node", "text", F.octet_length("text").cast("long").alias("size"))
-    pool = saved(pool.join(mates, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    pool = saved(packed(texts).join(mates, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     # 1. every text with the least of its buckets
-    pairs = saved(_alike(shared.filter("node <> centre").select("centre", "node").distinct(), sketches, agreeing(threshold)), "pairs")
+    least = shared.groupBy("value").agg(F.min("node").alias("centre"))
+    pairs = shared.join(least, "value").filter("node <> centre").select("centre", "node").distinct()
+    pairs = saved(_alike(pairs, sketches, agreeing(threshold)), "pairs")
     centres = pairs.select(F.col("centre").alias("cluster"), F.col("centre").alias("node"), F.col("centre").alias("label")).distinct()
     members = pairs.select(F.col("centre").alias("cluster"), "node", F.col("node").alias("label"))
     label = components(_links(centres, members, pool, threshold))
     # 2. what is still apart in a bucket: small clusters in full, large ones with centres drawn from them
-    clusters = _clusters(shared.drop("centre"), label)
+    clusters = _clusters(shared, label)
     rows = saved(_mixed(_labelled(clusters, label), ["cluster"]), "cluster-rows")
     drawn = F.pmod(F.xxhash64("node"), F.lit(2**30)) * F.col("n") < DRAWN * 2**30
     small = F.col("n") <= DRAWN
