@@ -2,14 +2,15 @@
 
 Byte-pair merges run from an agenda (a priority queue of candidate merges, best
 score first, then leftmost). A candidate that comes up is skipped if a keyed hash of
-(seed, variant, chunk, its place) falls below the dropout rate: the same seed always
-gives the same pieces, other seeds and variants other ones, and every segmentation
-decodes to the text. Without dropout the pieces equal the public library's.
+(seed, document id, the chunk's place in the text, its turn) falls below the dropout
+rate: the same seed always gives the same pieces, every repeat of a word has coins of
+its own, and every segmentation decodes to the text. Without dropout the pieces equal
+the public library's.
 
 As no vocabulary piece has a blank after another character, no merge crosses the
-start of a chunk (blanks, then other characters); chunks are segmented once per
-task and variant and kept in a bounded cache. A document's variant is a keyed hash
-of its id, so that repeated words vary over the corpus.
+start of a chunk (blanks, then other characters). A bounded cache keeps the pieces of
+(chunk, turns at which a candidate was skipped), which the coins of each occurrence
+choose from; it changes the time, never a result.
 
 Characters without a piece, and the blank sign itself if a text contains it, become
 byte pieces. Defined results: NULL and empty texts have no pieces and decode to the
@@ -19,6 +20,7 @@ columns other than id and text pass through untouched.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
@@ -35,7 +37,6 @@ from riskloom.llm.common import load
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
 SEED = 2
 CACHE = 500_000
 BLANK = "▁"
@@ -45,18 +46,41 @@ _CHUNK = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
 UNKNOWN, GONE = -1, -2  # symbols: a character without a piece; merged into an earlier symbol
 NONE = np.iinfo(np.int32).max  # rank of a place without a candidate
 LONG = 120  # characters above which a chunk is segmented by itself
+TURNS = 64  # coins drawn ahead for an occurrence; a chunk with more turns is segmented by itself
+KEPT = 20  # turns above which a run is not kept: equal skips hardly come again
+BLOCK = 1 << 17  # occurrences that are looked up, and what is new of them segmented, at once
 SALT_STEP = 0x9E3779B97F4A7C15
 PAIR_STEP = 0xC2B2AE3D27D4EB4F
 
 
-def _coin(salt, i, m, e):
-    """32 keyed bits for a candidate merge of [i, m) and [m, e); numbers or arrays."""
-    if isinstance(salt, int):
-        x = (salt ^ (i * 0xD6E8FEB86659FD93 + m * 0xA0761D6478BD642F + e * 0xE7037ED1A0B428DB)) % 2**64
-        return (x * 0x94D049BB133111EB % 2**64) >> 32
-    i, m, e = (x.astype(np.uint64) for x in (i, m, e))
-    x = salt ^ (i * np.uint64(0xD6E8FEB86659FD93) + m * np.uint64(0xA0761D6478BD642F) + e * np.uint64(0xE7037ED1A0B428DB))
-    return x * np.uint64(0x94D049BB133111EB) >> np.uint64(32)
+def _mix(x):
+    """64 mixed bits (SplitMix64's last steps) of a number or of an array."""
+    if isinstance(x, int):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _coin(salt: int, turn: int) -> int:
+    """16 keyed bits for the candidate that comes up at this turn; four turns share a hash."""
+    return _mix((salt + (turn // 4 + 1) * SALT_STEP) % 2**64) >> 16 * (turn % 4) & 0xFFFF
+
+
+def _below(dropout: float) -> int:
+    return round(dropout * 2**16)
+
+
+def _struck(salts: np.ndarray, dropout: float) -> np.ndarray:
+    """For each salt the first :data:`TURNS` turns whose coin says skip, as bits."""
+    steps = np.array([(k + 1) * SALT_STEP % 2**64 for k in range(TURNS // 4)], np.uint64)
+    out = [np.empty(0, np.uint64)]
+    for at in range(0, len(salts), 4096):
+        coins = np.ascontiguousarray(_mix(salts[at : at + 4096, None] + steps), "<u8").view("<u2")
+        out.append(np.packbits(coins < _below(dropout), axis=1, bitorder="little").view("<u8").ravel())
+    return np.concatenate(out)
 
 
 class Vocabulary:
@@ -129,23 +153,26 @@ class Vocabulary:
         return out
 
     def segment(self, chunk: str, dropout: float = 0.0, key: int = 0) -> list[int]:
-        """Piece ids of one chunk (blanks as blanks), by a heap as agenda."""
+        """Piece ids of one chunk (blanks as blanks); ``key`` is the salt of its coins."""
+        below, salt = _below(dropout), key % 2**64
+        return self.run(chunk, (lambda turn: _coin(salt, turn) < below) if below else None)[0]
+
+    def run(self, chunk: str, skip=None) -> tuple[list[int], int]:
+        """Piece ids and the number of turns, by a heap as agenda; ``skip`` tells whether the candidate of a turn is skipped."""
         n, order = len(chunk), self.order
         if chunk == BLANK:
-            return [self.byte_ids[b] for b in chunk.encode()]
+            return [self.byte_ids[b] for b in chunk.encode()], 0
         end = list(range(1, n + 1))  # of the symbol that starts here; 0: merged into an earlier one
         before = list(range(-1, n - 1))
         agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := order.get(chunk[i : i + 2])) is not None]
         heapify(agenda)
-        below, salt = int(dropout * 2**32), key % 2**64
-        if below:
-            for c in chunk:
-                salt = (salt * SALT_STEP + ord(c)) % 2**64
+        turn = -1
         while agenda:
             _, i, m, e = heappop(agenda)
             if end[i] != m or end[m] != e:
                 continue  # one of its symbols is gone or has grown
-            if below and _coin(salt, i, m, e) < below:
+            turn += 1
+            if skip is not None and skip(turn):
                 continue
             end[i], end[m] = e, 0
             if e < n:
@@ -164,36 +191,44 @@ class Vocabulary:
             else:
                 out.extend(self.byte_ids[b] for b in piece.encode())
             i = end[i]
-        return out
+        return out, turn + 1
 
     def segment_many(self, chunks: list[str], dropout: float = 0.0, key: int = 0) -> list[bytes]:
-        """As :meth:`segment`, for many chunks in step: int32 ids of each as bytes.
-
-        Every chunk has its agenda as a row of ranks; each step takes the first least
-        rank of every row, and merges it or, by the keyed hash, strikes it off.
+        """As :meth:`segment`, for many chunks with the same salt: int32 ids of each as bytes."""
+        salts = np.full(len(chunks), key % 2**64, np.uint64)
+        runs = self.run_many(chunks, _struck(salts, dropout))
+        slow = lambda k: np.array(self.segment(chunks[k], dropout, key), np.int32).tobytes()
+        return [slow(k) if ids is None else ids for k, (ids, _) in enumerate(runs)]
+
+    def run_many(self, chunks: list[str], struck: np.ndarray) -> list[tuple]:
+        """As :meth:`run`, for many chunks in step: int32 ids of each as bytes, and its turns.
+
+        ``struck`` has the turns that are skipped as bits. Every chunk has its agenda as
+        a row of ranks; each step takes the first least rank of every row, and merges it
+        or strikes it off. A run that could have more than :data:`TURNS` turns and skips
+        any has no ids.
         """
-        out: list = [b""] * len(chunks)
+        out: list = [(None, 0)] * len(chunks)
         lengths = np.array([len(c) for c in chunks])
         for low, high in ((0, 6), (6, 9), (9, 13), (13, 20), (20, 40), (40, LONG)):
             at = np.flatnonzero((lengths > low) & (lengths <= high))
             for part in np.array_split(at, -(-len(at) // 4096)) if len(at) else ():
-                for i, ids in zip(part.tolist(), self._in_step([chunks[i] for i in part], lengths[part], dropout, key), strict=True):
-                    out[i] = ids
-        for i in np.flatnonzero(lengths > LONG).tolist():
-            out[i] = np.array(self.segment(chunks[i], dropout, key), np.int32).tobytes()
-        return out
-
-    def _in_step(self, chunks: list[str], lengths: np.ndarray, dropout: float, key: int) -> list[bytes]:
+                for i, run in zip(part.tolist(), self._in_step([chunks[i] for i in part], lengths[part], struck[part]), strict=True):
+                    out[i] = run
+        for i in np.flatnonzero((lengths > LONG) & (struck == 0)).tolist():
+            ids, turns = self.run(chunks[i])
+            out[i] = np.array(ids, np.int32).tobytes(), turns
+        # beyond the bits nothing is known of the coins
+        return [(None, turns) if turns > TURNS and s else (ids, turns) for (ids, turns), s in zip(out, struck.tolist(), strict=True)]
+
+    def _in_step(self, chunks: list[str], lengths: np.ndarray, struck: np.ndarray) -> list[tuple]:
         n, width = len(chunks), int(lengths.max())
         inside = np.arange(width)[None, :] < lengths[:, None]
         codes = np.zeros((n, width), np.int64)
         codes[inside] = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
         symbol = np.where(inside, self.of_char[codes], np.int32(GONE))
-        salt = np.full(n, key % 2**64, np.uint64)
-        below = int(dropout * 2**32)
-        if below:
-            for k in range(width):
-                salt = np.where(inside[:, k], salt * np.uint64(SALT_STEP) + codes[:, k].astype(np.uint64), salt)
+        any_struck, turn = bool(struck.any()), 0  # every row that still has a candidate is at the same turn
+        turns = np.zeros(n, np.int64)
         end = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
         before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
         merged = np.full((n, width), UNKNOWN, np.int32)
@@ -204,14 +239,15 @@ class Vocabulary:
             i = rank[rows].argmin(axis=1)
             some = rank[rows, i] != NONE
             rows, i = rows[some], i[some]
-            m = end[rows, i]
-            e = end[rows, m]
-            live, r = rows, rows
-            if below:
-                struck = _coin(salt[rows], i, m, e) < below
-                rank[rows[struck], i[struck]] = NONE
-                go = ~struck
-                r, i, m, e = rows[go], i[go], m[go], e[go]
+            r = rows
+            turns[rows] = turn + 1
+            if any_struck and turn < TURNS:
+                go = struck[rows] >> np.uint64(turn) & np.uint64(1) == 0
+                rank[rows[~go], i[~go]] = NONE
+                r, i = rows[go], i[go]
+            turn += 1
+            m = end[r, i]
+            e = end[r, m]
             piece = merged[r, i]
             symbol[r, i], symbol[r, m], end[r, i], rank[r, m] = piece, GONE, e, NONE
             more = e < lengths[r]
@@ -225,7 +261,6 @@ class Vocabulary:
             q, qp = r[has], p[has]
             new = self._merged(symbol[q, qp], piece[has])
             merged[q, qp], rank[q, qp] = new, np.where(new >= 0, self.rank[new], NONE)
-            rows = live
         left = symbol != GONE
         flat = symbol[left].astype(np.int32).tobytes()
         stops = 4 * np.cumsum(left.sum(1))
@@ -237,7 +272,7 @@ class Vocabulary:
                 known = int(symbol[row, k])
                 ids.extend([known] if known >= 0 else [self.byte_ids[b] for b in chunks[row][k].encode()])
             out[row] = np.array(ids, np.int32).tobytes()
-        return out
+        return list(zip(out, turns.tolist(), strict=True))
 
     def decode(self, ids) -> bytes:
         """UTF-8 text of piece ids (the leading blank of the first chunk goes)."""
@@ -245,29 +280,74 @@ class Vocabulary:
 
 
 class Encoder:
-    """Whole texts to ids, with a bounded cache of chunks per variant."""
-
-    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, variants: int, cache: int = CACHE):
-        self.vocabulary, self.dropout, self.seed, self.variants, self.room = vocabulary, dropout, seed, variants, cache
-        self.cache = [{} for _ in range(variants)]
-
-    def variant(self, doc_id) -> int:
-        return xxhash.xxh3_64_intdigest(str(doc_id).encode(), self.seed) % self.variants
+    """Whole texts to ids.
+
+    Up to a skipped candidate, a run with skips is the run without; so a run depends on
+    the turns it skips alone. ``known`` has runs met so far: (chunk, skipped turns as
+    bits), or the chunk alone if it skips none, to the bits of all its turns and its ids.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, cache: int = CACHE):
+        self.vocabulary, self.dropout, self.seed, self.room = vocabulary, dropout, seed, cache
+        self.known: dict = {}
+
+    def salts(self, doc_id, n: int) -> np.ndarray:
+        """A salt for each of the document's ``n`` chunks."""
+        own = np.uint64(xxhash.xxh3_64_intdigest(str(doc_id).encode(), self.seed % 2**64))
+        return _mix(own + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(SALT_STEP))
+
+    def _ids(self, chunks: list[str], salts: np.ndarray) -> list[bytes]:
+        known, out, new = self.known, [], {}
+        struck = _struck(salts, self.dropout) if self.dropout else np.zeros(len(chunks), np.uint64)
+        get, add = known.get, out.append
+        for c, mine in zip(chunks, struck.tolist(), strict=True):
+            run = get(c)
+            if run is not None and (left := mine & run[0]):
+                skipped = 0
+                while left:
+                    skipped |= left & -left
+                    if (run := get((c, skipped))) is None:
+                        break
+                    left = mine & run[0] & ~skipped
+            if run is not None:
+                add(run[1])
+                continue
+            # what lies behind the last possible turn makes no difference
+            key = c, mine & (1 << min(TURNS, len(c) - 1 + mine.bit_count())) - 1
+            if (places := new.get(key)) is None:
+                new[key] = [len(out)]
+            else:
+                places.append(len(out))
+            add(b"")
+        runs = self.vocabulary.run_many([c for c, _ in new], np.array([mine for _, mine in new], np.uint64))
+        for ((c, mine), places), (ids, turns) in zip(new.items(), runs, strict=True):
+            if turns <= TURNS and ids is not None:
+                whole = (1 << turns) - 1
+                if turns <= KEPT:
+                    known[(c, mine & whole) if mine & whole else c] = whole, ids
+            elif self.dropout:  # more turns than coins drawn ahead: each place by itself
+                for k in places:
+                    out[k] = np.array(self.vocabulary.segment(c, self.dropout, int(salts[k])), np.int32).tobytes()
+                continue
+            for k in places:
+                out[k] = ids
+        return out
 
-    def many(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
+    def many(self, texts: list[str], doc_ids: list) -> list[np.ndarray]:
         """Ids of each text."""
-        out: list = [None] * len(texts)
-        for v in set(variants):
-            mine = [i for i, w in enumerate(variants) if w == v]
-            chunks = [_CHUNK.findall(" " + texts[i]) if texts[i] else [] for i in mine]
-            known = self.cache[v]
-            if len(known) > self.room // self.variants:
-                known.clear()
-            new = list({c for own in chunks for c in own if c not in known})
-            known.update(zip(new, self.vocabulary.segment_many(new, self.dropout, self.seed * 1_000_003 + v), strict=True))
-            for i, own in zip(mine, chunks, strict=True):
-                out[i] = np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32)
-        return out
+        own = [_CHUNK.findall(" " + text) if text else [] for text in texts]
+        gc.disable()  # the cache has no cycles, and is long to walk
+        flat = [c for chunks in own for c in chunks]
+        salts = [self.salts(d, len(chunks)) for d, chunks in zip(doc_ids, own, strict=True)]
+        salts = np.concatenate(salts) if salts else np.empty(0, np.uint64)
+        pieces = []
+        for at in range(0, len(flat), BLOCK):
+            if len(self.known) > self.room:
+                self.known.clear()
+            pieces += self._ids(flat[at : at + BLOCK], salts[at : at + BLOCK])
+        gc.enable()
+        ends = np.cumsum([len(chunks) for chunks in own]).tolist()
+        return [np.frombuffer(b"".join(pieces[e - len(chunks) : e]), np.int32) for e, chunks in zip(ends, own, strict=True)]
 
 
 _ENCODERS: dict = {}  # one per worker and setting: its cache serves all of the worker's tasks
@@ -294,16 +374,16 @@ def _slices(batch: pa.RecordBatch, at: int, limit: int = 4 << 20):
 
 
 def encode(
-    docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+    docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
     id_column: str = "doc_id", text_column: str = "text", drop_text: bool = True,
 ) -> DataFrame:
-    """Adds variant, n_pieces, piece_ids, ids_sha256 and lossless (whether decoding gives the text back)."""
+    """Adds n_pieces, piece_ids, ids_sha256 and lossless (whether decoding gives the text back)."""
     vocabulary = Vocabulary(model_path)
-    setting = (dropout, seed, variants if dropout else 1)
+    setting = (dropout, seed)
     kept = [c for c in docs.columns if not (drop_text and c == text_column)]
     own = StructType(
         [
-            StructField("variant", IntegerType()), StructField("n_pieces", LongType()), StructField("piece_ids", ArrayType(IntegerType())),
+            StructField("n_pieces", LongType()), StructField("piece_ids", ArrayType(IntegerType())),
             StructField("ids_sha256", StringType()), StructField("lossless", BooleanType()),
         ]
     )
@@ -318,8 +398,7 @@ def encode(
         for whole in batches:
             for batch in _slices(whole, at):
                 texts = batch.column(at).fill_null("").to_pylist()
-                variants = [encoder.variant(d) for d in batch.column(ident).to_pylist()]
-                ids = encoder.many(texts, variants)
+                ids = encoder.many(texts, batch.column(ident).to_pylist())
                 hashes = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
                 same = [vocabulary.decode(x.tolist()) == t.encode() for x, t in zip(ids, texts, strict=True)]
                 lengths = np.array([len(x) for x in ids], np.int64)
@@ -327,7 +406,7 @@ def encode(
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                 pieces = pa.ListArray.from_arrays(pa.array(offsets), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i) for i in through), pa.array(variants, pa.int32()), pa.array(lengths), pieces, pa.array(hashes, pa.string()), pa.array(same, pa.bool_())],
+                    [*(batch.column(i) for i in through), pa.array(lengths), pieces, pa.array(hashes, pa.string()), pa.array(same, pa.bool_())],
                     [*kept, *own.names],
                 )
 

@@ -106,6 +106,30 @@ def test_sentencepiece_batches_equal_the_heap():
     assert [np.frombuffer(b, np.int32).tolist() for b in v.segment_many(chunks, 0.4, 9)] == [v.segment(c, 0.4, 9) for c in chunks]
 
 
+def test_sentencepiece_repeats_of_a_word_vary(make):
+    from riskloom.llm import sentencepiece_codec as S
+
+    v, word = S.Vocabulary(), " unbelievable"
+    text = word[1:] + word * 1999
+    one, two = (S.Encoder(v, 0.1, 2).many([text], [d])[0] for d in (1, 2))
+    assert one.tolist() != two.tolist()
+    coder = S.Encoder(v, 0.1, 2)
+    salts = coder.salts(1, 2000)
+    each = [tuple(v.segment(word, 0.1, int(salt))) for salt in salts]
+    assert [i for ids in each for i in ids] == one.tolist()
+    assert len(set(each)) > 20
+    # the share of runs without a skip is that of independent coins
+    turns = v.run(word)[1]
+    assert abs(np.mean(S._struck(salts, 0.1) % np.uint64(2**turns) == 0) - 0.9**turns) < 0.04
+    # a cache that is emptied all the time, and chunks with more turns than coins drawn ahead
+    odd = [text, "x" * 90 + " né▁😀 " + "ab" * 50, " ".join("ñandú😀" for _ in range(300))]
+    small = S.Encoder(v, 0.1, 2, 1).many(odd, [1, 2, 3])
+    for d, (t, got) in enumerate(zip(odd, small), 1):
+        chunks = S._CHUNK.findall(" " + t)
+        slow = [i for c, salt in zip(chunks, coder.salts(d, len(chunks))) for i in v.segment(c, 0.1, int(salt))]
+        assert got.tolist() == slow and v.decode(slow).decode() == t
+
+
 # --- op3 -----------------------------------------------------------------------------
 
 
