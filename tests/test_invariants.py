@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from support import SF_MID, SF_SMALL
 from riskloom import specs
 from riskloom.operators import audit, metrics, split, star
 from riskloom.plans import catalog, clean

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from support import SF_SMALL
 from tools.check_oracles import digest
 
 ORACLES = entry.oracle_sql()
