@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskloom.llm import (
+    centroids,
     decontaminate,
     license_scan,
     minhash,
@@ -13,6 +14,7 @@ from riskloom.llm import (
     sentencepiece_codec,
     sharding,
     substring_dedup,
+    vector_codes,
 )
 
 QUERIES = {
@@ -26,10 +28,14 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_quality_rules": quality_rules.query,
     "op10_decontamination": decontaminate.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_centroids": centroids.query,
 }
 ORACLES = {
     "op1_license_scans": license_scan.ORACLE,
     "op4_secret_scans": secrets.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 }

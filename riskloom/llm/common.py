@@ -43,7 +43,9 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
 def keep_rows(docs: DataFrame, kept_keys: DataFrame, key: Column, key_name: str) -> DataFrame:
@@ -51,3 +53,46 @@ def keep_rows(docs: DataFrame, kept_keys: DataFrame, key: Column, key_name: str)
     (name,) = fresh(docs, "_row_key")
     wanted = kept_keys.select(F.col(key_name).alias(name)).distinct()
     return docs.withColumn(name, key).join(wanted, name, "left_semi").drop(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`saved` table; for tables whose readers have all been written themselves."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT_SHARE = 1000  # a key is hot if it has more than a thousandth of the rows: there are fewer than so many
+SALTS = 64
+
+
+def attach(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``per_key`` (one row per value of ``key``, ``count`` rows of ``rows`` each).
+
+    NULL keys meet. Hot keys (fewer than HOT_SHARE of them) are broadcast, so that no
+    task receives more than a thousandth of the rows for one key.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    (other,) = fresh(rows, f"_{key}")
+    hot = per_key.filter(F.col(count) * HOT_SHARE > total).withColumnRenamed(key, other).drop(count)
+    cold = per_key.filter(F.col(count) * HOT_SHARE <= total).withColumnRenamed(key, other).drop(count)
+    same = F.col(key).eqNullSafe(F.col(other))
+    near = rows.join(F.broadcast(hot), same)
+    rest = rows.join(F.broadcast(hot.select(other)), same, "left_anti").join(cold, same)
+    return near.unionByName(rest).drop(other)
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, salt_by: str, counts: DataFrame) -> DataFrame:
+    """Inner join on ``key``; rows of ``many`` with a hot key are dealt over SALTS tasks by ``salt_by``.
+
+    ``counts``: key, n (rows of ``many``). The rows of ``few`` of a hot key are copied to
+    all of its tasks.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    salt, hot_key = fresh(many.select(*many.columns, *[F.lit(0).alias(c) for c in few.columns if c not in many.columns]), "_salt", "_hot")
+    hot = F.broadcast(counts.filter(F.col("n") * HOT_SHARE > total).select(F.col(key).alias(hot_key)))
+    here = F.when(F.col(hot_key).isNotNull(), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(0)
+    there = F.when(F.col(hot_key).isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, here).drop(hot_key)
+    right = few.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, F.explode(there)).drop(hot_key)
+    return left.join(right, [key, salt]).drop(salt)

@@ -98,19 +98,24 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("blob", "rule", "kind", (F.col("stop") - F.col("own")).alias("start"), "stop")
 
 
+def empty_ledger(spark) -> Ledger:
+    none = lambda **kinds: spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
+    return Ledger(
+        none(blob="binary", rule="string"),
+        none(blob="binary", rule="string", kind="string", start="long", stop="long"),
+    )
+
+
 def update(versions: DataFrame, ledger: Ledger | None = None, rules=RULES, text_column: str = "text") -> Ledger:
     """The ledger after scanning what is new in ``versions`` (one row per path and version)."""
     text = text_or_empty(text_column)
     rows = versions.select(blob_of(text).alias("blob"), text.alias("text"))
     names = F.array(*[F.lit(r.name) for r in rules])
-    if ledger is None:
-        fresh_blobs = rows.dropDuplicates(["blob"])
-        seen = rows.select("blob").distinct().select("blob", F.explode(names).alias("rule"))
-        return Ledger(saved(seen, "ledger-seen"), saved(scan(fresh_blobs, rules), "ledger-findings"))
+    ledger = ledger or empty_ledger(versions.sparkSession)
     pairs = rows.select("blob").distinct().select("blob", F.explode(names).alias("rule"))
     new = saved(pairs.join(ledger.seen.select("blob", "rule").distinct(), ["blob", "rule"], "left_anti"), "ledger-new")
     todo = new.groupBy("blob").agg(F.collect_set("rule").alias("todo"))
-    found = scan(rows.join(todo, "blob").dropDuplicates(["blob"]), rules)
+    found = scan(rows.dropDuplicates(["blob"]).join(todo, "blob"), rules)
     return Ledger(
         saved(ledger.seen.select("blob", "rule").union(new), "ledger-seen"),
         saved(ledger.findings.union(found.select(*ledger.findings.columns)), "ledger-findings"),
@@ -129,9 +134,9 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def report(versions: DataFrame, path_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Findings at every path: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    per_blob = current(update(versions, text_column=text_column))
+def report(versions: DataFrame, path_column: str = "doc_id", text_column: str = "text", ledger: Ledger | None = None) -> DataFrame:
+    """Findings at every path: doc_id, n_assign, n_access, n_hex, base_sha256, spans; ``ledger``: what is known already."""
+    per_blob = current(update(versions, ledger, text_column=text_column))
     rows = versions.select(F.col(path_column).alias("doc_id"), blob_of(text_or_empty(text_column)).alias("blob"))
     out = rows.join(per_blob, "blob", "left")
     none = F.array().cast(per_blob.schema["found"].dataType)
@@ -147,10 +152,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     return report(load(spark, sf_dir, "documents"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", ledger: Ledger | None = None) -> DataFrame:
     """``docs`` with every finding replaced by ``mark``; ``n_chars`` follows the text if there is such a column."""
     (blob, found) = fresh(docs, "_blob", "_found")
-    per_blob = current(update(docs)).select(F.col("blob").alias(blob), F.col("found").alias(found))
+    per_blob = current(update(docs, ledger)).select(F.col("blob").alias(blob), F.col("found").alias(found))
     both = docs.withColumn(blob, blob_of(text_or_empty())).join(per_blob, blob, "left")
     text = F.col("text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
@@ -180,8 +185,8 @@ _ANY_CASE = "|".join(
 )
 _SQL_RULES = {
     "assign": (rf"(?:{_ANY_CASE})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 6),
-    "access": ("AKIA([A-Z0-9]+)", 0, 20),
-    "hex": ("[0-9a-f]+", 0, 24),
+    "access": ("AKIA[A-Z0-9]{16,}", 0, 20),  # runs of the least length and more: shorter ones need no split
+    "hex": ("[0-9a-f]{24,}", 0, 24),
     **{r.kind: (r.pattern, 0, 1) for r in RULES if not r.base},
 }
 ORACLE = "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),\n" + ",\n".join(
