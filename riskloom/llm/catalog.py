@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskloom.llm import (
     centroids,
     decontaminate,
+    embedding_dedup,
     license_scan,
     minhash,
     pii,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.query,
     "op11_vector_codes": vector_codes.query,
     "op12_centroids": centroids.query,
+    "op13_embedding_dedup": embedding_dedup.query,
 }
 ORACLES = {
     "op1_license_scans": license_scan.ORACLE,
@@ -38,4 +40,5 @@ ORACLES = {
     "op10_decontamination": decontaminate.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
     "op12_centroids": centroids.ORACLE,
+    "op13_embedding_dedup": embedding_dedup.ORACLE,
 }
