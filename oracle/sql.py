@@ -6,8 +6,10 @@ compares them with the Spark results. Lenses come from the shared lens text.
 
 from __future__ import annotations
 
+import hashlib
+
 from riskloom import specs
-from riskloom.functions.parse import FIRST_NUMBER_PATTERN, NUMBER_PATTERN
+from riskloom.functions.parse import NUMBER_PATTERN
 from riskloom.sources import lenses
 
 Q = "'"
@@ -38,7 +40,7 @@ def to_number(x: str) -> str:
 
 
 def num_first(x: str) -> str:
-    return f"TRY_CAST(regexp_extract({x}, {lit(FIRST_NUMBER_PATTERN)}, 1) AS DOUBLE)"
+    return f"TRY_CAST(regexp_extract({x}, {lit(specs.FIRST_NUMBER_PATTERN)}, 1) AS DOUBLE)"
 
 
 def yes_no(x: str) -> str:
@@ -468,6 +470,13 @@ def metric_oracles() -> dict[str, str]:
  SELECT fold, CAST(count_if(p < 0.5 AND y <> 1) AS BIGINT) AS tn, CAST(count_if(p >= 0.5 AND y <> 1) AS BIGINT) AS fp,
   CAST(count_if(p < 0.5 AND y = 1) AS BIGINT) AS fn, CAST(count_if(p >= 0.5 AND y = 1) AS BIGINT) AS tp FROM ss GROUP BY fold) c"""
     out["threshold_sweep"] = f"{s} SELECT * FROM {sweep_sql('ss', 'split')} x"
+    out["skewed_score_metrics"] = f"""WITH sk AS ({lenses.duck(lenses.SKEWED_SQL)}),
+g AS (SELECT g, p, CAST(sum(y) AS BIGINT) AS tp, count(*) AS c FROM sk GROUP BY g, p),
+k AS (SELECT g, p, tp, c, sum(tp) OVER w AS ctp, sum(c) OVER w AS cc FROM g WINDOW w AS (PARTITION BY g ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT g, p, CAST(ctp AS DOUBLE)/CAST(cc AS DOUBLE) AS prec, CAST(ctp AS DOUBLE)/(SELECT sum(tp) FROM g AS o WHERE o.g = k.g) AS rec FROM k),
+z AS (SELECT g, prec, rec, coalesce(lag(rec) OVER (PARTITION BY g ORDER BY p DESC),0) AS pr, coalesce(lag(prec) OVER (PARTITION BY g ORDER BY p DESC),1) AS pp FROM m),
+pr AS (SELECT g, sum((rec-pr)*prec) AS average_precision, sum((rec-pr)*(prec+pp)/2) AS pr_auc FROM z GROUP BY g)
+SELECT g, roc_auc, average_precision, pr_auc FROM pr JOIN {auc_sql('sk', 'g')} u USING (g)"""
     out["select_threshold"] = f"""{s} SELECT * EXCLUDE (r) FROM (SELECT *, (recall >= 0.95 AND precision >= 0.7) AS meets_floors,
  row_number() OVER (PARTITION BY split ORDER BY (recall >= 0.95 AND precision >= 0.7) DESC, recall DESC, f1 DESC, precision DESC, threshold DESC) AS r
  FROM {sweep_sql('ss', 'split')} x) z WHERE r = 1"""
@@ -506,6 +515,38 @@ al AS (SELECT lab, n, floor(n * n_t / n_all) AS fl, n * n_t / n_all - floor(n *
 al2 AS (SELECT lab, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, lab) <= n_t - sum(fl) OVER () THEN 1 ELSE 0 END AS n_test FROM al)"""
 
 
+def dealt_sql(rows: str, keys: dict[str, str]) -> str:
+    """CTEs that end in ``dealt`` (k, i, x): for each permutation k of ``keys`` row i takes what stands at row x.
+
+    ``rows`` has the dense numbers i = 0..n-1. A Feistel network on pairs (l, r) of a
+    rectangle of sides a and b, applied until the result is below n.
+    """
+    prime = 2**31 - 1
+    params = []
+    for name, key in keys.items():
+        fields = []
+        for j in range(8):
+            digest = hashlib.md5(f"{key}:{j}".encode()).hexdigest()
+            fields += [str(int(digest[:8], 16) % (prime - 1) + 1), str(int(digest[8:16], 16) % prime)]
+        params.append(f"('{name}', {', '.join(fields)})")
+    columns = ", ".join(f"f{j}, o{j}" for j in range(8))
+    body = "(SELECT k, i, n, a, b, turns, x % a AS l, x // a AS r FROM walk, size WHERE turns = 0 OR x >= n)"
+    for j in range(8):
+        source, side = ("r", "a") if j % 2 == 0 else ("l", "b")
+        keep = f"(l + h) % a AS l, r" if j % 2 == 0 else "l, (r + h) % b AS r"
+        body = f"""(SELECT k, i, n, a, b, turns, {keep} FROM (
+ SELECT k, i, n, a, b, turns, l, r, ((h * h + o{j}) % {prime}) % {side} AS h FROM (
+ SELECT q.k, i, n, a, b, turns, l, r, o{j}, (h1 * h1 + f{j}) % {prime} AS h FROM (
+ SELECT z.k, i, n, a, b, turns, l, r, f{j}, o{j}, (({source} % {prime}) * f{j} + o{j}) % {prime} AS h1 FROM {body} z JOIN params USING (k)) q)))"""
+    return f"""params(k, {columns}) AS (VALUES {', '.join(params)}),
+rn AS (SELECT count(*) AS n FROM {rows}),
+size AS (SELECT n, a, b FROM (SELECT n, a, CAST(greatest(1, ceil(n / a)) AS BIGINT) AS b FROM (
+  SELECT n, CAST(floor(sqrt(greatest(n - 1, 0))) AS BIGINT) + 1 + d AS a FROM rn, range(0, 4096) AS t(d)))
+ ORDER BY CASE WHEN a * b - n <= 4 THEN 0 ELSE 1 END, CASE WHEN a * b - n <= 4 THEN a ELSE a * b - n END, a LIMIT 1),
+walk(k, i, x, turns) AS (SELECT k, i, i, 0 FROM {rows}, params UNION ALL SELECT k, i, r * a + l, turns + 1 FROM {body} w),
+dealt AS (SELECT k, i, x FROM walk, size WHERE turns > 0 AND x < n)"""
+
+
 def split_oracles() -> dict[str, str]:
     out = {}
     out["stratified_split"] = f"""WITH {alloc_sql('orders', 'o_orderstatus')},
@@ -525,10 +566,10 @@ dr AS (SELECT d AS draw, CAST(floor(CAST(('0x' || substr(md5(concat('42', ':', C
        FROM mm, range(0, (SELECT n_major FROM mm)) AS t(d))
 SELECT doc_id, quality, CAST(NULL AS BIGINT) AS draw FROM labels, mm WHERE quality = major
 UNION ALL SELECT mi.doc_id, mi.quality, dr.draw FROM dr JOIN mi ON mi.idx = dr.idx"""
-    out["column_permutation"] = f"""WITH scored AS ({lenses.duck(lenses.SCORED_ORACLE_SQL)}),
-a AS (SELECT id, p, row_number() OVER (ORDER BY id) AS r FROM scored),
-b AS (SELECT p AS pv, row_number() OVER (ORDER BY md5(concat('7', ':', CAST(id AS VARCHAR))), id) AS r FROM scored)
-SELECT id, pv FROM a JOIN b ON a.r = b.r"""
+    out["column_permutation"] = f"""WITH RECURSIVE scored AS ({lenses.duck(lenses.SCORED_ORACLE_SQL)}),
+a AS (SELECT id, p, row_number() OVER (ORDER BY id) - 1 AS i FROM scored),
+{dealt_sql('a', {'': '7'})}
+SELECT a.id, o.p AS pv FROM a JOIN dealt ON dealt.i = a.i JOIN a AS o ON o.i = dealt.x"""
     a = with_a()
     out["class_weights"] = f"""{a}, c AS (SELECT risk AS label, CAST(count(*) AS BIGINT) AS n_class FROM clean_a GROUP BY risk)
 SELECT label, n_class, CAST(sum(n_class) OVER () AS DOUBLE) / (count(*) OVER () * n_class) AS balanced_weight,
@@ -624,6 +665,25 @@ def sigmoid_sql(card) -> str:
     return f"1.0 / (1.0 + exp(-({z})))"
 
 
+def importance_sql() -> str:
+    """Permutation importance of the intake-2 card: F1 at 0.5 of every (feature, repeat) copy against the plain rows."""
+    from riskloom.plans import model_cards as mc
+
+    card, seed = mc.DATA2_CARD, specs.RANDOM_STATE
+    keys = {f"{f}:{r}": f"{seed}:{f}:{r}" for f in card.features for r in range(specs.IMPORTANCE_REPEATS)}
+    swapped = ", ".join(f"CASE WHEN d.k LIKE '{f}:%' THEN o.{f} ELSE a.{f} END AS {f}" for f in card.features)
+    f1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END"
+    counts = "count_if(p >= 0.5 AND y = 1) AS tp, count_if(p >= 0.5 AND y <> 1) AS fp, count_if(p < 0.5 AND y = 1) AS fn"
+    return f"""{with_b().replace('WITH ', 'WITH RECURSIVE ', 1)},
+a AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_pos) - 1 AS i, high_risk AS y, {', '.join(card.features)} FROM clean_b),
+{dealt_sql('a', keys)},
+s AS (SELECT k, y, {sigmoid_sql(card)} AS p FROM (SELECT d.k, a.y, {swapped} FROM a JOIN dealt d ON d.i = a.i JOIN a AS o ON o.i = d.x)),
+c AS (SELECT k, {f1} AS f1 FROM (SELECT k, {counts} FROM s GROUP BY k)),
+base AS (SELECT {f1} AS f1 FROM (SELECT {counts} FROM (SELECT y, {sigmoid_sql(card)} AS p FROM a)))
+SELECT split_part(k, ':', 1) AS feature, avg((SELECT f1 FROM base) - f1) AS importance_mean, stddev_pop((SELECT f1 FROM base) - f1) AS importance_std
+FROM c GROUP BY 1"""
+
+
 def score_oracles() -> dict[str, str]:
     from riskloom.operators.score import ALL_FIELDS
     from riskloom.plans import model_cards as mc
@@ -658,6 +718,7 @@ flat AS (SELECT request_id, prediction_mode, {reason} AS reason, '{specs.DISCLAI
   CASE WHEN prediction_mode = 'combined' THEN {w1} END AS data1_weight, CASE WHEN prediction_mode = 'combined' THEN {w2} END AS data2_weight,
   {txt('errors')}, {txt('missing_data1')}, {txt('missing_data2')}, {near} AS nearest_group FROM sc2)"""
     out["combined_score"] = f"{scored} SELECT * FROM flat"
+    out["importance_card"] = importance_sql()
     out["stream_scores"] = out["combined_score"]
     out["requests_json_roundtrip"] = out["combined_score"]
     req_both = f"""{r},

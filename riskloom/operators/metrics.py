@@ -71,7 +71,7 @@ def _with_totals(g: DataFrame, group_cols) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str, group_cols=()) -> DataFrame:
     """Exact AUC = sum(pos * (neg below + neg tied / 2)) / (P * N); NULL with one class."""
     g = score_counts(df, label, score, group_cols)
-    cum = ordered_prefix_sums(g, list(group_cols), "_s", ["_neg"])
+    cum = ordered_prefix_sums(g, list(group_cols), "_s", ["_pos", "_neg"])  # same columns on both sides: one exchange, read twice
     below = F.col("_neg_cum") - F.col("_neg")
     agg = cum.groupBy(*group_cols).agg(
         F.sum(F.col("_pos") * below + F.col("_pos") * F.col("_neg") * F.lit(0.5)).alias("_u"),

@@ -20,18 +20,19 @@ from pyspark.sql import functions as F
 
 from riskloom.session import reliable_checkpoint
 
+
 def attach_group_values(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     """Add per-group values (one row per group) to every row of ``df``.
 
     With group keys this is an equi-join in which NULL keys match; the planner sees the
-    size of the aggregate and picks the strategy. Without keys the single aggregate row is read and its
-    values attached as literals, so no join without a key (cross join) is planned.
+    size of the aggregate and picks the strategy. Without keys the single aggregate row
+    is a scalar subquery of the same plan: no join without a key, and no job before.
     """
     if keys:
         return null_safe_join(df, per_group, keys)
-    row = per_group.first()  # one row: a global aggregate
-    values = {c: F.lit(None if row is None else row[c]).cast(per_group.schema[c].dataType) for c in per_group.columns}
-    return df.withColumns(values)
+    row = per_group.select(F.struct(*per_group.columns).alias("_gv_row")).scalar()
+    wide = df.withColumn("_gv_row", row)
+    return wide.withColumns({c: F.col("_gv_row")[c] for c in per_group.columns}).drop("_gv_row")
 
 
 def null_safe_join(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,46 +102,45 @@ def dense_ids(df: DataFrame, order_cols: list, out: str = "row_id", start: int =
     )
 
 
+SPLITS = 256  # ranges per group of a prefix scan; a power of two
+
+
 def ordered_prefix_sums(
     df: DataFrame,
     group_cols: list[str],
     order_col: str,
     value_cols: list[str],
-    bucket_bits: tuple[int, ...] = (10, 10),
+    splits: int = SPLITS,
     suffix: str = "_cum",
 ) -> DataFrame:
-    """Inclusive running sums of ``value_cols`` in ascending ``order_col`` within each group.
-
-    ``df`` must have one row per (group, order value), e.g. scores grouped with
-    their counts. Instead of one window per group (one task per group), order
-    values are cut into equal-width buckets of asinh(value) per group, and each bucket
-    again between its own least and greatest value, once per entry of ``bucket_bits``:
-    values that an outlier squeezes into one bucket are spread by the next cut. asinh
-    is monotone (order is kept), near-linear on probabilities and logarithmic in the
-    tails. A window inside (group, bucket) gives local sums and a
-    prefix over the small bucket-total table gives each bucket's offset.
+    """Inclusive running sums of ``value_cols`` in ascending ``order_col`` within each group, NULL first.
+
+    ``df`` must have one row per (group, order value), e.g. scores grouped with their
+    counts. A two-phase prefix scan: quantile splitters of each group (a sketch with a
+    guaranteed rank error, merged from all tasks) cut it into ``splits`` ranges of
+    nearly equal row counts, however the values are spread; every row finds its range
+    by binary search; a window inside (group, range) gives local sums, and a prefix
+    over the range totals (``splits`` rows per group) gives each range's offset. The
+    rows cross the network once.
     """
-    gkey = [*group_cols]
-    base = df.withColumn("_ps_x", F.asinh(F.col(order_col).cast("double")))
-    bucketed, cuts = base, []
-    for level, bits in enumerate(bucket_bits):
-        cut = f"_ps_b{level}"
-        span = bucketed.groupBy(*gkey, *cuts).agg(F.min("_ps_x").alias("_ps_lo"), F.max("_ps_x").alias("_ps_hi"))
-        scaled = F.when(
-            F.col("_ps_hi") > F.col("_ps_lo"),
-            F.floor((F.col("_ps_x") - F.col("_ps_lo")) / (F.col("_ps_hi") - F.col("_ps_lo")) * F.lit(float(2**bits - 1))),
-        ).otherwise(F.lit(0))
-        spread = attach_group_values(bucketed, span, [*gkey, *cuts])
-        bucketed = spread.withColumn(cut, F.coalesce(scaled.cast("long"), F.lit(-1))).drop("_ps_lo", "_ps_hi")
-        cuts.append(cut)
-    totals = bucketed.groupBy(*gkey, *cuts).agg(*[F.sum(v).alias(f"_ps_t_{v}") for v in value_cols])
-    before = Window.partitionBy(*gkey).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+    if splits & (splits - 1):
+        raise ValueError("splits must be a power of two")
+    keys = list(group_cols)
+    shares = ", ".join(f"{i / splits}D" for i in range(1, splits))
+    cuts = df.withColumn("_ps_x", F.col(order_col).cast("double")).groupBy(*keys)
+    cuts = cuts.agg(F.expr(f"percentile_approx(_ps_x, array({shares}), {16 * splits})").alias("_ps_cuts"))
+    halves = F.array(*[F.lit(splits >> i) for i in range(1, splits.bit_length())])  # binary search for the cuts up to the value
+    value = F.col(order_col).cast("double")
+    at = F.aggregate(halves, F.lit(0), lambda pos, step: F.when(F.element_at("_ps_cuts", pos + step) <= value, pos + step).otherwise(pos))
+    placed = attach_group_values(df, cuts, keys).withColumn("_ps_b", at).drop("_ps_cuts")
+    totals = placed.groupBy(*keys, "_ps_b").agg(*[F.sum(v).alias(f"_ps_t_{v}") for v in value_cols])
+    before = Window.partitionBy(*keys).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *gkey, *cuts, *[F.coalesce(F.sum(f"_ps_t_{v}").over(before), F.lit(0)).alias(f"_ps_o_{v}") for v in value_cols]
+        *keys, "_ps_b", *[F.coalesce(F.sum(f"_ps_t_{v}").over(before), F.lit(0)).alias(f"_ps_o_{v}") for v in value_cols]
     )
-    upto = Window.partitionBy(*gkey, *cuts).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    local = bucketed.select("*", *[F.sum(v).over(upto).alias(f"_ps_l_{v}") for v in value_cols])
-    out = null_safe_join(local, offsets, [*gkey, *cuts])
+    upto = Window.partitionBy(*keys, "_ps_b").orderBy(F.col(order_col).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("*", *[F.sum(v).over(upto).alias(f"_ps_l_{v}") for v in value_cols])
+    out = null_safe_join(local, offsets, [*keys, "_ps_b"])
     return out.select(
         *[c for c in df.columns],
         *[(F.col(f"_ps_o_{v}") + F.col(f"_ps_l_{v}")).alias(f"{v}{suffix}") for v in value_cols],

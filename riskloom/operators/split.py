@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import specs
-from riskloom.operators.ranking import dense_ids, hashed_rank, md5_key, null_safe_join
+from riskloom.operators.permute import Permutation
+from riskloom.operators.ranking import dense_ids, hashed_rank, null_safe_join
+from riskloom.session import stored
 
 
 def class_counts(df: DataFrame, label_col: str) -> DataFrame:
@@ -129,8 +131,12 @@ def uniform01(c, seed: int | str | None):
 def column_permutation(
     df: DataFrame, id_col: str, value_col: str, seed: int | str = 7, out: str = "pv"
 ) -> DataFrame:
-    """Value column re-dealt over rows: i-th row by id gets the value of the i-th row by seeded key."""
-    by_id = dense_ids(df.select(id_col), [F.col(id_col)], out="_r")
-    keyed = df.select(F.col(value_col).alias(out), md5_key(id_col, seed).alias("_k"), F.col(id_col).alias("_id"))
-    by_key = dense_ids(keyed, [F.col("_k"), F.col("_id")], out="_r").drop("_k", "_id")
-    return by_id.join(by_key, on="_r", how="inner").select(id_col, out)
+    """Value column re-dealt over rows: row i by id gets the value of row ``Permutation(n, seed)(i)``.
+
+    The bijection is arithmetic on the dense row number, so that only (row, value)
+    pairs move: each value is sent to its destination.
+    """
+    rows = stored(dense_ids(df.select(id_col, value_col), [F.col(id_col)], out="_r", start=0), "permutation")
+    dealt = Permutation(rows.count(), str(seed))
+    sent = rows.select(dealt.of(F.col("_r"), inverse=True).alias("_r"), F.col(value_col).alias(out))
+    return rows.select(id_col, "_r").join(sent, "_r").select(id_col, out)

@@ -309,6 +309,14 @@ def q_pr_summary(spark, sf_dir):
     return metrics.pr_summary(lenses.scored(spark, sf_dir), "y", "p")
 
 
+@register("skewed_score_metrics")
+def q_skewed_score_metrics(spark, sf_dir):
+    """A11-A13 on scores of which nine in ten lie within 1e-9 and two stand apart: ranges stay even."""
+    li = lenses.skewed_scores(spark, sf_dir)
+    auc = metrics.roc_auc(li, "y", "p", group_cols=["g"])
+    return auc.join(metrics.pr_summary(li, "y", "p", group_cols=["g"]), "g")
+
+
 @register("roc_points")
 def q_roc_points(spark, sf_dir):
     return metrics.roc_points(lenses.scored(spark, sf_dir), "y", "p")
@@ -445,6 +453,10 @@ def lens_c(spark, sf_dir, tag="d1"):
     return train_ops.TrainFrame(lenses.learnable(spark, sf_dir), list(specs.DATA1.features), "risk", "row_pos", "Data1", tag)
 
 
+def frame_b(spark, sf_dir, tag="d2"):
+    return train_ops.TrainFrame(clean_b_df(spark, sf_dir), list(specs.DATA2.features), "high_risk", "row_pos", "Data2", tag)
+
+
 def _holdout_eval(spark, sf_dir, family):
     tf = lens_c(spark, sf_dir)
     tr, te = train_ops.split_frame(tf)
@@ -497,6 +509,15 @@ def q_importance(spark, sf_dir):
     return train_ops.permutation_importance(model, tf, te)
 
 
+@register("importance_card")
+def q_importance_card(spark, sf_dir):
+    """M12 on every clean intake-2 row with the fixed logistic card, so that SQL can check it."""
+    tf = frame_b(spark, sf_dir)
+    return train_ops.permutation_importance(
+        None, tf, tf.select(), scorer=lambda df: model_cards.DATA2_CARD.score(df, "p")
+    )
+
+
 @register("balance_experiment")
 def q_balance_experiment(spark, sf_dir):
     return train_ops.balancing_experiment(lens_c(spark, sf_dir), "LogisticRegression", QUICK["LogisticRegression"])
@@ -519,8 +540,7 @@ def q_holdout_recheck(spark, sf_dir):
 def q_score_batch(spark, sf_dir):
     """Both groups trained with MLlib (thresholds from OOF), then all requests scored."""
     tf1 = lens_c(spark, sf_dir, tag="d1")
-    c2 = clean_b_df(spark, sf_dir)
-    tf2 = train_ops.TrainFrame(c2, list(specs.DATA2.features), "high_risk", "row_pos", "Data2", "d2")
+    tf2 = frame_b(spark, sf_dir)
     g1 = train_ops.train_group(tf1, "LogisticRegression", QUICK["LogisticRegression"])
     g2 = train_ops.train_group(tf2, "LogisticRegression", QUICK["LogisticRegression"])
     m1 = train_ops.as_spark_model(g1.deploy_model, tf1, "LogisticRegression", g1.threshold)

@@ -86,7 +86,7 @@ INTAKE_A_HEADERS = {
 
 def duck(sql: str) -> str:
     """Lens text for DuckDB, where the driver tables are plain views."""
-    return sql.format(orders="orders", events="events", labels="labels", documents="documents")
+    return sql.format(orders="orders", events="events", labels="labels", documents="documents", lineitem="lineitem")
 
 
 def spread(df: DataFrame, key: str = "row_pos") -> DataFrame:
@@ -122,6 +122,21 @@ def scored(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return stratified_kfold(base, label_col="y", id_col="id", k=k, seed=None, fold_col="fold")
 
 
+# Scores of order lines by line status: nine in ten within 1e-9, the rest spread over
+# (0, 5e-4], one line of each status at 1; labels from the return flag.
+SKEWED_SQL = """
+SELECT l_linestatus AS g, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
+ CASE WHEN (l_orderkey * 7 + l_linenumber) % 10 < 9 THEN CAST((l_orderkey * 13 + l_partkey * 31 + l_linenumber) % 100003 AS DOUBLE) * 1e-14
+  WHEN l_orderkey = (SELECT min(l_orderkey) FROM {lineitem}) THEN 1.0
+  ELSE CAST((l_partkey * 17 + l_suppkey) % 9973 + 1 AS DOUBLE) / 9973 * 5e-4 END AS p
+FROM {lineitem}
+"""
+
+
+def skewed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SKEWED_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+
+
 # Request records: raw intake-1 strings paired with parsed intake-2 values on their
 # source ids (order key k <-> event id k, one full outer equi-join; either side may
 # be alone). Intake-2 rows carry no bmi_calc, so serve-time BMI derivation fills it.
