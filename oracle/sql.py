@@ -211,6 +211,10 @@ def oracles() -> dict[str, str]:
     out = {}
     out["clean_a"] = f"{a} SELECT * FROM clean_a"
     out["clean_b"] = f"{b} SELECT * FROM clean_b"
+    # read from files: rows are numbered from 0 in file order
+    for name, ctes, lens, frame in (("clean_a_from_csv", a, "intake_a", "clean_a"), ("clean_b_from_sheet", b, "intake_b", "clean_b")):
+        out[name] = f"""{ctes}, place AS (SELECT row_pos AS at, row_number() OVER (ORDER BY row_pos) - 1 AS i FROM {lens})
+SELECT place.i AS row_pos, c.* EXCLUDE (row_pos) FROM {frame} c JOIN place ON place.at = c.row_pos"""
     out["intake_a_parsed"] = f"{a} SELECT * FROM parsed_a"
     out["intake_b_parsed"] = f"{b} SELECT * FROM parsed_b"
     out["header_discovery"] = f"{b} SELECT * FROM body_b"
@@ -326,6 +330,21 @@ STAR_CHECK_SQL = {
     ],
     "obstetric_observations": [("fetal_heartbeat_bpm_range", "fetal_heartbeat_bpm BETWEEN 60 AND 220")],
 }
+MODEL_CHECK_SQL = {
+    "model_runs": [
+        ("dataset_name_in_set", "dataset_name IN ('Data1', 'Data2', 'Combined')"),
+        *[(f"{c}_range", f"{c} BETWEEN 0 AND 1") for c in ("auc", "accuracy", "precision", "recall", "f1", "threshold")],
+    ],
+    "predictions": [
+        ("predicted_probability_range", "predicted_probability BETWEEN 0 AND 1"),
+        ("predicted_class_binary", "predicted_class IN (0, 1)"),
+        ("risk_label_in_set", "risk_label IN ('high-risk pregnancy', 'not high-risk pregnancy')"),
+    ],
+}
+MODEL_NOT_NULL_SQL = {
+    "model_runs": ["model_run_id", "model_name", "dataset_name", "trained_at"],
+    "predictions": ["prediction_id", "created_at", "model_name", "input_json", "predicted_probability", "predicted_class", "risk_label"],
+}
 STAR_NOT_NULL_SQL = {
     "data_sources": ["source_dataset", "cleaned_file", "loaded_row_count", "loaded_at"],
     "pregnancies": ["pregnancy_id", "source_dataset", "source_row_id", "target_risk", "created_at"],
@@ -334,6 +353,14 @@ STAR_NOT_NULL_SQL = {
     "lab_tests": ["lab_id", "pregnancy_id"],
     "obstetric_observations": ["obs_id", "pregnancy_id"],
 }
+STAR_KEYS_SQL = {
+    "data_sources": [["source_dataset"]],
+    "pregnancies": [["pregnancy_id"], ["source_dataset", "source_row_id"]],
+    "vitals": [["vitals_id"], ["pregnancy_id"]],
+    "medical_history": [["history_id"], ["pregnancy_id"]],
+    "lab_tests": [["lab_id"], ["pregnancy_id"]],
+    "obstetric_observations": [["obs_id"], ["pregnancy_id"]],
+}
 SATELLITES = ["vitals", "medical_history", "lab_tests", "obstetric_observations"]
 
 
@@ -342,7 +369,7 @@ def unique_sql(tbl: str, cols: list[str]) -> str:
     return (
         f"SELECT {lit(tbl)} AS table_name, {lit('unique(' + ','.join(cols) + ')')} AS check_name, "
         f"CAST(count_if(n > 1) AS BIGINT) AS duplicate_keys, CAST(coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0) AS BIGINT) AS violations "
-        f"FROM (SELECT {k}, count(*) AS n FROM {tbl} GROUP BY {k}) g"
+        f"FROM (SELECT {k}, count(*) AS n FROM {tbl} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)} GROUP BY {k}) g"
     )
 
 
@@ -377,10 +404,12 @@ def star_oracles() -> dict[str, str]:
     out["star_view_1"] = f"{s} SELECT * FROM vw_data1_modeling"
     out["star_view_2"] = f"{s} SELECT * FROM vw_data2_modeling"
     out["star_view_2_stored"] = out["star_view_2"]
+    out["star_view_1_stored"] = out["star_view_1"]
     out["surrogate_ids"] = f"{s} SELECT pregnancy_id, source_dataset, source_row_id, target_risk, age, pregnancy_weeks FROM pregnancies"
     out["star_count_reconciliation"] = f"""{s} SELECT ds.source_dataset, CAST(ds.loaded_row_count AS BIGINT) AS expected_rows,
  CAST(count(p.pregnancy_id) AS BIGINT) AS pregnancy_rows, CAST(count(p.pregnancy_id) - ds.loaded_row_count AS BIGINT) AS row_count_difference
  FROM data_sources ds LEFT JOIN pregnancies p ON p.source_dataset = ds.source_dataset GROUP BY ds.source_dataset, ds.loaded_row_count"""
+    out["star_published"] = out["star_count_reconciliation"]
     out["star_target_counts"] = f"{s} SELECT source_dataset, target_risk, CAST(count(*) AS BIGINT) AS rows FROM pregnancies GROUP BY source_dataset, target_risk"
     parts = [f"SELECT '{x}_rows' AS output_name, CAST(count(*) AS BIGINT) AS rows FROM {x}" for x in SATELLITES]
     parts += [
@@ -404,14 +433,7 @@ def star_oracles() -> dict[str, str]:
         for c in cols
     ]
     out["check_audit"] = f"{s} " + " UNION ALL ".join(checks)
-    keys = {
-        "data_sources": [["source_dataset"]],
-        "pregnancies": [["pregnancy_id"], ["source_dataset", "source_row_id"]],
-        "vitals": [["vitals_id"], ["pregnancy_id"]],
-        "medical_history": [["history_id"], ["pregnancy_id"]],
-        "lab_tests": [["lab_id"], ["pregnancy_id"]],
-        "obstetric_observations": [["obs_id"], ["pregnancy_id"]],
-    }
+    keys = STAR_KEYS_SQL
     out["unique_audit"] = f"{s} " + " UNION ALL ".join(unique_sql(t, c) for t, ks in keys.items() for c in ks)
     fks = [("pregnancies", "source_dataset", "data_sources", "source_dataset")] + [(x, "pregnancy_id", "pregnancies", "pregnancy_id") for x in SATELLITES]
     out["fk_audit"] = f"{s} " + " UNION ALL ".join(orphan_sql(f"{c}.{fk}->{p}.{pk}", c, fk, p, pk) for c, fk, p, pk in fks)
@@ -684,6 +706,68 @@ SELECT split_part(k, ':', 1) AS feature, avg((SELECT f1 FROM base) - f1) AS impo
 FROM c GROUP BY 1"""
 
 
+def single_sql(ctes: str, card, mode: str, records: str) -> str:
+    """One model's results for raw records: numbers or errors, missing features, no range rules."""
+    fields = card.features
+    text = {f: strip(f"CAST({f} AS VARCHAR)") for f in fields}
+    present = {f: f"({f} IS NOT NULL AND {text[f]} <> '')" for f in fields}
+    typed = ", ".join(f"CASE WHEN {present[f]} THEN {to_number(text[f])} END AS {f}" for f in fields)
+    errors = ", ".join(f"CASE WHEN {present[f]} AND {to_number(text[f])} IS NULL THEN 'invalid value in field: {f}' END" for f in fields_in_order(fields))
+    missing = ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in fields)
+    some = lambda items: f"list_filter([{items}], lambda x: x IS NOT NULL)"
+    ok = f"m = '{mode}'"
+    return f"""{ctes},
+rec AS ({records}),
+ty AS (SELECT request_id, {typed}, {some(errors)} AS errors FROM rec),
+mi AS (SELECT *, {some(missing)} AS missing FROM ty),
+md AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN len(missing) = 0 THEN '{mode}' ELSE 'incomplete' END AS m FROM mi),
+sc AS (SELECT *, CASE WHEN {ok} THEN {sigmoid_sql(card)} END AS p FROM md)
+SELECT request_id, m AS prediction_mode, CASE m WHEN 'rejected' THEN array_to_string(errors, '; ') WHEN 'incomplete' THEN 'Missing {card.dataset}: ' || array_to_string(missing, ', ') END AS reason,
+ CASE WHEN {ok} THEN '{card.model_name}' END AS model_name, p AS probability, CASE WHEN {ok} THEN CAST({card.threshold} AS DOUBLE) END AS threshold,
+ CASE WHEN {ok} THEN CAST(p >= CAST({card.threshold} AS DOUBLE) AS INTEGER) END AS predicted_class,
+ CASE WHEN {ok} THEN CASE WHEN p >= CAST({card.threshold} AS DOUBLE) THEN '{specs.RISK_LABELS[1]}' ELSE '{specs.RISK_LABELS[0]}' END END AS risk_label,
+ CASE WHEN {ok} THEN {len(fields)} END AS feature_count, CASE WHEN {ok} THEN '{'; '.join(fields)}' END AS features_used,
+ CASE WHEN {ok} THEN '' END AS limitations FROM sc"""
+
+
+def fields_in_order(fields) -> list[str]:
+    from riskloom.operators.score import ALL_FIELDS
+
+    return [f for f in ALL_FIELDS if f in fields]
+
+
+def bad_values_sql(ctes: str) -> str:
+    from riskloom.operators.score import ALL_FIELDS
+
+    rows = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, request_id AS id, CAST({f} AS VARCHAR) AS value FROM req WHERE {f} IS NOT NULL AND "
+        f"{strip(f'CAST({f} AS VARCHAR)')} <> '' AND {to_number(strip(f'CAST({f} AS VARCHAR)'))} IS NULL"
+        for f in ALL_FIELDS
+        if f != "bmi_calc"
+    )
+    return f"""{ctes}, bv AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY id, value) AS r FROM ({rows}) u)
+SELECT field, CAST(count(*) AS BIGINT) AS n_bad, string_agg(value, '; ' ORDER BY r) FILTER (r <= 3) AS first_values FROM bv GROUP BY field"""
+
+
+def model_runs_ctes() -> str:
+    """model_runs: both cards on the complete rows of their clean intakes."""
+    from riskloom.plans import model_cards as mc
+
+    ctes, rows = [], []
+    for i, (card, frame, label) in enumerate(((mc.DATA1_CARD, "clean_a", "risk"), (mc.DATA2_CARD, "clean_b", "high_risk")), 1):
+        whole = " AND ".join(f"{f} IS NOT NULL" for f in card.features)
+        t = f"CAST({card.threshold} AS DOUBLE)"
+        ctes.append(f"run{i} AS (SELECT {label} AS y, {sigmoid_sql(card)} AS p FROM {frame} WHERE {whole})")
+        ctes.append(
+            f"cnt{i} AS (SELECT count_if(p < {t} AND y <> 1) AS tn, count_if(p >= {t} AND y <> 1) AS fp, count_if(p < {t} AND y = 1) AS fn, count_if(p >= {t} AND y = 1) AS tp FROM run{i})"
+        )
+        rows.append(
+            f"SELECT CAST({i} AS BIGINT) AS model_run_id, '{card.model_name}' AS model_name, '{card.dataset}' AS dataset_name, now() AS trained_at, "
+            f"(SELECT roc_auc FROM {auc_sql(f'run{i}', None)} u) AS auc, {rates_sql()}, {t} AS threshold, '' AS notes FROM cnt{i}"
+        )
+    return ",\n".join(ctes) + ",\nmodel_runs AS (" + " UNION ALL ".join(rows) + ")"
+
+
 def score_oracles() -> dict[str, str]:
     from riskloom.operators.score import ALL_FIELDS
     from riskloom.plans import model_cards as mc
@@ -723,17 +807,74 @@ flat AS (SELECT request_id, prediction_mode, {reason} AS reason, '{specs.DISCLAI
     out["requests_json_roundtrip"] = out["combined_score"]
     req_both = f"""{r},
 rb AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN len(missing_data1) = 0 AND len(missing_data2) = 0 THEN 'combined' ELSE 'incomplete' END AS mode2 FROM prep),
-rs AS (SELECT request_id, mode2, CASE WHEN mode2 = 'combined' THEN {w1} * ({sigmoid_sql(mc.DATA1_CARD)}) + {w2} * ({sigmoid_sql(mc.DATA2_CARD)}) END AS pc FROM rb)
+rs AS (SELECT *, CASE WHEN mode2 = 'combined' THEN {w1} * ({sigmoid_sql(mc.DATA1_CARD)}) + {w2} * ({sigmoid_sql(mc.DATA2_CARD)}) END AS pc FROM rb)
 SELECT request_id, mode2 AS prediction_mode, pc AS combined_probability,
  CASE WHEN mode2 = 'combined' THEN CAST(pc >= {thr} AS INTEGER) END AS combined_predicted_class,
- {lab("CASE WHEN mode2 = 'combined' THEN CAST(pc >= " + thr + " AS INTEGER) END")} AS combined_risk_label FROM rs"""
+ {lab("CASE WHEN mode2 = 'combined' THEN CAST(pc >= " + thr + " AS INTEGER) END")} AS combined_risk_label,
+ CASE mode2 WHEN 'rejected' THEN array_to_string(errors, '; ') WHEN 'incomplete' THEN '{specs.INCOMPLETE_REASONS['combined']} Missing Data1: '
+  || array_to_string(missing_data1, ', ') || '; missing Data2: ' || array_to_string(missing_data2, ', ') END AS reason,
+ {txt('missing_data1')}, {txt('missing_data2')},
+ CASE WHEN mode2 = 'incomplete' THEN CASE WHEN len(missing_data2) <= len(missing_data1) THEN 'Data2' ELSE 'Data1' END END AS nearest_group FROM rs"""
     out["combined_required_score"] = req_both
+    out["bad_values"] = bad_values_sql(r)
+    out["combined_score_no_metadata"] = out["combined_score"].replace(thr, "CAST(0.5 AS DOUBLE)")
+    pick = lambda what: f"CASE WHEN prediction_mode = 'combined' THEN combined_{what} WHEN prediction_mode = 'data1_only' THEN data1_{what} ELSE data2_{what} END"
+    name = "CASE WHEN prediction_mode = 'combined' THEN data1_model_name || '+' || data2_model_name WHEN prediction_mode = 'data1_only' THEN data1_model_name ELSE data2_model_name END"
+    accepted = "prediction_mode IN ('combined', 'data1_only', 'data2_only')"
+    out["stream_predictions"] = f"""{scored}
+SELECT request_id AS prediction_id, CAST(NULL AS BIGINT) AS model_run_id, {name} AS model_name, {pick('probability')} AS predicted_probability,
+ {pick('predicted_class')} AS predicted_class, {pick('risk_label')} AS risk_label FROM flat WHERE {accepted}"""
+    out["stream_quarantine"] = f"""{scored}
+SELECT request_id, prediction_mode, reason, errors, missing_data1, missing_data2, nearest_group, CAST(NULL AS VARCHAR) AS malformed_text
+FROM flat WHERE NOT ({accepted})
+UNION ALL SELECT NULL, 'rejected', 'malformed record', 'malformed record', NULL, NULL, NULL, '{{"request_id": ' || request_id || ', "age": '
+FROM req WHERE request_id % 97 = 0"""
+    out["score_data1"] = single_sql(with_a(), mc.DATA1_CARD, "data1",
+        f"SELECT row_pos AS request_id, {', '.join(f'{src} AS {dst}' for dst, src in A_SRC.items())} FROM ({lenses.duck(lenses.INTAKE_A_SQL)}) q")
+    out["score_data2"] = single_sql(with_b(), mc.DATA2_CARD, "data2",
+        f"SELECT row_pos AS request_id, {', '.join(f'CAST({f} AS VARCHAR) AS {f}' for f in mc.DATA2_CARD.features)} FROM parsed_b")
+    runs = model_runs_ctes()
+    out["model_runs"] = f"{with_star()}, {runs} SELECT * EXCLUDE (trained_at) FROM model_runs"
+    star, log = with_star(), scored.removeprefix("WITH ")
+    own = r.removeprefix("WITH ")
+    tables = [*STAR_CHECK_SQL, *MODEL_CHECK_SQL]
+    log = log.replace(with_b().removeprefix("WITH ") + ",", "", 1)  # with_star has intake 2 already
+    parts = [
+        f"SELECT {lit(t)} AS table_name, {lit(n)} AS check_name, CAST(count_if(NOT ({c})) AS BIGINT) AS violations FROM b_{t}"
+        for t, conds in (STAR_CHECK_SQL | MODEL_CHECK_SQL).items() for n, c in conds
+    ]
+    parts += [
+        f"SELECT {lit(t)}, {lit(c + '_not_null')}, CAST(count_if({c} IS NULL) AS BIGINT) FROM b_{t}"
+        for t, cols in (STAR_NOT_NULL_SQL | MODEL_NOT_NULL_SQL).items() for c in cols
+    ]
+    keys = STAR_KEYS_SQL | {"model_runs": [["model_run_id"]], "predictions": [["prediction_id"]]}
+    parts += [
+        f"SELECT {lit(t)}, check_name, violations FROM ({unique_sql('b_' + t, c)})" for t, ks in keys.items() for c in ks
+    ]
+    fks = [("pregnancies", "source_dataset", "data_sources", "source_dataset")] + [(x, "pregnancy_id", "pregnancies", "pregnancy_id") for x in SATELLITES]
+    fks.append(("predictions", "model_run_id", "model_runs", "model_run_id"))
+    parts += [
+        f"SELECT {lit(c)}, check_name, issue_count FROM ({orphan_sql(f'{c}.{fk}->{p}.{pk}', 'b_' + c, fk, 'b_' + p, pk)})" for c, fk, p, pk in fks
+    ]
+    broken = ",\n".join(
+        f"b_{t} AS (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in lenses.FAULTS[t].items())}) FROM {t})" for t in tables
+    )
+    out["constraint_audit"] = f"""{star}, {log}, {runs},
+predictions AS (SELECT request_id AS prediction_id, now() AS created_at, CAST(2 AS BIGINT) AS model_run_id, {name} AS model_name, 'json' AS input_json,
+ {pick('probability')} AS predicted_probability, {pick('predicted_class')} AS predicted_class, {pick('risk_label')} AS risk_label FROM flat WHERE {accepted}),
+{broken}
+""" + " UNION ALL ".join(parts)
+    part = lambda g, n: (
+        f"CASE WHEN {g}_probability IS NOT NULL THEN '{n} ' || CAST(round_even({g}_probability * 100, 0) AS BIGINT) || ' % (threshold ' || "
+        f"printf('%.3f', round_even({g}_threshold, 3)) || CASE WHEN {g}_weight IS NOT NULL THEN ', weight ' || printf('%.2f', {g}_weight) ELSE '' END || ')' END"
+    )
     out["presentation"] = f"""{scored},
-pres AS (SELECT request_id, prediction_mode,
+pres AS (SELECT *,
   CASE WHEN prediction_mode = 'combined' THEN combined_probability WHEN prediction_mode = 'data1_only' THEN data1_probability ELSE data2_probability END AS p,
   CASE WHEN prediction_mode = 'combined' THEN combined_threshold WHEN prediction_mode = 'data1_only' THEN data1_threshold ELSE data2_threshold END AS t,
   CASE WHEN prediction_mode = 'combined' THEN combined_predicted_class WHEN prediction_mode = 'data1_only' THEN data1_predicted_class ELSE data2_predicted_class END AS c
  FROM flat WHERE prediction_mode IN ('combined', 'data1_only', 'data2_only'))
-SELECT request_id, prediction_mode, CAST(round_even(p * 100, 0) AS BIGINT) AS probability_pct, c AS predicted_class, {lab('c')} AS risk_label,
- CAST(round(t, 3) AS DOUBLE) AS threshold FROM pres"""
+SELECT request_id, prediction_mode, CASE prediction_mode WHEN 'combined' THEN 'Both models' WHEN 'data1_only' THEN 'Data1 model' ELSE 'Data2 model' END AS mode_label,
+ CAST(round_even(p * 100, 0) AS BIGINT) AS probability_pct, c AS predicted_class, {lab('c')} AS risk_label,
+ CAST(round_even(t, 3) AS DOUBLE) AS threshold, concat_ws('; ', {part('data1', 'Data1')}, {part('data2', 'Data2')}) AS details, reason FROM pres"""
     return out

@@ -65,6 +65,22 @@ def star_checks() -> dict[str, dict[str, Column]]:
     }
 
 
+def model_checks() -> dict[str, dict[str, Column]]:
+    """The CHECK clauses of the two model log tables."""
+    unit = lambda c: _between(c, 0, 1)
+    return {
+        "model_runs": {
+            "dataset_name_in_set": _in("dataset_name", ("Data1", "Data2", "Combined")),
+            **{f"{c}_range": unit(c) for c in ("auc", "accuracy", "precision", "recall", "f1", "threshold")},
+        },
+        "predictions": {
+            "predicted_probability_range": unit("predicted_probability"),
+            "predicted_class_binary": _in("predicted_class", (0, 1)),
+            "risk_label_in_set": _in("risk_label", tuple(specs.RISK_LABELS.values())),
+        },
+    }
+
+
 STAR_NOT_NULL = {
     "data_sources": ["source_dataset", "cleaned_file", "loaded_row_count", "loaded_at"],
     "pregnancies": ["pregnancy_id", "source_dataset", "source_row_id", "target_risk", "created_at"],
@@ -73,6 +89,12 @@ STAR_NOT_NULL = {
     "lab_tests": ["lab_id", "pregnancy_id"],
     "obstetric_observations": ["obs_id", "pregnancy_id"],
 }
+MODEL_NOT_NULL = {
+    "model_runs": ["model_run_id", "model_name", "dataset_name", "trained_at"],
+    "predictions": ["prediction_id", "created_at", "model_name", "input_json", "predicted_probability", "predicted_class", "risk_label"],
+}
+MODEL_KEYS = {"model_runs": [["model_run_id"]], "predictions": [["prediction_id"]]}
+MODEL_FKS = [("predictions", "model_run_id", "model_runs", "model_run_id")]
 STAR_KEYS = {
     "data_sources": [["source_dataset"]],
     "pregnancies": [["pregnancy_id"], ["source_dataset", "source_row_id"]],
@@ -118,17 +140,32 @@ def check_audit(tables: dict[str, DataFrame], checks: dict[str, dict[str, Column
     return _union(parts)
 
 
+def constraint_audit(tables: dict[str, DataFrame], checks: dict[str, dict[str, Column]], required: dict[str, list[str]]) -> DataFrame:
+    """R4 + R5: CHECK and NOT NULL counts of each table in one aggregate over it."""
+    both = {t: {**checks.get(t, {}), **{f"{c}_not_null": F.col(c).isNotNull() for c in required.get(t, [])}} for t in {**checks, **required}}
+    return check_audit(tables, both)
+
+
+def full_audit(
+    tables: dict[str, DataFrame], checks: dict[str, dict[str, Column]], required: dict[str, list[str]], keys: dict[str, list[list[str]]], fks: list[tuple]
+) -> DataFrame:
+    """R4-R7 as one report (table_name, check_name, violations), with every count of each table."""
+    uniques = unique_audit(tables, keys).select("table_name", "check_name", "violations")
+    foreign = fk_audit(tables, fks).select(F.split_part("check_name", F.lit("."), F.lit(1)).alias("table_name"), "check_name", F.col("issue_count").alias("violations"))
+    return _union([constraint_audit(tables, checks, required), uniques, foreign])
+
+
 def not_null_audit(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
     """(table_name, check_name, violations) for NOT NULL columns."""
     return check_audit(tables, {t: {f"{c}_not_null": F.col(c).isNotNull() for c in cols} for t, cols in required.items()})
 
 
 def unique_audit(tables: dict[str, DataFrame], keys: dict[str, list[list[str]]]) -> DataFrame:
-    """Per key: duplicated key values and the rows they cover beyond the first."""
+    """Per key: duplicated key values and the rows they cover beyond the first; keys with a NULL are no duplicates."""
     parts = []
     for table, key_sets in keys.items():
         for cols in key_sets:
-            per_key = tables[table].groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+            per_key = tables[table].dropna(subset=cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
             parts.append(
                 per_key.agg(
                     F.lit(table).alias("table_name"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import specs
@@ -94,6 +94,21 @@ def clean_payload(df: DataFrame, fields=ALL_FIELDS, keep=("request_id",)) -> Dat
     return df.select(*keep, *cols, F.filter(F.array(*errs), lambda e: e.isNotNull()).alias("payload_errors"))
 
 
+def bad_values(requests: DataFrame, fields=ALL_FIELDS, id_col: str = "request_id", shown: int = 3) -> DataFrame:
+    """Per field with text that is no number: how many records, and the first ``shown`` values by id."""
+    items = []
+    for f in [f for f in fields if f in requests.columns]:
+        text = parse.strip(F.col(f).cast("string"))
+        item = F.struct(F.lit(f).alias("field"), F.col(id_col).alias("id"), F.col(f).cast("string").alias("value"))
+        items.append(F.when(F.col(f).isNotNull() & (text != "") & parse.to_number(text).isNull(), item))
+    rows = requests.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    counts = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n_bad"))
+    # the limit on the rank reaches the tasks before the exchange
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("field").orderBy("id", "value"))).filter(F.col("_r") <= shown)
+    texts = first.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("_r", "value"))).alias("v"))
+    return counts.join(texts, "field").select("field", "n_bad", F.array_join(F.transform("v", lambda x: x["value"]), "; ").alias("first_values"))
+
+
 def derive_bmi(df: DataFrame) -> DataFrame:
     """bmi = round_half_even(w / (h/100)^2, 2) when w and h are non-zero and h > 0; fills bmi, bmi_calc only if absent."""
     w, h = F.col("weight_kg"), F.col("height_cm")
@@ -124,12 +139,18 @@ def missing_features(features) -> Column:
     )
 
 
-def prepare_requests(requests: DataFrame, keep=("request_id",)) -> DataFrame:
-    """P20 + P17 + R9 + C4: typed fields, all errors, and both groups' missing lists."""
-    cleaned = derive_bmi(clean_payload(requests, keep=keep))
+def prepare_requests(requests: DataFrame, keep=("request_id",), rules: str = "on") -> DataFrame:
+    """P20 + P17 + R9 + C4: typed fields, all errors, and both groups' missing lists.
+
+    ``rules="off"`` scores records as they come: no range rules and no derived BMI.
+    """
+    cleaned = clean_payload(requests, keep=keep)
+    if rules == "on":
+        cleaned = derive_bmi(cleaned)
+    ranges = validation_errors() if rules == "on" else F.array().cast("array<string>")
     return cleaned.withColumns(
         {
-            "errors": F.concat(F.col("payload_errors"), validation_errors()),
+            "errors": F.concat(F.col("payload_errors"), ranges),
             "missing_data1": missing_features(specs.DATA1.features),
             "missing_data2": missing_features(specs.DATA2.features),
         }
@@ -190,13 +211,15 @@ def score_records(
     mode: str = "auto",
     keep=("request_id",),
     on_invalid: str = "quarantine",
+    rules: str = "on",
 ) -> DataFrame:
     """Route, score each group with its model (once for all rows), combine, flatten.
 
-    mode: 'auto' (either or both groups), 'combined' (both required), 'data1', 'data2'.
+    mode: 'auto' (either or both groups), 'combined' (both required), 'data1', 'data2';
+    rules: 'on' (range rules and derived BMI, as for forms) or 'off' (records as they come).
     """
     dual = DualMetadata.absent() if dual is None else dual
-    prepared = prepare_requests(requests, keep=keep)
+    prepared = prepare_requests(requests, keep=keep, rules=rules)
     routed = route(prepared, require_both=(mode == "combined"))
     if mode in ("data1", "data2"):
         need = "missing_data1" if mode == "data1" else "missing_data2"
@@ -265,50 +288,67 @@ def score_records(
     )
 
 
-def presentation(flat: DataFrame, keep=("request_id",)) -> DataFrame:
-    """Main block by mode; percent = round-half-even(p * 100); threshold to 3 dp."""
+ACCEPTED = ("combined", "data1_only", "data2_only", "data1", "data2")
+
+
+def is_accepted() -> Column:
+    return F.col("prediction_mode").isin(*ACCEPTED)
+
+
+def _main(combined: Column, data1: Column, data2: Column) -> Column:
     mode = F.col("prediction_mode")
-    p = F.when(mode == "combined", F.col("combined_probability")).when(
-        mode.isin("data1_only", "data1"), F.col("data1_probability")
-    ).otherwise(F.col("data2_probability"))
-    t = F.when(mode == "combined", F.col("combined_threshold")).when(
-        mode.isin("data1_only", "data1"), F.col("data1_threshold")
-    ).otherwise(F.col("data2_threshold"))
-    c = F.when(mode == "combined", F.col("combined_predicted_class")).when(
-        mode.isin("data1_only", "data1"), F.col("data1_predicted_class")
-    ).otherwise(F.col("data2_predicted_class"))
-    accepted = flat.filter(mode.isin("combined", "data1_only", "data2_only", "data1", "data2"))
-    return accepted.select(
+    return F.when(mode == "combined", combined).when(mode.isin("data1_only", "data1"), data1).otherwise(data2)
+
+
+def main_block() -> tuple[Column, Column, Column]:
+    """Probability, threshold and class of the block that decides: combined, else the only model."""
+    return tuple(_main(*[F.col(f"{group}_{what}") for group in ("combined", "data1", "data2")]) for what in ("probability", "threshold", "predicted_class"))
+
+
+def main_model_name() -> Column:
+    return _main(F.concat_ws("+", "data1_model_name", "data2_model_name"), F.col("data1_model_name"), F.col("data2_model_name"))
+
+
+MODE_LABELS = {"combined": "Both models", "data1_only": "Data1 model", "data1": "Data1 model", "data2_only": "Data2 model", "data2": "Data2 model"}
+
+
+def presentation(flat: DataFrame, keep=("request_id",)) -> DataFrame:
+    """The deciding block in whole percent (half to even) with a mode label, and a details
+    block: each model's own percentage and threshold (3 dp, half to even), weighted if combined."""
+    p, t, c = main_block()
+    percent = lambda x: F.bround(x * 100, 0).cast("long")
+    labels = F.create_map(*[F.lit(x) for pair in MODE_LABELS.items() for x in pair])
+
+    def part(group: str, name: str) -> Column:
+        weight = F.when(F.col(f"{group}_weight").isNotNull(), F.concat(F.lit(", weight "), F.format_string("%.2f", f"{group}_weight"))).otherwise("")
+        text = F.concat(
+            F.lit(f"{name} "), percent(F.col(f"{group}_probability")).cast("string"), F.lit(" % (threshold "),
+            F.format_string("%.3f", F.bround(f"{group}_threshold", 3)), weight, F.lit(")"),
+        )
+        return F.when(F.col(f"{group}_probability").isNotNull(), text)
+
+    return flat.filter(is_accepted()).select(
         *keep,
         "prediction_mode",
-        F.bround(p * 100, 0).cast("long").alias("probability_pct"),
+        labels[F.col("prediction_mode")].alias("mode_label"),
+        percent(p).alias("probability_pct"),
         c.alias("predicted_class"),
         risk_label(c).alias("risk_label"),
-        F.round(t, 3).alias("threshold"),
+        F.bround(t, 3).alias("threshold"),
+        F.concat_ws("; ", part("data1", "Data1"), part("data2", "Data2")).alias("details"),
+        "reason",
     )
 
 
-def prediction_log(flat: DataFrame, requests: DataFrame, model_run_id=None, keep="request_id") -> DataFrame:
-    """T2 / predictions table: one row per accepted record with its input as JSON text."""
-    mode = F.col("prediction_mode")
-    p = F.when(mode == "combined", F.col("combined_probability")).when(
-        mode.isin("data1_only", "data1"), F.col("data1_probability")
-    ).otherwise(F.col("data2_probability"))
-    c = F.when(mode == "combined", F.col("combined_predicted_class")).when(
-        mode.isin("data1_only", "data1"), F.col("data1_predicted_class")
-    ).otherwise(F.col("data2_predicted_class"))
-    name = F.when(mode == "combined", F.concat_ws("+", "data1_model_name", "data2_model_name")).when(
-        mode.isin("data1_only", "data1"), F.col("data1_model_name")
-    ).otherwise(F.col("data2_model_name"))
-    payload = requests.select(keep, F.to_json(F.struct(*[c_ for c_ in requests.columns if c_ != keep])).alias("input_json"))
-    accepted = flat.filter(mode.isin("combined", "data1_only", "data2_only", "data1", "data2"))
-    return accepted.join(payload, keep).select(
-        F.col(keep).alias("prediction_id"),
-        F.current_timestamp().alias("created_at"),
-        F.lit(model_run_id).cast("long").alias("model_run_id"),
-        name.alias("model_name"),
-        "input_json",
-        p.alias("predicted_probability"),
-        c.alias("predicted_class"),
-        risk_label(c).alias("risk_label"),
-    )
+def model_result(flat: DataFrame, model, group: str, keep=("request_id",)) -> DataFrame:
+    """One model's result as a nested row: probability, threshold, class, label, the
+    features used and their number, limitations; NULL where the model was not used."""
+    p = F.col(f"{group}_probability")
+    used = F.array(*[F.lit(f) for f in model.features])
+    result = F.struct(
+        F.lit(model.model_name).alias("model_name"), p.alias("probability"), F.col(f"{group}_threshold").alias("threshold"),
+        F.col(f"{group}_predicted_class").alias("predicted_class"), F.col(f"{group}_risk_label").alias("risk_label"),
+        F.lit(len(model.features)).alias("feature_count"), used.alias("features_used"),
+        F.array(*[F.lit(x) for x in model.limitations]).cast("array<string>").alias("limitations"),
+    )
+    return flat.select(*keep, "prediction_mode", "reason", F.when(p.isNotNull(), result).alias("result"))

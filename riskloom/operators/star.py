@@ -14,6 +14,8 @@ the views run the joins; written with ``bucketBy`` they need no shuffle either.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +181,7 @@ TABLES = ("data_sources", "pregnancies", "vitals", "medical_history", "lab_tests
 
 
 def write_star(star: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Full refresh of every table, each written whole to its own folder.
+    """Every table written whole to its own folder.
 
     ``pregnancies`` is partitioned by source so the views' source filter prunes files.
     """
@@ -191,26 +193,72 @@ def write_star(star: dict[str, DataFrame], path: str, mode: str = "overwrite") -
 
 
 def write_star_bucketed(star: dict[str, DataFrame], path: str, prefix: str, buckets: int) -> None:
-    """Stored star for repeated view reads: every table bucketed and sorted on pregnancy_id,
-    so the view joins neither shuffle nor sort (external tables under ``path``)."""
+    """Stored star for repeated view reads: every table in ``buckets`` buckets of pregnancy_id, one
+    sorted file each, in the session's catalog (external tables under ``path``)."""
     for name in TABLES:
-        w = star[name].write.mode("overwrite").option("path", f"{path.rstrip('/')}/{name}")
+        df = star[name]
+        if name != "data_sources":
+            df = df.repartition(buckets, "pregnancy_id")
+        w = df.write.mode("overwrite").option("path", f"{path.rstrip('/')}/{name}")
         if name != "data_sources":
             w = w.bucketBy(buckets, "pregnancy_id").sortBy("pregnancy_id")
         w.saveAsTable(f"{prefix}_{name}")
 
 
+def read_star_bucketed(spark, prefix: str) -> dict[str, DataFrame]:
+    """The catalog's bucketed tables: joins on pregnancy_id need no exchange."""
+    return {name: spark.table(f"{prefix}_{name}") for name in TABLES}
+
+
 def read_star(spark, path: str) -> dict[str, DataFrame]:
     """Stored star tables (views on these run the joins)."""
     return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in TABLES}
 
 
-def load_and_validate(clean1: DataFrame, clean2: DataFrame, path: str) -> dict[str, DataFrame]:
-    """E2 load step: split, write every table (full refresh), read back, check counts."""
+# ----------------------------------------------------------------------------- published versions
+POINTER = "_published"  # append-only table: one row per published version
+
+
+def publish_star(star: dict[str, DataFrame], path: str, expected: dict[str, int]) -> str:
+    """Full refresh that readers never see half done.
+
+    The tables go to a new version folder, are read back and validated (R8); only then
+    a row is appended to the pointer table, which readers resolve. A load that fails,
+    at whatever point, leaves the version before it in place. Returns the version.
+    """
     from riskloom.operators import audit
 
+    spark = star["pregnancies"].sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    folder = f"{path.rstrip('/')}/{version}"
+    write_star(star, folder)
+    audit.require_complete(read_star(spark, folder), expected)
+    last = published(spark, path)
+    row = [((last["number"] if last else 0) + 1, version)]
+    spark.createDataFrame(row, "number LONG, version STRING").withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode(
+        "append"
+    ).parquet(f"{path.rstrip('/')}/{POINTER}")
+    return version
+
+
+def published(spark, path: str):
+    """The newest row of the pointer table, or None."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return spark.read.parquet(f"{path.rstrip('/')}/{POINTER}").orderBy(F.desc("number"), F.desc("published_at")).first()
+
+
+def read_published(spark, path: str) -> dict[str, DataFrame]:
+    """The star that was published last."""
+    last = published(spark, path)
+    if last is None:
+        raise ValueError(f"{path}: no star has been published")
+    return read_star(spark, f"{path.rstrip('/')}/{last['version']}")
+
+
+def load_and_validate(clean1: DataFrame, clean2: DataFrame, path: str) -> dict[str, DataFrame]:
+    """E2 load step: split, publish a validated version (full refresh), read it back."""
     expected = {"Data1": clean1.count(), "Data2": clean2.count()}
-    write_star(load_star(clean1, clean2), path)
-    stored = read_star(clean1.sparkSession, path)
-    audit.require_complete(stored, expected)
-    return stored
+    publish_star(load_star(clean1, clean2), path, expected)
+    return read_published(clean1.sparkSession, path)

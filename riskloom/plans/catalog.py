@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom import specs
 from riskloom.operators import profile, rules
 from riskloom.plans import clean
+from riskloom.session import scratch_path, stored
 from riskloom.sources import ingest, lenses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,30 @@ def q_rule_report_b(spark, sf_dir):
     return rules.rule_report(parsed, specs.DATA2_RANGE_RULES, "Data2")
 
 
+def _as_csv(df, path, header: bool):
+    """``df`` (with row_pos) as several unequal CSV files in row order, without row_pos."""
+    cut = df.agg(F.percentile_approx("row_pos", 0.1)).first()[0]
+    for part, rows, files in ((0, df.filter(F.col("row_pos") <= cut), 1), (1, df.filter(F.col("row_pos") > cut), 3)):
+        ordered = rows.repartitionByRange(files, "row_pos").sortWithinPartitions("row_pos").drop("row_pos")
+        ordered.write.option("header", header).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{part}")
+    return [f"{path}/0", f"{path}/1"]
+
+
+@register("clean_a_from_csv")
+def q_clean_a_from_csv(spark, sf_dir):
+    """S1 + W1: the headered CSV reader over several unequal files; rows keep their file order."""
+    paths = _as_csv(stored(lenses.intake_a(spark, sf_dir), "intake-a"), scratch_path(spark, "csv"), header=True)
+    return clean.clean_data1(ingest.read_raw_csv(spark, paths))
+
+
+@register("clean_b_from_sheet")
+def q_clean_b_from_sheet(spark, sf_dir):
+    """S2 + W1: the headerless reader over several unequal files; the title and header rows come first."""
+    cells = stored(lenses.intake_b(spark, sf_dir), "intake-b")
+    paths = _as_csv(cells, scratch_path(spark, "csv"), header=False)
+    return clean.clean_data2(ingest.read_headerless(spark, paths, len(cells.columns) - 1))
+
+
 # ----------------------------------------------------------------------------- profile
 @register("profile_quality")
 def q_profile_quality(spark, sf_dir):
@@ -375,12 +400,12 @@ def q_class_weights(spark, sf_dir):
 
 @register("impute_scale_params")
 def q_impute_scale_params(spark, sf_dir):
-    return stats.impute_scale_params(clean_a_df(spark, sf_dir), list(specs.DATA1.features))
+    return stats.impute_scale_params(stored(clean_a_df(spark, sf_dir), "clean-a"), list(specs.DATA1.features))
 
 
 @register("impute_scale")
 def q_impute_scale(spark, sf_dir):
-    clean1 = clean_a_df(spark, sf_dir)
+    clean1 = stored(clean_a_df(spark, sf_dir), "clean-a")
     feats = list(specs.DATA1.features)
     params = stats.impute_scale_params(clean1, feats).collect()  # one row per feature
     return stats.apply_impute_scale(clean1, params, feats, keep=["row_pos", "risk"])
@@ -427,7 +452,10 @@ def q_combined_score(spark, sf_dir):
 def q_combined_required_score(spark, sf_dir):
     return score_ops.score_records(
         lenses.requests(spark, sf_dir), model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, mode="combined"
-    ).select("request_id", "prediction_mode", "combined_probability", "combined_predicted_class", "combined_risk_label")
+    ).select(
+        "request_id", "prediction_mode", "reason", "combined_probability", "combined_predicted_class", "combined_risk_label",
+        "missing_data1", "missing_data2", "nearest_group",
+    )
 
 
 @register("presentation")
@@ -438,6 +466,35 @@ def q_presentation(spark, sf_dir):
     return score_ops.presentation(flat)
 
 
+@register("combined_score_no_metadata")
+def q_combined_score_no_metadata(spark, sf_dir):
+    """Without stored dual metadata the weights are equal and the combined threshold is 0.5."""
+    return score_ops.score_records(lenses.requests(spark, sf_dir), model_cards.DATA1_CARD, model_cards.DATA2_CARD, None, mode="auto")
+
+
+def _single(spark, records, model, mode: str):
+    """C3 + C8: one model's results for a batch of records, without the forms' range rules; the nested row flattened."""
+    flat = score_ops.score_records(records, model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, mode=mode, rules="off")
+    nested = score_ops.model_result(flat, model, mode)
+    return nested.select("request_id", "prediction_mode", "reason", "result.*")
+
+
+@register("score_data1")
+def q_score_data1(spark, sf_dir):
+    return _single(spark, lenses.records_1(spark, sf_dir), model_cards.DATA1_CARD, "data1")
+
+
+@register("score_data2")
+def q_score_data2(spark, sf_dir):
+    return _single(spark, lenses.records_2(spark, sf_dir), model_cards.DATA2_CARD, "data2")
+
+
+@register("bad_values")
+def q_bad_values(spark, sf_dir):
+    """Per field the records whose text is no number, and the first three values."""
+    return score_ops.bad_values(lenses.requests(spark, sf_dir))
+
+
 # ----------------------------------------------------------------------------- training (rows-only checks)
 from riskloom.plans import train as train_ops  # noqa: E402
 
@@ -525,13 +582,10 @@ def q_balance_experiment(spark, sf_dir):
 
 @register("holdout_recheck")
 def q_holdout_recheck(spark, sf_dir):
-    from riskloom.session import checkpoint_dir
-    import uuid
-
     tf = lens_c(spark, sf_dir)
     tr, te = train_ops.split_frame(tf)
     model = train_ops.fit(tf, tr, "LogisticRegression", QUICK["LogisticRegression"])
-    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "models")
     train_ops.save_model(model, path)
     return train_ops.holdout_recheck(path, tf, te.select(tf.id_col), threshold=0.5)
 
@@ -553,28 +607,63 @@ def q_score_batch(spark, sf_dir):
 from riskloom.streaming import stream as stream_ops  # noqa: E402
 
 
+def _streamed(spark, sf_dir, sink: str, malformed: bool):
+    """Request files -> one scoring stream -> a sink read back; ``malformed`` adds broken lines to the source."""
+    root = scratch_path(spark, "stream")
+    paths = stream_ops.StreamPaths(source=f"{root}/requests", output=f"{root}/out", checkpoint=f"{root}/ckpt")
+    requests = lenses.requests(spark, sf_dir)
+    stream_ops.write_request_files(requests, paths.source)
+    if malformed:
+        broken = requests.filter("request_id % 97 = 0").select(F.concat(F.lit('{"request_id": '), "request_id", F.lit(', "age": ')).alias("value"))
+        broken.write.mode("append").text(paths.source)
+    sinks = stream_ops.run_scoring_streams(
+        spark, paths, model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, max_files_per_trigger=7
+    )
+    return stream_ops.read_sink(spark, sinks[sink])
+
+
 @register("stream_scores")
 def q_stream_scores(spark, sf_dir):
-    """Request files -> streaming scoring -> file sinks; the scored sink read back."""
-    import uuid
+    """Request files -> one streaming query, scored once a batch; the scored sink read back."""
+    return _streamed(spark, sf_dir, "scored", malformed=False).drop("input_json")
 
-    from riskloom.session import checkpoint_dir
 
-    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
-    paths = stream_ops.StreamPaths(source=f"{root}/requests", output=f"{root}/out", checkpoint=f"{root}/ckpt")
-    stream_ops.write_request_files(lenses.requests(spark, sf_dir), paths.source)
-    sinks = stream_ops.run_scoring_streams(spark, paths, model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL)
-    return spark.read.parquet(sinks["scored"])
+@register("stream_predictions")
+def q_stream_predictions(spark, sf_dir):
+    """The predictions sink (without its load time)."""
+    return _streamed(spark, sf_dir, "predictions", malformed=False).drop("created_at", "input_json")
+
+
+@register("stream_quarantine")
+def q_stream_quarantine(spark, sf_dir):
+    """The quarantine sink, malformed lines with their text."""
+    out = _streamed(spark, sf_dir, "quarantine", malformed=True)
+    return out.withColumn("malformed_text", F.when(F.col("request_id").isNull(), F.col("input_json"))).drop("input_json")
+
+
+@register("star_view_1_stored")
+def q_star_view_1_stored(spark, sf_dir):
+    """S8 + J1 on bucketed tables of the catalog: the 4-way join without an exchange."""
+    path = scratch_path(spark, "star")
+    prefix = "star_" + path.rsplit("-", 1)[1]
+    star_ops.write_star_bucketed(star_tables(spark, sf_dir), path, prefix, buckets=8)
+    return star_ops.view_data1(star_ops.read_star_bucketed(spark, prefix))
+
+
+@register("star_published")
+def q_star_published(spark, sf_dir):
+    """S11 + R8: two loads of the same intakes; the version that the pointer names, audited counts."""
+    path = scratch_path(spark, "star")
+    c1, c2 = stored(clean_a_df(spark, sf_dir), "clean-a"), stored(clean_b_df(spark, sf_dir), "clean-b")
+    star_ops.load_and_validate(c1, c2, path)
+    star = star_ops.load_and_validate(c1, c2, path)
+    return audit.count_reconciliation(star)
 
 
 @register("star_view_2_stored")
 def q_star_view_2_stored(spark, sf_dir):
     """S8/S11 + J2 on stored tables: write the star, read it back, run the 5-way join."""
-    import uuid
-
-    from riskloom.session import checkpoint_dir
-
-    path = f"{checkpoint_dir(spark).rstrip('/')}/star/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "star")
     star_ops.write_star(star_tables(spark, sf_dir), path)
     return star_ops.view_data2(star_ops.read_star(spark, path))
 
@@ -582,11 +671,53 @@ def q_star_view_2_stored(spark, sf_dir):
 @register("requests_json_roundtrip")
 def q_requests_json_roundtrip(spark, sf_dir):
     """S5 + C1-C8: requests landed as JSON files, read back with a fixed schema, scored."""
-    import uuid
-
-    from riskloom.session import checkpoint_dir
-
-    path = f"{checkpoint_dir(spark).rstrip('/')}/requests/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "requests")
     lenses.requests(spark, sf_dir).write.mode("overwrite").json(path)
     recs = ingest.read_records_json(spark, path, stream_ops.request_schema(), layout="lines").drop("_corrupt_record")
     return score_ops.score_records(recs, model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL, mode="auto")
+
+
+# ----------------------------------------------------------------------------- model log and faults
+def scored_by_card(spark, sf_dir, card):
+    """Rows of the card's clean intake with all of its features: label y, probability p."""
+    frame, label = (clean_a_df(spark, sf_dir), "risk") if card.dataset == "Data1" else (clean_b_df(spark, sf_dir), "high_risk")
+    frame = stored(frame, "clean")  # so that no filter is copied below the parsers
+    return card.score(frame.dropna(subset=list(card.features)), "p").select(F.col(label).alias("y"), "p")
+
+
+def model_run_table(spark, sf_dir):
+    """R4 + M16: the model_runs table of both cards, measured at their thresholds."""
+    rows = []
+    for run_id, card in enumerate((model_cards.DATA1_CARD, model_cards.DATA2_CARD), 1):
+        measured = train_ops.metric_table(scored_by_card(spark, sf_dir, card), "y", "p", card.threshold)
+        rows.append(train_ops.model_run_rows(measured, run_id, card.model_name, card.dataset))
+    return rows[0].unionByName(rows[1])
+
+
+@register("model_runs")
+def q_model_runs(spark, sf_dir):
+    return model_run_table(spark, sf_dir).drop("trained_at")
+
+
+def prediction_table(spark, sf_dir, run_id: int):
+    """The predictions table of the combined scores of all requests."""
+    requests = lenses.requests(spark, sf_dir).withColumn(stream_ops.CORRUPT, F.lit(None).cast("string"))
+    flat = stream_ops.scored_rows(requests, model_cards.DATA1_CARD, model_cards.DATA2_CARD, model_cards.DUAL)
+    return stream_ops.prediction_rows(flat, run_id)
+
+
+@register("constraint_audit")
+def q_constraint_audit(spark, sf_dir):
+    """R4-R7 over the eight stored tables with injected faults: 35 CHECKs, NOT NULLs, keys, foreign keys."""
+    path = scratch_path(spark, "star")
+    star_ops.write_star(star_tables(spark, sf_dir), path)
+    tables = star_ops.read_star(spark, path)
+    tables["model_runs"] = stored(model_run_table(spark, sf_dir), "model-runs")
+    tables["predictions"] = stored(prediction_table(spark, sf_dir, 2), "predictions")
+    return audit.full_audit(
+        lenses.with_faults(tables),
+        audit.star_checks() | audit.model_checks(),
+        audit.STAR_NOT_NULL | audit.MODEL_NOT_NULL,
+        audit.STAR_KEYS | audit.MODEL_KEYS,
+        audit.STAR_FKS + audit.MODEL_FKS,
+    )

@@ -8,12 +8,13 @@ reaches the driver), then promoted by a projection built from that one row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import specs
 from riskloom.functions import parse
+from riskloom.session import stored
 
 
 def na_tokens_to_null(df: DataFrame, keep: tuple[str, ...] = ("row_pos",)) -> DataFrame:
@@ -26,33 +27,41 @@ def na_tokens_to_null(df: DataFrame, keep: tuple[str, ...] = ("row_pos",)) -> Da
     )
 
 
-def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Headered CSV, every field a string, NA tokens -> NULL, plus a file-order ``row_pos``.
+def in_file_order(df: DataFrame) -> DataFrame:
+    """``df`` (just read from files) with ``row_pos``: 0, 1, ... by file path, then place in the file.
+
+    Every row is landed once with its file, the start of its block and its place within
+    the block; a count per block gives each block's offset. Rows are not sorted or
+    shuffled; the offsets table has one row per block of the input.
+    """
+    tagged = df.withColumns(
+        {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()}
+    )
+    landed = stored(tagged, "landed")
+    # a task reads a block in order, so that places within a block rise by one
+    blocks = landed.groupBy("_file", "_block").agg(F.min("_place").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = landed.join(F.broadcast(offsets), ["_file", "_block"])
+    return numbered.withColumn("row_pos", F.col("_before") + F.col("_place") - F.col("_from")).select("row_pos", *df.columns)
+
+
+def read_raw_csv(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
+    """Headered CSV, every field a string, NA tokens -> NULL, plus ``row_pos`` in file order.
 
     ``columns`` are picked by the header's names, whatever their order in the file.
     """
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if columns:
-        require_columns(df, columns, path)
+        require_columns(df, columns, str(path))
         df = df.select(*columns)
-    df = df.withColumn("row_pos", file_order_position())
-    return na_tokens_to_null(df)
+    return na_tokens_to_null(in_file_order(df))
 
 
-def read_headerless(spark: SparkSession, path: str, n_cells: int) -> DataFrame:
-    """Headerless CSV sheet as (row_pos, c0..c{n-1}) string cells."""
+def read_headerless(spark: SparkSession, path, n_cells: int) -> DataFrame:
+    """Headerless CSV sheet as (row_pos, c0..c{n-1}) string cells, in file order over all files."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n_cells)])
-    df = spark.read.option("header", False).schema(schema).csv(path)
-    return df.withColumn("row_pos", file_order_position()).select("row_pos", *[f"c{i}" for i in range(n_cells)])
-
-
-def file_order_position():
-    """File order key for raw rows: (file, byte-split, row) packed into a sortable long.
-
-    ``monotonically_increasing_id`` increases with input split and row inside the
-    split, which is file order for a single sorted file listing.
-    """
-    return F.monotonically_increasing_id()
+    return in_file_order(spark.read.option("header", False).schema(schema).csv(path))
 
 
 def read_clean_rows(spark: SparkSession, path: str) -> DataFrame:

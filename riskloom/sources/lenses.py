@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom import specs
 from riskloom.sources.tables import table
 
 # Raw intake 1: headered table read as strings (bad ages, blanks, 'n/a', out-of-set
@@ -140,19 +141,7 @@ def skewed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Request records: raw intake-1 strings paired with parsed intake-2 values on their
 # source ids (order key k <-> event id k, one full outer equi-join; either side may
 # be alone). Intake-2 rows carry no bmi_calc, so serve-time BMI derivation fills it.
-REQUEST_A_FIELDS = {
-    "Age": "age",
-    "Systolic BP": "systolic_bp",
-    "Diastolic": "diastolic_bp",
-    "BS": "blood_sugar",
-    "Body Temp": "body_temp_f",
-    "BMI": "bmi",
-    "Previous Complications": "previous_complications",
-    "Preexisting Diabetes": "preexisting_diabetes",
-    "Gestational Diabetes": "gestational_diabetes",
-    "Mental Health": "mental_health",
-    "Heart Rate": "heart_rate",
-}
+REQUEST_A_FIELDS = {raw: name for raw, name in specs.DATA1_COLUMN_MAP.items() if name in specs.DATA1.features}
 REQUEST_B_FIELDS = (
     "age",
     "gravida_n",
@@ -197,3 +186,78 @@ def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clean_data1(na_tokens_to_null(intake_a(spark, sf_dir)))
     label = ((F.col("preexisting_diabetes") == 1) & (F.col("blood_sugar") >= 10)) | (F.col("systolic_bp") >= 150)
     return c.withColumn("risk", F.coalesce(label, F.lit(False)).cast("int"))
+
+
+# A star with faults: per table the columns whose values are replaced in some rows, so
+# that every constraint of the audit is violated. The same SQL text runs on both engines.
+def _fault(column: str, *cases: tuple[int, str], key: str = "pregnancy_id") -> str:
+    return "CASE " + " ".join(f"WHEN {key} % {n} = 0 THEN {value}" for n, value in cases) + f" ELSE {column} END"
+
+
+_CHILD = {"pregnancy_id": _fault("pregnancy_id", (137, "pregnancy_id + 1"), (139, "-pregnancy_id"), (149, "NULL"))}
+FAULTS = {
+    "data_sources": {
+        "loaded_row_count": "CASE WHEN source_dataset = 'Data2' THEN -1 ELSE loaded_row_count END",
+        "cleaned_file": "CASE WHEN source_dataset = 'Data1' THEN NULL ELSE cleaned_file END",
+        "source_dataset": "CASE WHEN source_dataset = 'Data2' THEN 'Data4' ELSE source_dataset END",
+    },
+    "pregnancies": {
+        "age": _fault("age", (101, "9")),
+        "target_risk": _fault("target_risk", (103, "2"), (107, "NULL")),
+        "pregnancy_weeks": _fault("pregnancy_weeks", (109, "46")),
+        "source_row_id": _fault("source_row_id", (113, "-1")),
+        "source_dataset": _fault("source_dataset", (127, "'Data3'"), (131, "NULL")),
+    },
+    "vitals": _CHILD | {
+        c: _fault(c, (n, v)) for c, n, v in [
+            ("systolic_bp", 61, "69"), ("diastolic_bp", 67, "141"), ("heart_rate", 71, "201"), ("body_temp_f", 73, "89.5"),
+            ("weight_kg", 79, "201"), ("height_cm", 83, "119"), ("height_m", 89, "2.3"), ("bmi", 97, "9.5"),
+        ]
+    },
+    "medical_history": _CHILD | {
+        c: _fault(c, (n, v)) for c, n, v in [
+            ("previous_complications", 41, "2"), ("preexisting_diabetes", 43, "-1"), ("gestational_diabetes", 47, "3"),
+            ("mental_health", 53, "2"), ("gravida_n", 59, "4"), ("tt_injection_n", 61, "0"),
+        ]
+    },
+    "lab_tests": _CHILD | {
+        c: _fault(c, (n, v)) for c, n, v in [("blood_sugar", 31, "26"), ("urine_sugar_yes", 37, "2"), ("vdrl_positive", 41, "2"), ("hrsag_positive", 43, "2")]
+    },
+    "obstetric_observations": _CHILD | {"fetal_heartbeat_bpm": _fault("fetal_heartbeat_bpm", (29, "59"))},
+    "model_runs": {
+        "dataset_name": "CASE WHEN model_run_id = 2 THEN 'Other' ELSE dataset_name END",
+        "auc": "CASE WHEN model_run_id = 1 THEN 1.5 ELSE auc END",
+        "threshold": "CASE WHEN model_run_id = 1 THEN -0.1 ELSE threshold END",
+        "recall": "CASE WHEN model_run_id = 2 THEN 2 ELSE recall END",
+    },
+    "predictions": {
+        "predicted_probability": _fault("predicted_probability", (151, "-0.5"), key="prediction_id"),
+        "predicted_class": _fault("predicted_class", (157, "2"), key="prediction_id"),
+        "risk_label": _fault("risk_label", (163, "'unknown'"), (167, "NULL"), key="prediction_id"),
+        "model_run_id": _fault("model_run_id", (173, "99"), (179, "NULL"), key="prediction_id"),
+        "prediction_id": _fault("prediction_id", (181, "prediction_id + 1"), key="prediction_id"),
+    },
+}
+
+
+def with_faults(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with the faults of FAULTS, column types kept."""
+    out = {}
+    for name, df in tables.items():
+        faults = FAULTS.get(name, {})
+        out[name] = df.select(*[F.expr(faults[c]).cast(df.schema[c].dataType).alias(c) if c in faults else F.col(c) for c in df.columns])
+    return out
+
+
+# Records of one model each, as a batch of files would bring them: texts, typed by the scorer.
+def records_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, intake-1 features as raw strings)."""
+    return intake_a(spark, sf_dir).select(F.col("row_pos").alias("request_id"), *[F.col(k).alias(v) for k, v in REQUEST_A_FIELDS.items()])
+
+
+def records_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, parsed intake-2 features as strings, bmi_calc among them; no range rules applied)."""
+    from riskloom.plans.clean import parse_data2
+
+    features = [*REQUEST_B_FIELDS, "bmi_calc"]
+    return parse_data2(intake_b(spark, sf_dir)).select(F.col("row_pos").alias("request_id"), *[F.col(c).cast("string").alias(c) for c in features])
