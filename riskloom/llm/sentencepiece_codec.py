@@ -38,7 +38,7 @@ from riskloom.llm.common import load
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 2
-CACHE = 500_000
+CACHE = 1_000_000  # runs kept by a worker, some 300 bytes each
 BLANK = "▁"
 _CHUNK = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
 
@@ -274,6 +274,17 @@ class Vocabulary:
             out[row] = np.array(ids, np.int32).tobytes()
         return list(zip(out, turns.tolist(), strict=True))
 
+    def same(self, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether the ids of each text decode to it; one take of pieces for all of them."""
+        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        taken = pa.array(self.surface, pa.large_binary()).take(pa.array(flat))
+        places = np.frombuffer(taken.buffers()[1], np.int64)[: len(flat) + 1]
+        data = memoryview(taken.buffers()[2] or b"")
+        ends = np.cumsum([0, *map(len, ids)])
+        starts = [int(places[at]) if len(flat) else 0 for at in ends]
+        # the leading blank of the first chunk goes
+        return [bytes(data[a + 1 : b]) == text.encode() for a, b, text in zip(starts[:-1], starts[1:], texts, strict=True)]
+
     def decode(self, ids) -> bytes:
         """UTF-8 text of piece ids (the leading blank of the first chunk goes)."""
         return b"".join(map(self.surface.__getitem__, ids))[1:]
@@ -400,7 +411,7 @@ def encode(
                 texts = batch.column(at).fill_null("").to_pylist()
                 ids = encoder.many(texts, batch.column(ident).to_pylist())
                 hashes = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
-                same = [vocabulary.decode(x.tolist()) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                same = vocabulary.same(ids, texts)
                 lengths = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
