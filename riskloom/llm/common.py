@@ -96,3 +96,13 @@ def spread_join(many: DataFrame, few: DataFrame, key: str, salt_by: str, counts:
     left = many.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, here).drop(hot_key)
     right = few.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, F.explode(there)).drop(hot_key)
     return left.join(right, [key, salt]).drop(salt)
+
+
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: fewer rows than Spark's default (a setting of one's own stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import textnum as T
-from riskloom.llm.common import fresh, load, saved, text_or_empty
+from riskloom.llm.common import discard, fresh, load, saved, small_batches, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -182,13 +182,14 @@ def signatures(texts: DataFrame) -> DataFrame:
             for text in T.byte_rows(batch.column(1)):
                 held.append(shingles(text))
                 size += len(held[-1][0])
-                if len(held) >= 1024 or size > 150_000:
+                if len(held) >= 512 or size > 80_000:
                     flush(held)
                     held, size = [], 0
             flush(held)
             columns = [batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "bands", "sketch"])
 
+    small_batches(texts.sparkSession)
     return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>, sketch binary")
 
 
@@ -282,7 +283,9 @@ def _links(centres: DataFrame, members: DataFrame, pool: DataFrame, threshold: f
                     found.extend((other, label) for other in held.linked(label, text))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return saved(ready.select(*task, "role", "label", "size", "pack").mapInArrow(run, "a binary, b binary"), "links")
+    out = saved(ready.select(*task, "role", "label", "size", "pack").mapInArrow(run, "a binary, b binary"), "links")
+    discard(cuts)
+    return out
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -315,18 +318,27 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         lesser = hooked.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("lesser"))
         shortcut = hooked.join(lesser, hooked["old"] == lesser["root"]).select("node", "old", F.least("label", "lesser").alias("label"))
         step = saved(shortcut, "labels")
+        discard(labels)
         if step.filter("old <> label").isEmpty():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+            discard(edges)
+            out = step.select("node", "label")
+            out.saved_at = step.saved_at
+            return out
+        labels = step
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     """node, label after links (a, b) between labels; a node without a label is its own."""
-    up = components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    joined = components(links)
+    discard(links)
+    up = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
     old = label.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     new = up.join(label.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
-    return saved(old.union(new), "labels")
+    out = saved(old.union(new), "labels")
+    discard(joined)
+    discard(label)
+    return out
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -351,7 +363,9 @@ def _clusters(shared: DataFrame, label: DataFrame) -> DataFrame:
     apart = saved(_mixed(_labelled(shared, label), ["value"]).select("value", "node", "n", "main"), "apart")
     home = apart.groupBy("node").agg(F.max(F.struct("n", "main")).alias("home"))
     cluster = apart.join(home, "node").groupBy("value").agg(F.max("home")["main"].alias("cluster"))
-    return saved(apart.join(cluster, "value").select("cluster", "node").distinct(), "clusters")
+    out = saved(apart.join(cluster, "value").select("cluster", "node").distinct(), "clusters")
+    discard(apart)
+    return out
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -364,37 +378,58 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     shared = saved(entries.join(buckets, "value"), "bucket-rows")
     mates = saved(shared.select("node").distinct(), "bucket-nodes")
     sketches = saved(names.select("node", F.col("sketch").alias("value")).join(mates, "node", "left_semi"), "sketches")
-    pool = saved(packed(texts).join(mates, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    discard(names)
     # 1. every text with the least of its buckets
     least = shared.groupBy("value").agg(F.min("node").alias("centre"))
     pairs = shared.join(least, "value").filter("node <> centre").select("centre", "node").distinct()
     pairs = saved(_alike(pairs, sketches, agreeing(threshold)), "pairs")
+    discard(sketches)
+    pool = saved(packed(texts).join(mates, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    discard(mates)
     centres = pairs.select(F.col("centre").alias("cluster"), F.col("centre").alias("node"), F.col("centre").alias("label")).distinct()
     members = pairs.select(F.col("centre").alias("cluster"), "node", F.col("node").alias("label"))
-    label = components(_links(centres, members, pool, threshold))
+    links = _links(centres, members, pool, threshold)
+    discard(pairs)
+    label = components(links)
+    discard(links)
     # 2. what is still apart in a bucket: small clusters in full, large ones with centres drawn from them
     clusters = _clusters(shared, label)
+    discard(shared)
     rows = saved(_mixed(_labelled(clusters, label), ["cluster"]), "cluster-rows")
+    discard(clusters)
     drawn = F.pmod(F.xxhash64("node"), F.lit(2**30)) * F.col("n") < DRAWN * 2**30
     small = F.col("n") <= DRAWN
     label = _joined(label, _links(rows.filter((small & F.expr("label <> main")) | (~small & drawn)), rows, pool, threshold))
     # 3. what is still apart from most of a large cluster, with all of it
-    rows = saved(_mixed(_labelled(rows.filter(~small).select("cluster", "node"), label), ["cluster"]), "cluster-rows")
-    label = _joined(label, _links(rows.filter("label <> main"), rows, pool, threshold))
+    last = saved(_mixed(_labelled(rows.filter(~small).select("cluster", "node"), label), ["cluster"]), "cluster-rows")
+    discard(rows)
+    label = _joined(label, _links(last.filter("label <> main"), last, pool, threshold))
+    for done in (last, pool):
+        discard(done)
     named = texts.select("doc_id", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = saved(named, "near-classes")
     ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(ids, "label").select("doc_id", "class_id", "class_size", "node", "label")
 
 
+def _chosen(found: DataFrame) -> DataFrame:
+    """label, best (struct of is-NULL, id, name of the text): the document of each class that stays."""
+    return found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    """One row per document; of rows with the kept id and text exactly one is kept."""
+    found = saved(classes(load(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "row")).alias("best"))
+    kept = first.select(F.col("best.row").alias("row"), F.lit(True).alias("kept"))
+    out = found.join(kept, "row", "left")
+    return out.select("doc_id", "class_id", "class_size", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class: least id first (NULL last), then the text's name; columns unchanged."""
     found = classes(docs)
-    best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    best = _chosen(found)
     doc, ident, node = fresh(docs, "_doc", "_id", "_node")
     best = best.select(F.coalesce(F.col("best.doc_id").cast("string"), F.lit("null")).alias(ident), F.col("best.node").alias(node))
     named = docs.select(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from riskloom.llm import textnum as T
-from riskloom.llm.common import load, text_or_empty
+from riskloom.llm.common import load, small_batches, text_or_empty
 
 N_HASH = 1 << 18
 N_SHAPE = 8
@@ -197,6 +197,7 @@ def score(docs: DataFrame, model: Model, min_tail: float = MIN_TAIL, text_column
             values = [s, tails.sum(1), tails[:, 0], tails[:, 1], tails[:, 1] >= min_tail]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, values)], [*schema.names, *names])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(own).fields]))
 
 
