@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,9 @@ def byte_class(characters: bytes) -> np.ndarray:
 
 
 SPACE = byte_class(b" \t\n\x0b\x0c\r")
-_SLICE = 1 << 20
+_WORDS = 1 << 18  # words hashed at a time
+_SHORT = 256  # bytes; longer words, at most one in so many bytes, are hashed one by one
+_KEEP = np.array([2 ** (8 * n) - 1 for n in range(9)], U64)  # the first n bytes of eight
 
 
 def word_bounds(text: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +95,23 @@ def word_bounds(text: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.nda
 
 
 def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 1) -> np.ndarray:
-    """A 64-bit hash of each word; long texts are hashed in slices of whole words."""
-    hasher, out, i = span_hash(salt), np.empty(len(starts), U64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SLICE, "right")))
-        at = starts[i]
-        sums = hasher.prefix(text[at : ends[j - 1]])
-        out[i:j] = hasher.spans(sums, starts[i:j] - at, ends[i:j] - at)
-        i = j
+    """A 64-bit hash of each word; eight bytes at a time are mixed in, so that no polynomial identity makes words collide."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(text) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from every place on
+    out = np.empty(len(starts), U64)
+    for i in range(0, len(starts), _WORDS):
+        at = starts[i : i + _WORDS]
+        size = ends[i : i + _WORDS] - at
+        h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(salt))
+        for k in np.flatnonzero(size > _SHORT):
+            digest = hashlib.blake2b(text[at[k] : at[k] + size[k]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little"))
+            h[k] = int.from_bytes(digest.digest(), "little")
+        open_, done = np.flatnonzero(size <= _SHORT), 0
+        while len(open_):
+            left = size[open_] - done
+            h[open_] = mix(h[open_] ^ (eights[at[open_] + done] & _KEEP[np.minimum(left, 8)]))
+            open_, done = open_[left > 8], done + 8
+        out[i : i + _WORDS] = h
     return out
 
 
