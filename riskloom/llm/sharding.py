@@ -6,14 +6,14 @@ found in a balanced search tree over the remaining capacities. A group that fits
 nowhere enters the emptiest bin. The capacity is the smallest (by bisection) at
 which no bin overflows, so that sizes come out nearly equal.
 
-Only a histogram of group sizes leaves the executors: groups of one size class are
-interchangeable, so the packing of a class is a few runs "the next k groups of this
-class go to bin b". Classes are exact sizes, or, for total sizes beyond
-``n_shards * MAX_CLASSES`` bytes, steps of ``total / n_shards / MAX_CLASSES``; there
-are at most ``MAX_CLASSES`` of them below one bin's share plus ``n_shards`` above it,
-whatever the input. Groups find their run by their rank within the class, rows find
-their slot by their rank within the shard; both ranks come from counts per hash
-bucket plus a rank inside the bucket, so that no task sees a whole class or shard.
+Only the histogram of group sizes leaves the executors: groups of one size are
+interchangeable, so the packing of a size is a few runs "the next k groups of this size
+go to bin b". Sizes are exact. k different sizes add up to k * (k + 1) / 2 bytes at
+least, so that ``total`` bytes have fewer than sqrt(2 * total) of them (250,000 at 30 GB,
+14 million at 100 TB if every size up to 14 MB occurred). Groups find their run by their
+rank within the size, rows find their slot by their rank within the shard; both ranks
+come from counts per hash bucket plus a rank inside the bucket, so that no task sees a
+whole size or shard. A group with more than a thousandth of the rows is placed by broadcast.
 
 Defined results: NULL text counts as empty (size 16, one group with empty texts);
 repeated rows are rows of their own, in one group; an empty table gives an empty
@@ -27,12 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import load, saved, text_or_empty
+from riskloom.llm.common import attach, load, saved, text_or_empty
 
 N_SHARDS = 40
 ROW_BYTES = 16
-MAX_CLASSES = 1 << 18
 BUCKET_ROWS = 4096
+RANK_BITS = 38  # a size has fewer than 2**38 groups, and there are fewer than 2**25 sizes
 
 
 class CapacityTree:
@@ -151,7 +151,9 @@ def plan(sizes, counts, n_bins: int):
             runs.append((c, 1, n_bins - 1 - huge))
             huge += 1
     low = -(-total // bins) if total else 1
-    high = low + max([s for s, n in zip(sizes, rest, strict=True) if n], default=0)
+    high, step = low, 1
+    while pack(sizes, rest, bins, high)[1] > 0:  # the even share nearly fits: look close to it first
+        low, high, step = high + 1, high + step, step * 2
     while low < high:
         middle = (low + high) // 2
         if pack(sizes, rest, bins, middle)[1] > 0:
@@ -183,34 +185,26 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, row_bytes: int = ROW_BYTES
         F.unhex(F.sha2(text, 256)).alias("group_key"),
     )
     rows = saved(rows, "shard-rows")  # ids, sizes and keys only
-    groups = saved(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total, n_groups, n_rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first() + (rows.count(),)
-    step = max(1, total // (n_shards * MAX_CLASSES))
-    groups = groups.withColumn("class", F.ceil(F.col("bytes") / F.lit(step)).cast("long"))
-    histogram = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).toPandas()
-    histogram = histogram.sort_values("class", ascending=False)
-    runs = plan([-(-b // n) for b, n in zip(histogram["bytes"].tolist(), histogram["n"].tolist(), strict=True)], histogram["n"].tolist(), n_shards)
-    classes = histogram["class"].tolist()
-    # the runs of a class follow one another: (class, first rank of the run) -> bin
-    table, first = {}, {}
-    for c, n, b in runs:
-        at = first.get(c, 0)
-        table.setdefault(classes[c], ([], []))
-        table[classes[c]][0].append(at)
-        table[classes[c]][1].append(b)
-        first[c] = at + n
-    lookup = spark.sparkContext.broadcast(table)  # at most one entry per class and change of bin
+    groups = saved(rows.groupBy("group_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows")), "shard-groups")
+    n_groups, n_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    histogram = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("bytes", ascending=False)
+    sizes = histogram["bytes"].to_numpy(np.int64)
+    runs = np.array(plan(sizes.tolist(), histogram["n"].tolist(), n_shards), np.int64).reshape(-1, 3)
+    # the runs of a size follow one another; a run starts at its size's place and the rank of its first group
+    before = np.cumsum(runs[:, 1]) - runs[:, 1]
+    of_size = np.searchsorted(runs[:, 0], runs[:, 0])
+    starts = (runs[:, 0] << RANK_BITS) + before - before[of_size]
+    lookup = spark.sparkContext.broadcast((sizes[::-1].copy(), starts, runs[:, 2].astype(np.int32)))  # one entry a size and change of bin
 
     @F.pandas_udf("int")
-    def bin_of(klass: pd.Series, rank: pd.Series) -> pd.Series:
-        out = np.empty(len(klass), np.int32)
-        for c, index in klass.groupby(klass).indices.items():
-            starts, bins = lookup.value[c]
-            out[index] = np.asarray(bins, np.int32)[np.searchsorted(starts, rank.to_numpy()[index], "right") - 1]
-        return pd.Series(out)
-
-    placed = _ranked(groups, "class", ["group_key"], n_groups, "rank").select("group_key", bin_of("class", "rank").alias("shard"))
-    where = saved(rows.join(placed, "group_key").select("doc_id", "size", "text_crc32", "shard"), "shard-bins")
+    def bin_of(size: pd.Series, rank: pd.Series) -> pd.Series:
+        ascending, starts, bins = lookup.value
+        place = len(ascending) - 1 - np.searchsorted(ascending, size.to_numpy())
+        return pd.Series(bins[np.searchsorted(starts, (place << RANK_BITS) + rank.to_numpy(), "right") - 1])
+
+    ranked = _ranked(groups, "bytes", ["group_key"], n_groups, "rank")
+    placed = saved(ranked.select("group_key", "n_rows", bin_of("bytes", "rank").alias("shard")), "shard-groups-placed")
+    where = saved(attach(rows, placed, "group_key", "n_rows").select("doc_id", "size", "text_crc32", "shard"), "shard-bins")
     return _ranked(where, "shard", ["doc_id", "text_crc32", "size"], n_rows, "slot")
 
 

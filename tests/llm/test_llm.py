@@ -231,6 +231,49 @@ def test_shards_are_even_gapless_and_keep_groups(spark):
     assert all(len(s) == 1 for s in shard_of.values())
 
 
+def test_sizes_stay_exact_beyond_ten_megabytes(spark, make):
+    """Every column of the query at 40 shards, with one text in a third of the rows."""
+    import zlib
+
+    from riskloom.llm import sharding as S
+
+    rng = np.random.default_rng(9)
+    texts = [chr(97 + i % 26) * int(n) + str(i) for i, n in enumerate(rng.integers(1, 14_000, 2000))] + ["copy of one"] * 1000 + [None, ""]
+    assert sum(len(t or "") for t in texts) > 10_500_000
+    rows = S.assign(make(texts)).collect()
+    by_id = {r.doc_id: r for r in rows}
+    assert sorted(by_id) == list(range(len(texts))) and len(rows) == len(texts)
+    groups, homes, load, slots = Counter(), defaultdict(set), Counter(), defaultdict(list)
+    for i, t in enumerate(texts):
+        raw, r = (t or "").encode(), by_id[i]
+        assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
+        groups[raw] += r.size
+        homes[raw].add(r.shard)
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(len(h) == 1 for h in homes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes, share = sorted(groups.values(), reverse=True), -(-sum(groups.values()) // 40)
+    assert sorted(load) == list(range(40)) and max(load.values()) - share <= 64
+    room = _best_fit(sizes, 40, max(load.values()))
+    assert min(room) >= 0 and sorted(max(load.values()) - load[b] for b in range(40)) == room
+
+
+def test_word_hashes_tell_words_apart():
+    from riskloom.llm import quality_rules as Q
+    from riskloom.llm import textnum as T
+
+    thue = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024)) for flip in range(2)]
+    words = [*thue, "a", "b", "ab", "a" * 8, "a" * 9, "a" * 255, "a" * 256, "a" * 257, "é", "x" * 600 + "y", "x" * 600 + "z", "tail"]
+    text = np.frombuffer(" ".join([*words, *words]).encode(), np.uint8)
+    starts, ends = T.word_bounds(text)
+    for salt in (1, 7, 8, 32):
+        h = T.word_hashes(text, starts, ends, salt)
+        assert len(set(h[: len(words)].tolist())) == len(words) and (h[: len(words)] == h[len(words) :]).all()
+    text = np.frombuffer(f"a b c d e f g {thue[0]} a b c d e f g {thue[1]}".encode(), np.uint8)
+    assert Q.repeated_cover(T.word_hashes(text, *T.word_bounds(text))) == 0
+
+
 # --- op6 -----------------------------------------------------------------------------
 
 
