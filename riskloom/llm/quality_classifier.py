@@ -5,13 +5,18 @@ weight vector over hashed words (presence, not counts) and a few shape measures
 gives a score s; ordered thresholds t1 < t2 give P(grade >= j) = 1/(1+exp(t_j-s)).
 A document is kept if its upper tail P(grade >= 2) reaches ``min_tail``.
 
+Every word of the sample has a weight. A word's column is scaled by its evidence, the
+log ratio of its smoothed odds of a lower grade to the sample's odds: a word seen once
+or twice gets a small column, and the penalty on the weights then holds it down.
+
 Fitting uses a bounded, seeded sample of labelled documents (``max_fit_rows``, a
 parameter of :func:`fit`); scoring covers every whole text.
 
 Defined results: a NULL or empty text has no features and is scored by the
 intercept; repeated rows get equal scores; without any usable label the model
 keeps everything (tail 1); an empty table gives an empty result; columns other
-than id and text are not read.
+than id and text are not read; a score column whose name the documents have already
+gets leading underscores.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from riskloom.llm import textnum as T
-from riskloom.llm.common import load, small_batches, text_or_empty
+from riskloom.llm.common import fresh, load, small_batches, text_or_empty
 
 N_HASH = 1 << 18
 N_SHAPE = 8
@@ -70,56 +75,45 @@ def features(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights of the buckets that were seen often enough, shape weights, thresholds."""
+    """Weights of the word buckets (zero for buckets not in the sample), shape weights, thresholds."""
 
-    buckets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(N_HASH, np.float32))
     shape: np.ndarray = field(default_factory=lambda: np.zeros(N_SHAPE))
     cuts: np.ndarray = field(default_factory=lambda: np.array([-40.0, -39.0]))
 
     def score(self, buckets: np.ndarray, shape: np.ndarray) -> float:
-        total = float(shape @ self.shape)
-        if len(self.buckets) and len(buckets):
-            at = np.searchsorted(self.buckets, buckets)
-            at[at == len(self.buckets)] = 0
-            total += float(self.weights[at[self.buckets[at] == buckets]].sum())
-        return total
+        return float(shape @ self.shape) + float(self.weights[buckets].sum(dtype=np.float64))
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, one column each."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - np.asarray(score)[:, None], -50, 50)))
 
 
+def evidence(grades: np.ndarray, row: np.ndarray, column: np.ndarray, d: int, smooth: float) -> np.ndarray:
+    """Per word the largest absolute log ratio of its odds of a grade up to j to the sample's odds, with ``smooth`` documents of prior."""
+    scale, df, n = np.zeros(d), np.bincount(column, minlength=d), len(grades)
+    for j in (0, 1):
+        low = grades <= j
+        share = low.mean()
+        if 0 < share < 1:
+            inside = np.bincount(column, low[row], d)
+            odds = (inside + smooth * share) / (df - inside + smooth * (1 - share))
+            scale = np.maximum(scale, np.abs(np.log(odds / (share / (1 - share)))))
+    return scale
+
+
 def fit_arrays(
-    grades: np.ndarray, buckets: list[np.ndarray], shapes: np.ndarray, min_df: int = 8, min_z: float = 4.0, steps: int = 400, rate: float = 0.05,
-    l2: float = 1e-3,
+    grades: np.ndarray, buckets: list[np.ndarray], shapes: np.ndarray, smooth: float = 4.0, l2: float = 1e-2, steps: int = 150, rate: float = 0.1
 ) -> Model:
-    """Maximum likelihood with an L2 penalty on the words, by Adam on the whole sample (deterministic).
-
-    Only words get a weight whose share among the documents of a lower grade exceeds
-    that among the others by ``min_z`` standard errors; without that, rare words
-    separate any sample perfectly and say nothing about other documents.
-    """
+    """Maximum likelihood with an L2 penalty on the words, by Adam on the whole sample (deterministic)."""
     if not len(grades) or len(np.unique(grades)) < 2:
         return Model()
     n = len(grades)
-    flat = np.concatenate(buckets) if buckets else np.empty(0, np.int32)
+    flat = np.concatenate(buckets)
     row = np.repeat(np.arange(n), [len(b) for b in buckets])
-    names, column, df = np.unique(flat, return_inverse=True, return_counts=True)
-    often = (df >= min_df) & (df < n)
-    telling = np.zeros(len(names), bool)
-    for grade in range(2):
-        size = int((grades == grade).sum())
-        if 0 < size < n:
-            inside = np.bincount(column, (grades == grade)[row], len(names))
-            p, q, all_ = inside / size, (df - inside) / (n - size), df / n
-            error = np.sqrt(all_ * (1 - all_) * (1 / size + 1 / (n - size)))
-            telling |= p - q > min_z * np.maximum(error, 1e-12)
-    often &= telling
-    index = np.cumsum(often) - 1
-    use = often[column]
-    row, column, names = row[use], index[column[use]], names[often]
+    names, column = np.unique(flat, return_inverse=True)
     d = len(names)
+    scale = evidence(grades, row, column, d, smooth)
     # parameters: bucket weights, shape weights, first cut, log gap to the second
     theta = np.zeros(d + N_SHAPE + 2)
     theta[-2] = -2.0
@@ -129,7 +123,7 @@ def fit_arrays(
     weight /= weight.mean()
     for step in range(1, steps + 1):
         w, v, cut, gap = theta[:d], theta[d:-2], theta[-2], np.exp(theta[-1])
-        s = np.bincount(row, w[column], n) + shapes @ v
+        s = np.bincount(row, (w * scale)[column], n) + shapes @ v
         p1, p2 = (1 / (1 + np.exp(np.clip(c - s, -50, 50))) for c in (cut, cut + gap))
         d1, d2 = p1 * (1 - p1), p2 * (1 - p2)
         # likelihood of the grade, its derivatives in s, cut and the second cut
@@ -138,24 +132,27 @@ def fit_arrays(
         by_1 = np.select([grades == 0, grades == 1], [d1, -d1], 0) / like * weight
         by_2 = np.select([grades == 0, grades == 1], [0, d2], -d2) / like * weight
         grad = np.concatenate(
-            [np.bincount(column, by_s[row], d) / n - l2 * w, by_s @ shapes / n - l2 / 100 * v, [(by_1 + by_2).mean(), by_2.mean() * gap]]
+            [np.bincount(column, by_s[row], d) * scale / n - l2 * w, by_s @ shapes / n - l2 / 100 * v, [(by_1 + by_2).mean(), by_2.mean() * gap]]
         )
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model(names, theta[:d], theta[d:-2], np.array([theta[-2], theta[-2] + np.exp(theta[-1])]))
+    weights = np.zeros(N_HASH, np.float32)
+    weights[names] = theta[:d] * scale
+    return Model(weights, theta[d:-2], np.array([theta[-2], theta[-2] + np.exp(theta[-1])]))
 
 
 def _feature_rows(rows: DataFrame) -> DataFrame:
+    """place, tie, grade and the features of column ``text``."""
+
     def run(batches):
         for batch in batches:
-            found = [features(t) for t in T.byte_rows(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))],
-                ["grade", "buckets", "shape"],
-            )
+            found = [features(t) for t in T.byte_rows(batch.column(3))]
+            parts = [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *parts], ["place", "tie", "grade", "buckets", "shape"])
 
-    return rows.mapInArrow(run, "grade int, buckets array<int>, shape array<float>")
+    small_batches(rows.sparkSession)
+    return rows.select("place", "tie", "grade", "text").mapInArrow(run, "place long, tie long, grade int, buckets array<int>, shape array<float>")
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -166,13 +163,14 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, seed: int = 8) -> Model:
     """Fit on at most ``max_fit_rows`` labelled documents, drawn by a keyed hash of the id."""
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    sample = graded(labels).orderBy(order, "doc_id").limit(max_fit_rows)
+    place = F.xxhash64(F.lit(seed), "doc_id")
+    known = docs.select("doc_id").dropna().distinct()  # labels of absent documents take no place in the sample
+    sample = graded(labels).join(known, "doc_id", "left_semi").orderBy(place, "doc_id").limit(max_fit_rows)
     ids = F.broadcast(sample.withColumnRenamed("doc_id", "_fit_id"))  # at most max_fit_rows rows of 12 bytes
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(ids, F.col("doc_id") == F.col("_fit_id"))
+    rows = _feature_rows(texts.select(place.alias("place"), F.xxhash64("text").alias("tie"), "grade", "text"))
     # an id may occur several times among the documents: the bound holds for the rows too
-    texts = texts.select("grade", "text", order.alias("_o")).orderBy("_o", F.xxhash64("text")).limit(max_fit_rows)
-    table = _feature_rows(texts.select("grade", "text")).toArrow()
+    table = rows.orderBy("place", "tie").limit(max_fit_rows).select("grade", "buckets", "shape").toArrow()
     grades = table.column("grade").to_numpy().astype(int)
     buckets = [np.asarray(x, np.int32) for x in table.column("buckets").to_pylist()]
     shapes = np.array(table.column("shape").to_pylist(), float).reshape(len(grades), N_SHAPE)
@@ -181,13 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, se
 
 def score(docs: DataFrame, model: Model, min_tail: float = MIN_TAIL, text_column: str = "text") -> DataFrame:
     """Every column of ``docs`` as it is, then score, expected_grade, tail probabilities and keep."""
-    own = "score double, expected_grade double, p_not_toxic double, p_good double, keep boolean"
-    names = [c.split()[0] for c in own.split(", ")]
+    names = fresh(docs, "score", "expected_grade", "p_not_toxic", "p_good", "keep")
     at = docs.columns.index(text_column)
     schema = docs.schema
-    taken = {c.lower() for c in docs.columns}
-    if taken & set(names):
-        raise ValueError(f"documents already have columns {sorted(taken & set(names))}")
+    own = [StructField(name, BooleanType() if i == 4 else DoubleType()) for i, name in enumerate(names)]
 
     def run(batches):
         for batch in batches:
@@ -198,7 +193,7 @@ def score(docs: DataFrame, model: Model, min_tail: float = MIN_TAIL, text_column
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, values)], [*schema.names, *names])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(own).fields]))
+    return docs.mapInArrow(run, StructType([*schema.fields, *own]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -373,6 +373,23 @@ def test_classifier_on_held_out_documents(spark):
     assert all(r.p_not_toxic >= r.p_good for r in rows)
 
 
+def test_classifier_on_few_labels_and_clashing_names(spark):
+    """A few dozen labelled rows: the toxic and poor ones among them go, nearly all good ones stay."""
+    from pyspark.sql import functions as F
+
+    from riskloom.llm import quality_classifier as Q
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    absent = labels.withColumn("doc_id", F.col("doc_id") + 10**9)  # labels of absent documents take no place
+    model = Q.fit(docs, labels.union(absent), max_fit_rows=labels.count())
+    assert np.count_nonzero(model.weights) > 5000
+    named = docs.withColumn("score", F.lit("own")).withColumn("keep", F.lit("own"))
+    rows = Q.score(named, model).join(Q.graded(labels), "doc_id").select("grade", "score", "_score", "keep", "_keep").collect()
+    share = lambda grade: np.mean([r["_keep"] for r in rows if r.grade == grade])
+    assert share(0) < 0.1 and share(1) < 0.1 and share(2) > 0.95
+    assert {(r.score, r.keep) for r in rows} == {("own", "own")}
+
+
 def test_classifier_without_labels_keeps_everything(spark, make):
     from riskloom.llm import quality_classifier as Q
 
