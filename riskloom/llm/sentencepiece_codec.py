@@ -38,7 +38,7 @@ from riskloom.llm.common import load
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 2
-CACHE = 1_000_000  # runs kept by a worker, some 300 bytes each
+CACHE = 300_000  # runs kept by a worker, some 300 bytes each; idle workers hold them while other stages run
 BLANK = "▁"
 _CHUNK = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
 
