@@ -521,6 +521,30 @@ SELECT p AS threshold, CAST(ctp AS DOUBLE)/CAST(cc AS DOUBLE) AS precision, CASE
     out["cv_grid_rank"] = f"""{s}, summ AS (SELECT threshold, {ms}, CAST(count(*) AS BIGINT) AS n_folds FROM {sweep_sql('scored', 'fold')} x GROUP BY threshold)
 SELECT *, rank() OVER (ORDER BY mean_test_recall DESC) AS rank_test_recall,
  row_number() OVER (ORDER BY mean_test_recall DESC, threshold ASC) = 1 AS is_best FROM summ"""
+    out["threshold_report"] = f"""{s}, sw AS (SELECT * FROM {sweep_sql('ss', 'split')} x),
+pick AS (SELECT threshold AS selected_threshold FROM sw WHERE split = 'train_oof'
+ ORDER BY (recall >= 0.95 AND precision >= 0.7) DESC, recall DESC, f1 DESC, precision DESC, threshold DESC LIMIT 1)
+SELECT sw.*, selected_threshold, threshold = selected_threshold AS is_selected FROM sw, pick"""
+    keys = "dataset, model, variant, fold"
+    cand = f"""{s}, r AS (SELECT CASE WHEN id % 2 = 0 THEN 'Data1' ELSE 'Data2' END AS dataset, fold, y, p FROM scored),
+n AS (SELECT dataset, fold, sum(y) AS pos, count(*) AS n FROM r GROUP BY dataset, fold),
+mb AS (SELECT a.dataset, a.fold, CASE WHEN 2 * sum(b.pos) > sum(b.n) THEN 1.0 ELSE 0.0 END AS p
+ FROM n a JOIN n b ON a.dataset = b.dataset AND a.fold <> b.fold GROUP BY a.dataset, a.fold),
+c AS (SELECT dataset, model, 'tuned' AS variant, fold, y, p * k / (p * k + 1 - p) AS p FROM r,
+  (VALUES ('odds_half', CAST(0.5 AS DOUBLE)), ('odds_one', 1.0), ('odds_double', 2.0), ('odds_tenfold', 10.0)) s(model, k)
+ UNION ALL SELECT r.dataset, 'MajorityBaseline', 'default', r.fold, r.y, CAST(mb.p AS DOUBLE) FROM r JOIN mb USING (dataset, fold)),
+cf AS (SELECT {keys}, CAST(count_if(p < 0.5 AND y <> 1) AS BIGINT) AS tn, CAST(count_if(p >= 0.5 AND y <> 1) AS BIGINT) AS fp,
+  CAST(count_if(p < 0.5 AND y = 1) AS BIGINT) AS fn, CAST(count_if(p >= 0.5 AND y = 1) AS BIGINT) AS tp FROM c GROUP BY {keys}),
+pf AS (SELECT cf.*, {rates_sql()}, u.roc_auc FROM cf JOIN {auc_sql('c', keys)} u USING ({keys})),
+cv AS (SELECT dataset, model, variant, {", ".join(f"avg({m}) AS cv_{m}_mean, stddev_pop({m}) AS cv_{m}_std" for m in ("accuracy", "precision", "recall", "f1", "roc_auc"))},
+  CAST(count(*) AS BIGINT) AS n_folds FROM pf GROUP BY dataset, model, variant)"""
+    order = "cv_recall_mean DESC, cv_f1_mean DESC, cv_roc_auc_mean DESC, model"
+    out["candidate_comparison"] = f"{cand} SELECT * FROM cv"
+    out["majority_baseline"] = f"""{cand} SELECT dataset, fold, CAST(0.5 AS DOUBLE) AS threshold, accuracy, precision, recall, f1, tn, fp, fn, tp
+FROM pf WHERE model = 'MajorityBaseline'"""
+    for name, first in (("select_final", "(cv_precision_mean >= 0.7) DESC, "), ("select_best", "")):
+        out[name] = f"""{cand} SELECT * FROM cv WHERE variant = 'tuned' AND model <> 'MajorityBaseline'
+QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {first}{order}) = 1"""
     return out
 
 

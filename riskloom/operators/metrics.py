@@ -198,5 +198,35 @@ def select_best(comparison: DataFrame, group_cols=("dataset",), precision_floor:
     """Tuned, non-baseline rows; optional cv precision floor (else all); max recall, f1, auc."""
     cand = comparison.filter((F.col("variant") == "tuned") & (F.col("model") != "MajorityBaseline"))
     ok = (F.col("cv_precision_mean") >= precision_floor).cast("int") if precision_floor is not None else F.lit(1)
-    w = Window.partitionBy(*group_cols).orderBy(ok.desc(), F.desc("cv_recall_mean"), F.desc("cv_f1_mean"), F.desc("cv_roc_auc_mean"))
+    w = Window.partitionBy(*group_cols).orderBy(ok.desc(), F.desc("cv_recall_mean"), F.desc("cv_f1_mean"), F.desc("cv_roc_auc_mean"), "model")
     return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+
+
+def comparison_table(scored: DataFrame, label: str, score: str, candidate_cols: list[str], fold: str = "fold") -> DataFrame:
+    """M7/M8: cross-validation means and deviations of all candidates at 0.5, measured together in one job.
+
+    ``scored`` has a row per candidate and row, with the fold that held the row out.
+    """
+    keys = [*candidate_cols, fold]
+    per_fold = attach_group_values(confusion(scored, label, score, 0.5, group_cols=keys), roc_auc(scored, label, score, group_cols=keys), keys)
+    summary = cv_summary(per_fold, candidate_cols)
+    names = {f"{stat}_test_{m}": f"cv_{m}_{stat}" for stat in ("mean", "std") for m in ("accuracy", "precision", "recall", "f1", "roc_auc")}
+    return summary.select(*candidate_cols, *[F.col(a).alias(b) for a, b in names.items()], "n_folds")
+
+
+def majority_scores(df: DataFrame, label: str, fold: str = "fold", group_cols=(), out: str = "p") -> DataFrame:
+    """M3: the baseline's probability out of fold: 1 where the other folds have more rows of class 1 than of class 0."""
+    keys = [*group_cols, fold]
+    counts = df.groupBy(*keys).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group_cols)  # over one row per fold
+    others = counts.select(*keys, (F.sum("_pos").over(whole) - F.col("_pos")).alias("_pos"), (F.sum("_n").over(whole) - F.col("_n")).alias("_n"))
+    constant = others.select(*keys, F.when(2 * F.col("_pos") > F.col("_n"), 1.0).otherwise(0.0).alias(out))
+    return df.drop(out).join(F.broadcast(constant), keys)  # one row per group and fold
+
+
+def threshold_report(scored: DataFrame, label: str, score: str, split: str = "split", tune_on: str = "train_oof") -> DataFrame:
+    """S8 + M11: the sweeps of all splits, with the threshold that ``tune_on`` selects marked in each of them."""
+    sweep = threshold_sweep(scored, label, score, group_cols=[split])
+    chosen = select_threshold(sweep.filter(F.col(split) == tune_on)).select(F.col("threshold").alias("selected_threshold"))
+    marked = attach_group_values(sweep, chosen, [])
+    return marked.withColumn("is_selected", F.col("threshold") == F.col("selected_threshold"))

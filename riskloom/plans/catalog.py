@@ -319,6 +319,59 @@ def q_select_threshold(spark, sf_dir):
     return metrics.select_threshold(sweep, group_cols=["split"])
 
 
+@register("threshold_report")
+def q_threshold_report(spark, sf_dir):
+    """S8 + M11: the final model's threshold table, out-of-fold and holdout rows."""
+    return metrics.threshold_report(scored_split(spark, sf_dir), "y", "p")
+
+
+# candidates of the selection queries: prior shifts of the scores' odds, as class weights make them
+SHIFTS = {"odds_half": 0.5, "odds_one": 1.0, "odds_double": 2.0, "odds_tenfold": 10.0}
+
+
+def candidate_scores(spark, sf_dir):
+    """Out-of-fold scores of every candidate and of the majority baseline: dataset, model, variant, fold, y, p."""
+    dataset = F.when(F.col("id") % 2 == 0, "Data1").otherwise("Data2")
+    rows = stored(lenses.scored(spark, sf_dir).withColumn("dataset", dataset).select("dataset", "id", "fold", "y", "p"), "scored")
+    shifts = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(k).alias("k")) for n, k in SHIFTS.items()]))
+    shifted = rows.select("dataset", "fold", "y", "p", shifts.alias("s")).select(
+        "dataset", "s.model", F.lit("tuned").alias("variant"), "fold", "y",
+        (F.col("p") * F.col("s.k") / (F.col("p") * F.col("s.k") + 1 - F.col("p"))).alias("p"),
+    )
+    majority = metrics.majority_scores(rows, "y", group_cols=["dataset"])
+    return shifted.unionByName(
+        majority.select("dataset", F.lit("MajorityBaseline").alias("model"), F.lit("default").alias("variant"), "fold", "y", "p")
+    )
+
+
+def candidate_table(spark, sf_dir):
+    return metrics.comparison_table(candidate_scores(spark, sf_dir), "y", "p", ["dataset", "model", "variant"])
+
+
+@register("candidate_comparison")
+def q_candidate_comparison(spark, sf_dir):
+    return candidate_table(spark, sf_dir)
+
+
+@register("majority_baseline")
+def q_majority_baseline(spark, sf_dir):
+    """M3: the baseline's confusion per dataset and fold."""
+    baseline = candidate_scores(spark, sf_dir).filter("model = 'MajorityBaseline'")
+    return metrics.confusion(baseline, "y", "p", 0.5, group_cols=["dataset", "fold"])
+
+
+@register("select_final")
+def q_select_final(spark, sf_dir):
+    """The precision floor first (all candidates if none reaches it), then recall, f1, AUC."""
+    return metrics.select_best(candidate_table(spark, sf_dir), precision_floor=specs.THRESHOLD_PRECISION_FLOOR)
+
+
+@register("select_best")
+def q_select_best(spark, sf_dir):
+    """Recall, f1, AUC without a floor."""
+    return metrics.select_best(candidate_table(spark, sf_dir))
+
+
 @register("roc_auc")
 def q_roc_auc(spark, sf_dir):
     return metrics.roc_auc(lenses.scored(spark, sf_dir), "y", "p")

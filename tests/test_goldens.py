@@ -121,3 +121,37 @@ def test_test_allocation_matches_reference_counts(spark):
         df = spark.createDataFrame(list(counts.items()), "y INT, n_class LONG")
         got = {r["y"]: r["n_test"] for r in split.test_allocation(df, "y").collect()}
         assert got == expected
+
+
+def test_majority_out_of_fold_and_threshold_report(spark):
+    """The constant of a fold comes from the other folds; ties predict class 0; the chosen threshold is marked in both splits."""
+    from riskloom.operators import metrics
+
+    rows = [(f, y) for f, ys in enumerate(([1, 1, 1, 1], [0, 0, 0], [1, 0, None])) for y in ys]
+    df = spark.createDataFrame(rows, "fold int, y int")
+    got = {r.fold: r.p for r in metrics.majority_scores(df, "y").select("fold", "p").distinct().collect()}
+    for fold in range(3):
+        others = [y for f, y in rows if f != fold]
+        assert got[fold] == float(2 * others.count(1) > len(others))
+    scored = spark.createDataFrame(
+        [(s, int(p > 0.3), p) for s, shift in (("train_oof", 0.0), ("holdout_test", 0.02)) for p in (0.05 + shift, 0.2 + shift, 0.35 + shift, 0.8)],
+        "split string, y int, p double",
+    )
+    report = metrics.threshold_report(scored, "y", "p").collect()
+    assert len(report) == 34 and len({r.selected_threshold for r in report}) == 1
+    assert sorted(r.split for r in report if r.is_selected) == ["holdout_test", "train_oof"]
+    best = next(r for r in report if r.is_selected and r.split == "train_oof")
+    assert (best.recall, best.precision) == (1.0, 1.0) and best.threshold == max(
+        r.threshold for r in report if r.split == "train_oof" and r.recall == 1.0 and r.precision == 1.0
+    )
+
+
+def test_deployed_model_has_no_precision_floor(spark):
+    from riskloom.plans import train
+
+    rows = [("D", "a", "tuned", 0.75, 0.6, 0.6, 0.6), ("D", "b", "tuned", 0.5, 0.9, 0.6, 0.6), ("D", "MajorityBaseline", "tuned", 0.9, 1.0, 1.0, 1.0)]
+    table = spark.createDataFrame(
+        rows, "dataset string, model string, variant string, cv_precision_mean double, cv_recall_mean double, cv_f1_mean double, cv_roc_auc_mean double"
+    )
+    assert train.select_final(table, "D")["model"] == "a" and train.select_deployed(table, "D")["model"] == "b"
+    assert train.select_deployed(table, "E") == {}
