@@ -274,6 +274,56 @@ def test_word_hashes_tell_words_apart():
     assert Q.repeated_cover(T.word_hashes(text, *T.word_bounds(text))) == 0
 
 
+# --- op1 -----------------------------------------------------------------------------
+
+
+def _brute_windows(text, templates):
+    from riskloom.llm import license_scan as L
+
+    words, out = re.findall("[a-z0-9]+", (text or "").lower()), []
+    for licence, template in templates:
+        grams, n = set(L.template_bigrams(template)), len(L.template_words(template))
+        good = []
+        for at in range(len(words) - 1):
+            if f"{words[at]} {words[at + 1]}" not in grams:
+                continue
+            win = words[at : at + n]
+            have = {f"{a} {b}" for a, b in zip(win, win[1:], strict=False)}
+            permille = 2000 * len(have & grams) // (len(have) + len(grams))
+            if permille >= 800:
+                good.append((at, permille))
+        for at, p in good:
+            if not any(abs(o - at) < n and (q > p or (q == p and o < at)) for o, q in good):
+                out.append((at, n, licence, p))
+    return sorted(out)
+
+
+def test_licence_windows(spark, make):
+    import textwrap
+
+    from riskloom.llm import license_scan as L
+
+    whole = [(name, t) for name, t in L.TEMPLATES if len(t) > 600]
+    wrapped = ["Copyright 2020 Someone\n\n" + "\n".join("# " + x for x in textwrap.wrap(t, 72)) + "\nint main() { return 0; }\n" * 9 for _, t in whole]
+    inside = "This module is part of the parser. Licensed under the MIT License. See the docs of the project for the rest of it."
+    mit = dict(whole)["MIT"]
+    edited = mit.replace("free of charge", "at no cost at all").replace("publish, ", "").replace("TORT", "tort law")
+    many = " ".join(["a line of code here", inside] * 60)
+    cut = mit[: len(mit) // 2]
+    texts = [*ODD, *wrapped, inside, edited, many, cut, "of the " * 400, mit + " " + mit, "permission is hereby granted " * 50]
+    docs = make(texts, "doc_id long, text string, _words string, _at0 int, _known string, _near long")
+    got = L.window_matches(docs)
+    assert got.columns == [*docs.columns, "windows"]
+    rows = {r.doc_id: [tuple(w) for w in r.windows] for r in got.select("doc_id", "windows").collect()}
+    for i, text in enumerate(texts):
+        assert rows[i] == _brute_windows(text, L.TEMPLATES), i
+    for i, (name, _) in enumerate(whole, len(ODD)):
+        assert name in {w[2] for w in rows[i]}
+    at = len(ODD) + len(whole)
+    assert {w[2] for w in rows[at]} == {"MIT"} and "MIT" in {w[2] for w in rows[at + 1]} and len(rows[at + 2]) >= 60
+    assert "_lines" not in L.matches(docs).columns and L.window_matches(docs.limit(0)).count() == 0
+
+
 # --- op6 -----------------------------------------------------------------------------
 
 
