@@ -571,7 +571,8 @@ def _holdout_eval(spark, sf_dir, family):
     tf = lens_c(spark, sf_dir)
     tr, te = train_ops.split_frame(tf)
     model = train_ops.fit(tf, tr, family, QUICK[family])
-    return train_ops.metric_table(train_ops.predict(model, te, tf.tag), tf.label).withColumn("model", F.lit(family))
+    measured = train_ops.metric_table(train_ops.predict(model, te, tf.tag), tf.label)
+    return measured.withColumn("model", F.lit(family)).withColumn("trees", F.lit(train_ops.rounds_used(model)).cast("int"))
 
 
 @register("train_lr")

@@ -32,10 +32,35 @@ def test_holdout_recheck_equals_direct_evaluation(spark, tmp_path):
 def test_grid_order_and_rank(spark):
     cands = T.grid_candidates(T.FULL_GRIDS["LogisticRegression"])
     assert cands[0] == {"C": 0.1, "class_weight": None} and cands[1] == {"C": 0.1, "class_weight": "balanced"} and len(cands) == 6
-    assert len(T.grid_candidates(T.FULL_GRIDS["HistGradientBoosting"])) == 24
+    boosted = T.grid_candidates(T.FULL_GRIDS["HistGradientBoosting"])
+    assert len(boosted) == 48 and sum(map(T.supported, boosted)) == 24
     assert len(T.grid_candidates(T.FULL_GRIDS["RandomForest"])) == 24
 
 
+def test_boosting_stops_early_above_the_row_limit(spark, monkeypatch):
+    noise = spark.range(3000).select(
+        F.col("id"), F.rand(1).alias("a"), F.rand(2).alias("b"), (F.rand(3) < 0.5).cast("int").alias("y")
+    ).checkpoint()
+    tf = T.TrainFrame(noise, ["a", "b"], "y", "id")
+    params = {"learning_rate": 0.1, "max_iter": 12, "max_leaf_nodes": 15, "min_samples_leaf": 10}
+    assert T.rounds_used(T.fit(tf, tf.select(), "HistGradientBoosting", params)) == 12
+    monkeypatch.setattr(T, "EARLY_STOPPING_ROWS", 2999)
+    stopped = T.fit(tf, tf.select(), "HistGradientBoosting", params)
+    assert T.rounds_used(stopped) < 12
+    assert T.predict(stopped, tf.select(), tf.tag).columns == ["id", "a", "b", "y", "p"]
+
+
+def test_candidates_without_a_counterpart_are_reported_not_fitted(spark):
+    rows = spark.range(400).select("id", F.rand(5).alias("a")).withColumn("y", (F.col("a") > 0.6).cast("int"))
+    tf = T.TrainFrame(rows.checkpoint(), ["a"], "y", "id")
+    grid = T.grid_candidates({"max_iter": [2], "max_leaf_nodes": [4], "min_samples_leaf": [5], "l2_regularization": [0.0, 0.1]})
+    with pytest.raises(ValueError):
+        T.fit(tf, tf.select(), "HistGradientBoosting", grid[1])
+    got = {r.candidate: r for r in T.cv_metrics(tf, T.with_folds(tf, tf.select(), k=2), "HistGradientBoosting", grid, k=2).collect()}
+    assert got[0].supported and got[0].is_best and got[0].mean_test_recall > 0.9
+    assert not got[1].supported and not got[1].is_best and got[1].mean_test_recall is None and got[1].rank_test_recall is None
+
+
 def test_importance_has_every_feature(spark):
     df = catalog.QUERIES["importance"](spark, SF_SMALL)
     rows = df.collect()
