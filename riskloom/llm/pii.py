@@ -1,9 +1,11 @@
 """PII surrogates: keyed, type-consistent replacements (DataFrame functions only).
 
 Entities are e-mail addresses, phone numbers, IPv4 addresses, card and account
-numbers (13 to 19 digits), social security numbers, IBANs, and persons named after a
-title. Surface forms are reduced to parts with a canonical form (case, blanks and
-separators go; a person's first name and surname are parts of their own), so that all
+numbers (13 to 19 digits), social security numbers, IBANs, and persons named after one
+or more titles: all capitalised words that follow, with particles ("de la") and initials
+between them. Particles stay, initials are exchanged by a keyed shift of the alphabet.
+Surface forms are reduced to parts with a canonical form (case, blanks and
+separators go; a person's given names and surname, the last word, are parts of their own), so that all
 mentions of an entity get one surrogate, rendered in the mention's own format:
 separators, letter case, digits per digit, a valid Luhn digit where there was one, a
 name of the same gender (from the title) and script.
@@ -21,6 +23,8 @@ columns of the documents are kept as they are.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +36,17 @@ ROUNDS = 40
 # title (without full stop) -> gender
 TITLES = {
     "Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Señor": "m", "Sr": "m", "Monsieur": "m", "Господин": "m", "Κύριος": "m",
-    "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra": "f", "Madame": "f", "Mme": "f", "Госпожа": "f", "Κυρία": "f",
+    "Sir": "m", "Lord": "m", "Signor": "m", "Доктор": "n", "Профессор": "n", "Dr": "n", "Doctor": "n", "Prof": "n", "Professor": "n", "Mx": "n",
+    "Lady": "f", "Dame": "f", "Signora": "f", "Doña": "f", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra": "f", "Madame": "f", "Mme": "f", "Госпожа": "f", "Κυρία": "f",
 }
 _TITLE = "|".join(sorted(TITLES, key=lambda t: (-len(t), t)))
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_TITLES = rf"(?:(?:{_TITLE})\.? )++"
+PARTICLES = "af al bin da de del della den der di do dos du el ibn la las le los ten ter van von vom zu zum zur".split()
+_BETWEEN = rf"(?:{'|'.join(PARTICLES)}|\p{{Lu}}\.)"
+_NAME = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]++"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-PERSON = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"
+# possessive, so that a run of any number of names needs no stack
+PERSON = rf"(?<!\p{{L}}){_TITLES}(?:{_BETWEEN} )*+{_NAME}(?:(?: {_BETWEEN})*+ {_NAME})*+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -58,9 +67,10 @@ SYLLABLES = {
 }
 ENDINGS = {
     ("latin", "m"): "n", ("latin", "f"): "na", ("latin", "s"): "r", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на",
-    ("cyrillic", "s"): "к", ("greek", "m"): "ς", ("greek", "f"): "να", ("greek", "s"): "ς",
+    ("latin", "n"): "l", ("cyrillic", "n"): "л", ("greek", "n"): "λ", ("cyrillic", "s"): "к", ("greek", "m"): "ς", ("greek", "f"): "να", ("greek", "s"): "ς",
 }
 
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 _ASCII = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,17 +98,38 @@ def _script(name: Column) -> Column:
     return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def _tokens(person: Column) -> Column:
+    """The words of a person's name without titles."""
+    return F.split(F.regexp_replace(person, f"^{_TITLES}", ""), " ")
+
+
+def _is_name(token: Column) -> Column:
+    return ~token.rlike(f"^{_BETWEEN}$")
+
+
+def initial_of(token: Column, key: str = KEY) -> Column:
+    """An initial under a keyed shift of its alphabet: distinct letters stay distinct, none stays itself."""
+    shifted = ""
+    for letters in ALPHABETS:
+        by = 1 + int(hashlib.sha256(f"{key}|initials".encode()).hexdigest(), 16) % (len(letters) - 1)
+        shifted += letters[by:] + letters[:by]
+    return F.translate(token, "".join(ALPHABETS), shifted)
+
+
 def parts_of(surface: Column, kind: Column) -> Column:
-    """Array of (kind, canon) of a surface form."""
+    """Array of (kind, canon) of a surface form; of a person one for each word of the name."""
     part = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
     title = F.regexp_extract(surface, f"^({_TITLE})", 1)
     genders = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
-    names = F.split(F.regexp_replace(surface, rf"^(?:{_TITLE})\.? ", ""), " ")
-    last = F.element_at(names, -1)
+    tokens = _tokens(surface)
+    last = F.element_at(tokens, -1)  # always a name
     surname = part(F.concat(F.lit("name_s_"), _script(last)), F.lower(last))
-    first = F.element_at(names, 1)
-    given = part(F.concat(F.lit("name_"), genders[title], F.lit("_"), _script(first)), F.lower(first))
-    person = F.when(F.size(names) > 1, F.array(given, surname)).otherwise(F.array(surname))
+    gender = genders[title]
+
+    def before(t):  # particles and initials have no kind
+        return part(F.when(_is_name(t), F.concat(F.lit("name_"), gender, F.lit("_"), _script(t))), F.lower(t))
+
+    person = F.concat(F.transform(F.slice(tokens, F.lit(1), F.size(tokens) - 1), before), F.array(surname))
     return (
         F.when(kind == "person", person)
         .when(kind == "email", F.array(part(kind, F.lower(surface))))
@@ -180,7 +211,7 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> Dat
     raise RuntimeError(f"{rounds} rounds left entities without a distinct surrogate")
 
 
-def render(surface: Column, kind: Column, made: Column) -> Column:
+def render(surface: Column, kind: Column, made: Column, key: str = KEY) -> Column:
     """The surrogate (array of its parts) in the format of the surface form."""
     first = F.element_at(made, 1)
     places = F.transform(F.split(surface, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
@@ -194,10 +225,14 @@ def render(surface: Column, kind: Column, made: Column) -> Column:
         ),
         "",
     )
-    title = F.regexp_extract(surface, rf"^((?:{_TITLE})\.? )", 1)
-    rest = F.regexp_replace(surface, rf"^(?:{_TITLE})\.? ", "")
-    names = F.array_join(F.transform(made, lambda m: F.initcap(m)), " ")
-    names = F.when(rest == F.upper(rest), F.upper(names)).otherwise(names)
+    title = F.regexp_extract(surface, f"^({_TITLES})", 1)
+    pairs = F.arrays_zip(_tokens(surface).alias("t"), F.transform(made, lambda m: F.initcap(m)).alias("m"))
+
+    def renamed(p):
+        cased = F.when((p["t"] == F.upper(p["t"])) & (F.length(p["t"]) > 1), F.upper(p["m"])).otherwise(p["m"])
+        return F.when(p["m"].isNotNull(), cased).when(p["t"].endswith("."), initial_of(p["t"], key)).otherwise(p["t"])
+
+    names = F.array_join(F.transform(pairs, renamed), " ")
     return (
         F.when(kind == "person", F.concat(title, names))
         .when(kind == "email", F.when(surface == F.upper(surface), F.upper(first)).otherwise(first))
@@ -208,7 +243,7 @@ def render(surface: Column, kind: Column, made: Column) -> Column:
 
 def replace(docs: DataFrame, key: str = KEY, id_column: str = "doc_id", text_column: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity replaced; ``count`` names a column for their number."""
-    found, ident = fresh(docs, "_pii_found", "_pii_row")
+    found, ident, made = fresh(docs, "_pii_found", "_pii_row", "_pii_new")
     text = F.col(text_column)
     none = F.array().cast("array<string>")
     spotted = docs.withColumn(found, F.when(text.rlike(_MAY), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))))
@@ -217,17 +252,17 @@ def replace(docs: DataFrame, key: str = KEY, id_column: str = "doc_id", text_col
     clean = spotted.filter(~some).drop(found)
     surfaces = dirty.select(F.explode(found).alias("surface")).distinct().withColumn("kind", kind_of(F.col("surface")))
     parts = saved(surfaces.select("surface", "kind", F.posexplode(parts_of(F.col("surface"), F.col("kind"))).alias("i", "part")), "pii-parts")
-    known = surrogates(parts.select("part.kind", "part.canon"), key)
+    known = surrogates(parts.filter("part.kind IS NOT NULL").select("part.kind", "part.canon"), key)
     whole = (
-        parts.select("surface", F.col("kind").alias("k"), "i", "part.kind", "part.canon").join(known, ["kind", "canon"])
+        parts.select("surface", F.col("kind").alias("k"), "i", "part.kind", "part.canon").join(known, ["kind", "canon"], "left")
         .groupBy("surface", "k").agg(F.array_sort(F.collect_list(F.struct("i", "surrogate"))).alias("made"))
     )
-    table = saved(whole.select("surface", render(F.col("surface"), F.col("k"), F.col("made.surrogate")).alias("new")), "pii-surrogates")
+    table = saved(whole.select("surface", render(F.col("surface"), F.col("k"), F.col("made.surrogate"), key).alias("new")), "pii-surrogates")
     places = dirty.select(ident, F.posexplode(found).alias("i", "surface")).join(table, "surface")
-    news = places.groupBy(ident).agg(F.array_sort(F.collect_set(F.struct("i", "new"))).alias("_pii_new"))
+    news = places.groupBy(ident).agg(F.array_sort(F.collect_set(F.struct("i", "new"))).alias(made))
     both = dirty.join(news, ident)
     pieces = F.split(text, ENTITY, -1)
-    rebuilt = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("p"), F.col("_pii_new.new").alias("n")), lambda z: F.concat(z["p"], z["n"])), ""), F.element_at(pieces, -1))
+    rebuilt = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("p"), F.col(f"{made}.new").alias("n")), lambda z: F.concat(z["p"], z["n"])), ""), F.element_at(pieces, -1))
     out = both.withColumn(text_column, rebuilt)
     if count:
         out = out.withColumn(count, F.size(found).cast("long"))

@@ -352,6 +352,30 @@ def test_surrogates_stay_distinct_in_a_small_space(spark):
     assert len(set(made)) == 45 and not set(made) & {f"{i:02d}" for i in range(45)}
 
 
+def test_names_of_any_length(spark, make):
+    from riskloom.llm import pii as P
+
+    texts = [
+        "Mr. John Paul Smith met Mrs. Smith.", "Señor Juan de la Cruz spoke, then Sr. Cruz left", "Dr. Anna Weber and Prof. Dr. J. R. van der Berg came.",
+        "Mr. Lee Mrs. Kim", "MRS. is no title here, Mr. SMITH is", "Mr. " + " ".join(["Alpha", "Beta"] * 6000), "Mr. Smith de novo", *ODD,
+    ]
+    docs = make(texts, "doc_id long, text string, _pii_new string, _pii_found int, words string, surface long")
+    out = P.replace(docs, count="n")
+    assert out.columns == [*docs.columns, "n"] and out.count() == len(texts)
+    rows = {r.doc_id: r for r in out.collect()}
+    got = [rows[i].text for i in range(len(texts))]
+    assert [rows[i].n for i in range(7)] == [2, 2, 2, 2, 1, 1, 1]
+    assert got[7:] == ODD
+    full = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) met Mrs\. (\w+)\.", got[0])
+    assert full and full[3] == full[4] and len({*full.groups()}) == 3 and not {"John", "Paul", "Smith"} & {*full.groups()}
+    cruz = re.fullmatch(r"Señor (\w+) de la (\w+) spoke, then Sr\. (\w+) left", got[1])
+    assert cruz and cruz[2] == cruz[3] != "Cruz" and cruz[1] != "Juan"
+    berg = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. Dr\. ([A-Z])\. ([A-Z])\. van der (\w+) came\.", got[2])
+    assert berg and berg[3] != "J" and berg[4] != "R" and berg[3] != berg[4] and not {"Anna", "Weber", "Berg"} & {*berg.groups()}
+    assert not re.search("Lee|Kim", got[3]) and got[4] == f"MRS. is no title here, Mr. {full[3].upper()} is"
+    assert len(got[5].split(" ")) == 12001 and "Alpha" not in got[5] and got[6] == f"Mr. {full[3]} de novo"
+
+
 # --- op7 -----------------------------------------------------------------------------
 
 
