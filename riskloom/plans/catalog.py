@@ -551,13 +551,6 @@ def q_bad_values(spark, sf_dir):
 # ----------------------------------------------------------------------------- training (rows-only checks)
 from riskloom.plans import train as train_ops  # noqa: E402
 
-# Small configurations keep the registered queries quick; FULL_GRIDS holds the reference grids.
-QUICK = {
-    "LogisticRegression": {"C": 1.0, "class_weight": None},
-    "HistGradientBoosting": {"learning_rate": 0.1, "max_iter": 10, "max_leaf_nodes": 15, "min_samples_leaf": 20},
-    "RandomForest": {"n_estimators": 20, "max_depth": 6, "min_samples_leaf": 1, "class_weight": None},
-}
-
 
 def lens_c(spark, sf_dir, tag="d1"):
     return train_ops.TrainFrame(lenses.learnable(spark, sf_dir), list(specs.DATA1.features), "risk", "row_pos", "Data1", tag)
@@ -570,7 +563,7 @@ def frame_b(spark, sf_dir, tag="d2"):
 def _holdout_eval(spark, sf_dir, family):
     tf = lens_c(spark, sf_dir)
     tr, te = train_ops.split_frame(tf)
-    model = train_ops.fit(tf, tr, family, QUICK[family])
+    model = train_ops.fit(tf, tr, family, train_ops.DEFAULTS[family])
     measured = train_ops.metric_table(train_ops.predict(model, te, tf.tag), tf.label)
     return measured.withColumn("model", F.lit(family)).withColumn("trees", F.lit(train_ops.rounds_used(model)).cast("int"))
 
@@ -608,7 +601,7 @@ def q_model_comparison(spark, sf_dir):
 def q_oof_threshold(spark, sf_dir):
     tf = lens_c(spark, sf_dir)
     tr, _ = train_ops.split_frame(tf)
-    chosen, sweep = train_ops.threshold_from_oof(tf, tr, "LogisticRegression", QUICK["LogisticRegression"])
+    chosen, sweep = train_ops.threshold_from_oof(tf, tr, "LogisticRegression", train_ops.DEFAULTS["LogisticRegression"])
     return sweep.withColumn("selected", F.col("threshold") == F.lit(chosen))
 
 
@@ -616,7 +609,7 @@ def q_oof_threshold(spark, sf_dir):
 def q_importance(spark, sf_dir):
     tf = lens_c(spark, sf_dir)
     tr, te = train_ops.split_frame(tf)
-    model = train_ops.fit(tf, tr, "LogisticRegression", QUICK["LogisticRegression"])
+    model = train_ops.fit(tf, tr, "LogisticRegression", train_ops.DEFAULTS["LogisticRegression"])
     return train_ops.permutation_importance(model, tf, te)
 
 
@@ -631,14 +624,14 @@ def q_importance_card(spark, sf_dir):
 
 @register("balance_experiment")
 def q_balance_experiment(spark, sf_dir):
-    return train_ops.balancing_experiment(lens_c(spark, sf_dir), "LogisticRegression", QUICK["LogisticRegression"])
+    return train_ops.balancing_experiment(lens_c(spark, sf_dir), "LogisticRegression", train_ops.DEFAULTS["LogisticRegression"])
 
 
 @register("holdout_recheck")
 def q_holdout_recheck(spark, sf_dir):
     tf = lens_c(spark, sf_dir)
     tr, te = train_ops.split_frame(tf)
-    model = train_ops.fit(tf, tr, "LogisticRegression", QUICK["LogisticRegression"])
+    model = train_ops.fit(tf, tr, "LogisticRegression", train_ops.DEFAULTS["LogisticRegression"])
     path = scratch_path(spark, "models")
     train_ops.save_model(model, path)
     return train_ops.holdout_recheck(path, tf, te.select(tf.id_col), threshold=0.5)
@@ -649,8 +642,8 @@ def q_score_batch(spark, sf_dir):
     """Both groups trained with MLlib (thresholds from OOF), then all requests scored."""
     tf1 = lens_c(spark, sf_dir, tag="d1")
     tf2 = frame_b(spark, sf_dir)
-    g1 = train_ops.train_group(tf1, "LogisticRegression", QUICK["LogisticRegression"])
-    g2 = train_ops.train_group(tf2, "LogisticRegression", QUICK["LogisticRegression"])
+    g1 = train_ops.train_group(tf1, "LogisticRegression", train_ops.DEFAULTS["LogisticRegression"])
+    g2 = train_ops.train_group(tf2, "LogisticRegression", train_ops.DEFAULTS["LogisticRegression"])
     m1 = train_ops.as_spark_model(g1.deploy_model, tf1, "LogisticRegression", g1.threshold)
     m2 = train_ops.as_spark_model(g2.deploy_model, tf2, "LogisticRegression", g2.threshold)
     dual = score_ops.DualMetadata(combined_threshold=train_ops.dual_metadata(g1.metadata, g2.metadata)["combined_threshold"])

@@ -11,7 +11,7 @@ from riskloom.plans import train as T
 def test_gbt_separates_learnable_lens(spark):
     tf = catalog.lens_c(spark, SF_SMALL)
     tr, te = T.split_frame(tf)
-    model = T.fit(tf, tr, "HistGradientBoosting", catalog.QUICK["HistGradientBoosting"])
+    model = T.fit(tf, tr, "HistGradientBoosting", {**T.DEFAULTS["HistGradientBoosting"], "max_iter": 10})
     r = T.metric_table(T.predict(model, te, tf.tag), tf.label).first()
     assert r["roc_auc"] > 0.9
 
@@ -19,7 +19,7 @@ def test_gbt_separates_learnable_lens(spark):
 def test_holdout_recheck_equals_direct_evaluation(spark, tmp_path):
     tf = catalog.lens_c(spark, SF_SMALL)
     tr, te = T.split_frame(tf)
-    model = T.fit(tf, tr, "LogisticRegression", catalog.QUICK["LogisticRegression"])
+    model = T.fit(tf, tr, "LogisticRegression", T.DEFAULTS["LogisticRegression"])
     direct = T.metric_table(T.predict(model, te, tf.tag), tf.label).first()
     path = str(tmp_path / "m")
     T.save_model(model, path)
