@@ -15,7 +15,7 @@ import hashlib
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 4
@@ -85,6 +85,32 @@ class Permutation:
         items = [f"named_struct('even', {str(i % 2 == 0).lower()}, 'f', {f}L, 'o', {o}L)" for i, (f, o) in (reversed(rounds) if inverse else rounds)]
         return F.expr(f"array({', '.join(items)})")
 
+    def dealt(self, df: DataFrame, source: str, out: str, rounds: list[tuple[Column, Column]], inverse: bool = False) -> DataFrame:
+        """``df`` with the image of ``source`` as ``out``: :meth:`of` in plain arithmetic, a projection for each step.
+
+        ``rounds``: factor and offset columns of the half rounds in the order of their use.
+        """
+        a, b = (F.lit(side).cast("long") for side in self.sides)
+        prime, kept = F.lit(PRIME).cast("long"), df.columns
+        x = F.col(source).cast("long")
+        # no operand is negative, so that the remainder is the modulus
+        state = df.select(*kept, (x % a).alias("_pl"), F.call_function("div", x, a).alias("_pr"))
+        order = list(range(2 * ROUNDS))
+        for i, (factor, offset) in zip(reversed(order) if inverse else order, rounds, strict=True):
+            changed, fixed, side = ("_pl", "_pr", a) if i % 2 == 0 else ("_pr", "_pl", b)
+            state = state.select(*kept, "_pl", "_pr", (((F.col(fixed) % prime) * factor + offset) % prime).alias("_px"))
+            state = state.select(*kept, "_pl", "_pr", ((F.col("_px") * F.col("_px") + factor) % prime).alias("_px"))
+            shift = ((F.col("_px") * F.col("_px") + offset) % prime) % side
+            moved = (F.col(changed) + (side - shift if inverse else shift)) % side
+            state = state.select(*kept, *[moved.alias(c) if c == changed else F.col(c) for c in ("_pl", "_pr")])
+        state = state.select(*kept, (F.col("_pr") * a + F.col("_pl")).alias("_px"))
+        # the few surplus numbers walk on
+        keys = F.array(*[F.struct(F.lit(i % 2 == 0).alias("even"), f.alias("f"), o.alias("o")) for i, (f, o) in zip(reversed(order) if inverse else order, rounds, strict=True)])
+        walked = self.of(F.col("_px"), inverse, keys)
+        image = F.when(F.col("_px") < self.n, F.col("_px")).otherwise(walked)
+        # generated, not an alias: the planner would write a join key out through all projections
+        return state.select(*kept, F.explode(F.array(image)).alias(out))
+
     def of(self, column: Column, inverse: bool = False, keys: Column | None = None) -> Column:
         """The image (or with ``inverse`` the origin) of a column of numbers 0..n-1.
 
