@@ -23,6 +23,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+from collections import defaultdict
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -308,41 +309,64 @@ class Encoder:
         return _mix(own + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(SALT_STEP))
 
     def _ids(self, chunks: list[str], salts: np.ndarray) -> list[bytes]:
-        known, out, new = self.known, [], {}
+        known, new = self.known, []
         struck = _struck(salts, self.dropout) if self.dropout else np.zeros(len(chunks), np.uint64)
-        get, add = known.get, out.append
-        for c, mine in zip(chunks, struck.tolist(), strict=True):
-            run = get(c)
-            if run is not None and (left := mine & run[0]):
-                skipped = 0
+        index: dict = defaultdict()
+        index.default_factory = index.__len__
+        code = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+        names = list(index)
+        runs = [known.get(c, (-1, b"")) for c in names]  # met no run without skips: every turn is unknown
+        whole = np.array([bits for bits, _ in runs], np.int64).view(np.uint64)
+        plain = np.empty(len(names), object)
+        plain[:] = [ids for _, ids in runs]
+        out = plain[code]
+        # equal occurrences at once: what is skipped by one of the run's turns, or of an unknown chunk
+        rest = np.flatnonzero((struck & whole[code] != 0) | (whole == np.uint64(2**64 - 1))[code])
+        if not len(rest):
+            return out.tolist()
+        own, mine = code[rest], struck[rest]
+        lengths = np.array(list(map(len, names)))[own]
+        # what lies behind the last possible turn makes no difference
+        possible = np.minimum(TURNS, lengths - 1 + np.bitwise_count(mine)).astype(np.uint64)
+        mine &= (np.uint64(1) << possible) - np.uint64(1)  # 64 wraps to all bits
+        order = np.lexsort((mine, own))
+        rest, own, mine = rest[order], own[order], mine[order]
+        starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (mine[1:] != mine[:-1])]))
+        ends = np.append(starts[1:], len(rest))
+        values, get = [], known.get
+        for k, skips in zip(own[starts].tolist(), mine[starts].tolist(), strict=True):
+            c, (bits, ids) = names[k], runs[k]
+            if bits >= 0:
+                left, skipped = skips & bits, 0
                 while left:
                     skipped |= left & -left
                     if (run := get((c, skipped))) is None:
                         break
-                    left = mine & run[0] & ~skipped
-            if run is not None:
-                add(run[1])
-                continue
-            # what lies behind the last possible turn makes no difference
-            key = c, mine & (1 << min(TURNS, len(c) - 1 + mine.bit_count())) - 1
-            if (places := new.get(key)) is None:
-                new[key] = [len(out)]
-            else:
-                places.append(len(out))
-            add(b"")
-        runs = self.vocabulary.run_many([c for c, _ in new], np.array([mine for _, mine in new], np.uint64))
-        for ((c, mine), places), (ids, turns) in zip(new.items(), runs, strict=True):
+                    bits, ids = run
+                    left = skips & bits & ~skipped
+                if not left:
+                    values.append(ids)
+                    continue
+            new.append((len(values), c, skips))
+            values.append(b"")
+        found = self.vocabulary.run_many([c for _, c, _ in new], np.array([skips for _, _, skips in new], np.uint64))
+        alone = []
+        for (at, c, skips), (ids, turns) in zip(new, found, strict=True):
             if turns <= TURNS and ids is not None:
-                whole = (1 << turns) - 1
+                bits = (1 << turns) - 1
                 if turns <= KEPT:
-                    known[(c, mine & whole) if mine & whole else c] = whole, ids
+                    known[(c, skips & bits) if skips & bits else c] = bits, ids
             elif self.dropout:  # more turns than coins drawn ahead: each place by itself
-                for k in places:
-                    out[k] = np.array(self.vocabulary.segment(c, self.dropout, int(salts[k])), np.int32).tobytes()
+                alone.append((at, c))
                 continue
-            for k in places:
-                out[k] = ids
-        return out
+            values[at] = ids
+        each = np.empty(len(values), object)
+        each[:] = values
+        out[rest] = np.repeat(each, ends - starts)
+        for at, c in alone:
+            for k in rest[starts[at] : ends[at]].tolist():
+                out[k] = np.array(self.vocabulary.segment(c, self.dropout, int(salts[k])), np.int32).tobytes()
+        return out.tolist()
 
     def many(self, texts: list[str], doc_ids: list) -> list[np.ndarray]:
         """Ids of each text."""

@@ -133,6 +133,28 @@ def test_sentencepiece_repeats_of_a_word_vary(make):
         assert got.tolist() == slow and v.decode(slow).decode() == t
 
 
+def test_sentencepiece_looks_equal_occurrences_up_together():
+    from riskloom.llm import sentencepiece_codec as S
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    v = S.Vocabulary()
+    coder = S.Encoder(v, 0.1, 2)
+    coder.known = Counted()
+    texts = [" the of" * 4000, None, "", "a  b\nc ▁ ñandú😀 " * 700]
+    first, again = (coder.many([t or "" for t in texts], [1, 2, 3, 4]) for _ in range(2))
+    assert coder.known.asked < 3000  # 15,000 chunks, each time
+    for d, (t, got, kept) in enumerate(zip(texts, first, again), 1):
+        chunks = S._CHUNK.findall(" " + t) if t else []
+        slow = [i for c, salt in zip(chunks, coder.salts(d, len(chunks))) for i in v.segment(c, 0.1, int(salt))]
+        assert got.tolist() == kept.tolist() == slow
+
+
 # --- op3 -----------------------------------------------------------------------------
 
 
