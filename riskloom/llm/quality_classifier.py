@@ -111,8 +111,10 @@ def fit_arrays(
     n = len(grades)
     flat = np.concatenate(buckets)
     row = np.repeat(np.arange(n), [len(b) for b in buckets])
-    names, column = np.unique(flat, return_inverse=True)
+    seen = np.bincount(flat, minlength=N_HASH) > 0
+    names, column = np.flatnonzero(seen), (np.cumsum(seen) - 1)[flat]  # as np.unique, without a sort's copies
     d = len(names)
+    del flat, buckets
     scale = evidence(grades, row, column, d, smooth)
     # parameters: bucket weights, shape weights, first cut, log gap to the second
     theta = np.zeros(d + N_SHAPE + 2)
@@ -161,6 +163,13 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).dropna().groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
+def _rows_of(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as views of its values: no Python number is made of any."""
+    whole = lists.combine_chunks()
+    offsets = whole.offsets.to_numpy()
+    return np.split(whole.values.to_numpy(), offsets)[1:-1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, seed: int = 8) -> Model:
     """Fit on at most ``max_fit_rows`` labelled documents, drawn by a keyed hash of the id."""
     place = F.xxhash64(F.lit(seed), "doc_id")
@@ -172,9 +181,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, se
     # an id may occur several times among the documents: the bound holds for the rows too
     table = rows.orderBy("place", "tie").limit(max_fit_rows).select("grade", "buckets", "shape").toArrow()
     grades = table.column("grade").to_numpy().astype(int)
-    buckets = [np.asarray(x, np.int32) for x in table.column("buckets").to_pylist()]
-    shapes = np.array(table.column("shape").to_pylist(), float).reshape(len(grades), N_SHAPE)
-    return fit_arrays(grades, buckets, shapes)
+    buckets, shapes = _rows_of(table.column("buckets")), table.column("shape").combine_chunks().flatten().to_numpy().astype(float)
+    del table
+    model = fit_arrays(grades, buckets, shapes.reshape(len(grades), N_SHAPE))
+    del buckets, shapes
+    pa.default_memory_pool().release_unused()  # the driver goes on to other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, min_tail: float = MIN_TAIL, text_column: str = "text") -> DataFrame:

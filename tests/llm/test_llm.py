@@ -493,6 +493,18 @@ def test_classifier_without_labels_keeps_everything(spark, make):
     assert all(r.keep for r in Q.score(make(ODD), model).collect())
 
 
+def test_quality_features_reach_the_fit_as_views():
+    import pyarrow as pa
+
+    from riskloom.llm import quality_classifier as Q
+
+    rows = [[3, 5], [], [7], [1, 2, 9], []]
+    whole = pa.array([[4], *rows, [6, 6]], pa.list_(pa.int32()))
+    for lists, want in ((pa.chunked_array([whole.slice(1, 5)]), rows), (pa.chunked_array([whole.slice(1, 2), whole.slice(3, 3)]), rows), (pa.chunked_array([], whole.type), [])):
+        assert [r.tolist() for r in Q._rows_of(lists)] == want
+    assert len({id(r.base) for r in Q._rows_of(pa.chunked_array([whole]))}) == 1  # one array holds all values
+
+
 # --- op9 -----------------------------------------------------------------------------
 
 
