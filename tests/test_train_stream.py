@@ -100,6 +100,15 @@ def test_candidates_without_a_counterpart_are_reported_not_fitted(spark):
     assert not got[1].supported and not got[1].is_best and got[1].mean_test_recall is None and got[1].rank_test_recall is None
 
 
+def test_comparison_asks_for_every_family_and_its_whole_grid(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(catalog, "lens_c", lambda *_: None)
+    monkeypatch.setattr(T, "comparison_rows", lambda tf, families: asked.update(families) or spark.range(1))
+    catalog.QUERIES["model_comparison"](spark, SF_SMALL)
+    assert list(asked) == list(T.FAMILIES) and asked == {"MajorityBaseline": None, **T.FULL_GRIDS}
+    assert [len(T.grid_candidates(asked[f])) for f in T.FAMILIES[1:]] == [6, 48, 24]
+
+
 def test_importance_has_every_feature(spark):
     df = catalog.QUERIES["importance"](spark, SF_SMALL)
     rows = df.collect()
